@@ -53,9 +53,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     is_hot = F.col(hashed).isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64(id_col), F.lit(4 * parts))).otherwise(F.lit(0))
-    place = [F.substring("__norm", 1, HEAD).alias("__head"), F.col(hashed), salt.alias("__salt")]
-    dealt = rows.withColumns({"__head": place[0], "__salt": place[2]}).repartitionByRange("__head", hashed, "__salt")
-    group = Window.partitionBy("__head", hashed, "__salt", "__norm")
+    place = ["__head", hashed, *["__salt"] * bool(hot)]  # a constant would keep Spark from seeing that the window needs no further exchange
+    dealt = rows.withColumns({"__head": F.substring("__norm", 1, HEAD), "__salt": salt}).repartitionByRange(*place)
+    group = Window.partitionBy(*place, "__norm")
     first = group.orderBy(F.col(id_col).desc() if keep == "largest" else F.col(id_col).asc_nulls_last())
     out = dealt.withColumns({
         "__rank": F.row_number().over(first),
