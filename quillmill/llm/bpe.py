@@ -80,13 +80,17 @@ class PerfectHash:
 class ByteBpe:
     """Encodes as the rank file says: `tokens` in the order of their ranks."""
 
-    def __init__(self, tokens: list[bytes], ids: list[int], pattern: str):
-        self.hash, self.ids = PerfectHash(tokens), ids
+    def __init__(self, tokens: list[bytes], ids: list[int], pattern: str, table: PerfectHash | None = None):
+        self.hash, self.ids = table or PerfectHash(tokens), ids
         self.tokens, self.split = dict(zip(ids, tokens)), regex.compile(pattern)
         self.single = [self.lookup(bytes([i])) for i in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
         self.merged, self.memo = Recent(self.merge, 100_000), Memo(self.encode_plain)
 
+    def __reduce__(self):
+        """What is sent to workers: the tables, not the memos."""
+        return ByteBpe, (list(self.tokens.values()), self.ids, self.split.pattern, self.hash)
+
     def lookup(self, token: bytes) -> int:
         place = self.hash.find(token)
         return -1 if place < 0 else self.ids[place]
