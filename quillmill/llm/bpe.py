@@ -26,6 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.llm.common import ready
 from quillmill.llm.segments import Memo, Recent
@@ -169,8 +170,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dec
                     cols.append(pa.array([coder.decode(x.tolist()) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, "ids", *["decoded"] * decode])
 
-    schema = docs.select(*rest).schema.add("ids", "array<int>")
-    return docs.mapInArrow(run, schema.add("decoded", "binary") if decode else schema)
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, *added[: 1 + decode]]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -187,7 +188,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
             out = pa.array([coder.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def op4_two_tier_bpe(spark, sf_dir: str) -> DataFrame:
