@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class PerfectHash:
             own = order[starts[k] : starts[k + 1]]
             if not len(own):
                 break
-            for t0 in [0, *range(64, n * n + tries, tries)]:
+            for t0 in chain([0], range(64, n * n + tries, tries)):
                 t = np.arange(t0, t0 + tries if t0 else 64)
                 d, e = (t % n, (t // n) % n) if len(own) == 1 else (t // 61, t % 61 + (t // 61) * 7)
                 slots = (f[own] + g[own] * e[:, None] + d[:, None]) % n

@@ -34,12 +34,27 @@ class Recent(dict):
         return value
 
 
+#: Marks that often follow a word. The pattern always cuts between a letter or digit and
+#: one of them.
+MARKS = ",.;:!?*$&%#|)\"\n"
+
+
 class Memo:
     """Ids of texts, as little-endian 32-bit integers."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode = encode
-        self.after_space = Recent(lambda x: np.array(encode(" " + x), "<u4").tobytes(), most)
+        self.after_space = Recent(self._piece, most)
+        self.marks = Recent(self._plain, 10_000)
+
+    def _plain(self, piece: str) -> bytes:
+        return np.array(self.encode(piece), "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if len(word) < len(piece) and word[-1:].isalnum():
+            return self.after_space[word] + self.marks[piece[len(word) :]]
+        return self._plain(" " + piece)
 
     def packed(self, text: str | None) -> bytes:
         if not text:
