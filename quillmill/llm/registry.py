@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, exact_dedup, mixing, quality, token_orc
+from quillmill.llm import bpe, exact_dedup, mixing, pii, quality, token_orc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
     "op3_content_sort": exact_dedup.op3_content_sort,
     "op4_two_tier_bpe": bpe.op4_two_tier_bpe,
+    "op5_semi_markov_pii": pii.op5_semi_markov_pii,
     "op6_orc_tokens": token_orc.op6_orc_tokens,
     "op8_line_crf": quality.op8_line_crf,
 }
