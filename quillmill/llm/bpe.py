@@ -87,7 +87,7 @@ class ByteBpe:
         self.tokens, self.split = dict(zip(ids, tokens)), regex.compile(pattern)
         self.single = [self.lookup(bytes([i])) for i in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
-        self.merged, self.memo = Recent(self.merge, 100_000), Memo(self.encode_plain)
+        self.merged, self.memo = Recent(self.merge, 100_000), Memo(self.encode_plain, 600_000)
 
     def __reduce__(self):
         """What is sent to workers: the tables, not the memos."""
