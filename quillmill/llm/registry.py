@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, exact_dedup, mixing, pii, quality, token_orc
+from quillmill.llm import ann, bpe, exact_dedup, lattice_lm, mixing, pii, quality, token_orc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
+    "op2_lattice_likelihood": lattice_lm.op2_lattice_likelihood,
     "op3_content_sort": exact_dedup.op3_content_sort,
     "op4_two_tier_bpe": bpe.op4_two_tier_bpe,
     "op5_semi_markov_pii": pii.op5_semi_markov_pii,
