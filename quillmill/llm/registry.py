@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, exact_dedup, lattice_lm, mixing, pii, quality, token_orc
+from quillmill.llm import ann, bpe, exact_dedup, jaccard, lattice_lm, mixing, pii, quality, token_orc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_two_tier_bpe": bpe.op4_two_tier_bpe,
     "op5_semi_markov_pii": pii.op5_semi_markov_pii,
     "op6_orc_tokens": token_orc.op6_orc_tokens,
+    "op7_signature_trees": jaccard.op7_signature_trees,
     "op8_line_crf": quality.op8_line_crf,
     "op10_anisotropic_search": ann.op10_anisotropic_search,
 }
