@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, exact_dedup, jaccard, lattice_lm, mixing, pii, quality, token_orc
+from quillmill.llm import ann, bpe, exact_dedup, jaccard, lattice_lm, mixing, pii, quality, repeats, token_orc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_orc_tokens": token_orc.op6_orc_tokens,
     "op7_signature_trees": jaccard.op7_signature_trees,
     "op8_line_crf": quality.op8_line_crf,
+    "op9_grouped_suffix_array": repeats.op9_grouped_suffix_array,
     "op10_anisotropic_search": ann.op10_anisotropic_search,
 }
 
