@@ -188,8 +188,14 @@ def score(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.base(n) for n in c], pa.float64()), pa.array(scores, pa.float64())], names=["word", "c", "base", "score"])
 
     judged = ws.write(words.mapInArrow(judge, "word binary, c long, base double, score double"), "judged")
-    top = judged.where(F.length("word") <= SHORT).orderBy(F.desc("c"), "word").limit(COMMON).collect()
-    common = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"] > 0, r["base"], r["score"]) for r in top})
+    # the least count that no more than COMMON words reach, by bins of counts
+    room, least = COMMON, math.inf
+    for _, floor in sorted((-b, (m, f)) for b, m, f in judged.groupBy(F.floor(F.log2(F.col("c") + 1) * 32).alias("bin")).agg(F.count("*"), F.min("c")).collect()):
+        if (room := room - floor[0]) < 0:
+            break
+        least = floor[1]
+    top = judged.where((F.length("word") <= SHORT) & (F.col("c") >= F.lit(float(least)))).select("word", "c", "base", "score").toArrow()
+    common = spark.sparkContext.broadcast({w: (c > 0, b, s) for w, c, b, s in zip(*(top.column(k).to_pylist() for k in range(4)))})
 
     def run(batches):
         m, known = model.value, common.value
