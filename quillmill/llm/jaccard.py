@@ -198,7 +198,8 @@ def _verify(batches):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and row (a hash of id and text) for each row."""
+    """doc_id, n_shingles, component_id, row (a hash of id and text) and root (the node
+    that names the component, null without shingles) for each row."""
     ws = Workspace(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
@@ -273,9 +274,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     lows = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     lows = lows.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
-    some = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", "row")
-    return some.unionByName(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row"))
+    named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id", "root")
+    some = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", "row", "root")
+    none = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("binary").alias("root"))
+    return some.unionByName(none)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` less all but one of each component: the row with the least id,
+    null last, stays. Rows without shingles stay. Rows that agree in id and text stay or
+    go together."""
+    linked_rows = Workspace(docs.sparkSession).write(jaccard_components(docs, id_col, text_col), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))
+    first = linked_rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
+    stay = first.unionByName(linked_rows.where("n_shingles = 0").select(F.col("row").alias("__row")))
+    return docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(stay, "__row", "left_semi").select(*docs.columns)
 
 
 def op7_signature_trees(spark, sf_dir: str) -> DataFrame:
