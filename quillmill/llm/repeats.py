@@ -96,6 +96,12 @@ def anchors(raw: bytes):
         yield here + at, grams[here], context, lo + at, hi + at
 
 
+def _slices(batches, rows: int = 1500):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _anchored(batch) -> list[np.ndarray]:
     """Of a batch (d, tie, text): rows d, tie, place, hash, context, start, end, and the
     row of the batch."""
@@ -260,7 +266,7 @@ def covered_spans(ws: Workspace, texts: DataFrame) -> DataFrame:
     context = ws.spark.sparkContext
 
     def count(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             h, n = np.unique(_anchored(batch)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
@@ -268,7 +274,7 @@ def covered_spans(ws: Workspace, texts: DataFrame) -> DataFrame:
     known = context.broadcast(bitmap(repeated, repeated.count()))
 
     def occurrences(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = _anchored(batch)
             keep = _has(known.value, rows[3])
             d, tie, place, h, c, lo, hi, i = (x[keep] for x in rows)
@@ -299,7 +305,7 @@ def covered_spans(ws: Workspace, texts: DataFrame) -> DataFrame:
     differ = context.broadcast(bitmap(mixed, mixed.count()))
 
     def contexts(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = _anchored(batch)
             keep = np.flatnonzero(_has(differ.value, rows[3]))
             keep = keep[np.lexsort((rows[2][keep], rows[1][keep], rows[0][keep], rows[4][keep], rows[3][keep]))]
