@@ -46,7 +46,7 @@ WINDOW, GRAM = 100, 64
 EXTRA = WINDOW - GRAM
 LIMIT = 20_000
 #: A context is split while windows need more bytes of it than this.
-STOP = 9
+STOP = 4
 PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _FIRST = np.iinfo(np.int64).min
