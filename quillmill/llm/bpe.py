@@ -18,7 +18,7 @@ decoding as bytes.
 from __future__ import annotations
 
 import base64
-import heapq
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import ready
-from quillmill.llm.segments import Memo, Recent
+from quillmill.llm.segments import Memo
 
 
 class PerfectHash:
@@ -86,8 +86,8 @@ class ByteBpe:
         self.hash, self.ids = table or PerfectHash(tokens), ids
         self.tokens, self.split = dict(zip(ids, tokens)), regex.compile(pattern)
         self.single = [self.lookup(bytes([i])) for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.merged, self.memo = Recent(self.merge, 100_000), Memo(self.encode_plain, 600_000)
+        self.pairs: dict[int, int] = {}
+        self.memo = Memo(self.encode_plain, letters=self.encode_token)
 
     def __reduce__(self):
         """What is sent to workers: the tables, not the memos."""
@@ -98,42 +98,50 @@ class ByteBpe:
         return -1 if place < 0 else self.ids[place]
 
     def pair(self, a: int, b: int) -> int:
-        if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= 500_000:
+        """The rank of two tokens together, or -1; known ones are kept."""
+        key = a << 32 | b
+        if (found := self.pairs.get(key)) is None:
+            if len(self.pairs) >= 200_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.lookup(self.tokens[a] + self.tokens[b])
+            found = self.pairs[key] = self.lookup(self.tokens[a] + self.tokens[b])
         return found
 
     def merge(self, token: bytes) -> list[int]:
-        part: list[int] = [self.single[x] for x in token]
-        n, pair = len(part), self.pair
+        single, get, pair = self.single, self.pairs.get, self.pair
+        part = [single[x] for x in token]
+        n = len(part)
+        rank = []
+        for i in range(n - 1):
+            r = get(part[i] << 32 | part[i + 1])
+            rank.append(pair(part[i], part[i + 1]) if r is None else r)
+        rank.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := pair(part[i], part[i + 1])) >= 0]
-        heapq.heapify(heap)
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]  # by rank, then place
+        heapify(heap)
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if part[i] != a or j >= n or part[j] != b:
+            r, i = divmod(heappop(heap), n)
+            if rank[i] != r:
                 continue
-            part[i], part[j], k = rank, -1, after[j]
-            after[i] = k
+            j = after[i]
+            k = after[i] = after[j]
+            part[i], part[j], rank[i], rank[j] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := pair(rank, part[k])) >= 0:
-                    heapq.heappush(heap, (r, i, rank, part[k]))
-            if (h := before[i]) >= 0 and (r := pair(part[h], rank)) >= 0:
-                heapq.heappush(heap, (r, h, part[h], rank))
+                if (q := pair(r, part[k])) >= 0:
+                    rank[i] = q
+                    heappush(heap, q * n + i)
+            if (h := before[i]) >= 0:
+                q = rank[h] = pair(part[h], r)
+                if q >= 0:
+                    heappush(heap, q * n + h)
         return [x for x in part if x >= 0]
 
+    def encode_token(self, token: str) -> list[int]:
+        raw = token.encode()
+        return [i] if (i := self.lookup(raw)) >= 0 else self.merge(raw)
+
     def encode_plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for token in self.split.findall(text):
-            raw = token.encode()
-            if (i := self.lookup(raw)) >= 0:
-                out.append(i)
-            else:
-                out += self.merged[raw]
-        return out
+        return [i for token in self.split.findall(text) for i in self.encode_token(token)]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.memo.ids(text)

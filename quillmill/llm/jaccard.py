@@ -61,7 +61,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < SIZE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     get = _words.get
     h = np.array([get(w) or _words.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], np.uint64)

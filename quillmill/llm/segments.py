@@ -9,6 +9,7 @@ is the sequence of theirs. Other texts are one piece."""
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -16,21 +17,32 @@ _MAYBE, _JOINED = re.compile(r" \s"), re.compile(r"\s \s")
 
 
 class Recent(dict):
-    """A bounded dict of what `make` gives. When it is full, what it holds becomes the
-    older half; what is asked for again comes back from there, the rest goes."""
+    """A bounded dict of what `make` gives. What is asked for once isn't kept: a table of
+    bits knows (by hash, so not always rightly) what was asked for before. When the dict
+    is full, what it holds becomes the older half; what is asked for again comes back from
+    there, the rest goes."""
+
+    SEEN = 1 << 22
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
+        self.seen, self.marked = bytearray(self.SEEN), 0
 
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.make(key)
+            at = hash(key) & (self.SEEN - 1)
+            if not self.seen[at] or len(key) > 64:
+                self.seen[at] = 1
+                self.marked += 1
+                if self.marked > self.SEEN // 2:
+                    self.seen, self.marked = bytearray(self.SEEN), 0
+                return value
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        if len(key) <= 64:
-            self[key] = value
+        self[key] = value
         return value
 
 
@@ -40,30 +52,32 @@ MARKS = ",.;:!?*$&%#|)\"\n"
 
 
 class Memo:
-    """Ids of texts, as little-endian 32-bit integers."""
+    """Ids of texts, as 32-bit integers."""
 
-    def __init__(self, encode, most: int = 300_000):
-        self.encode = encode
+    def __init__(self, encode, most: int = 200_000, letters=None):
+        """letters: encodes a space and letters, which the pattern never cuts; by default
+        as any other text."""
+        self.encode, self.letters = encode, letters or encode
         self.after_space = Recent(self._piece, most)
         self.marks = Recent(self._plain, 10_000)
 
     def _plain(self, piece: str) -> bytes:
-        return np.array(self.encode(piece), "<u4").tobytes()
+        return array("I", self.encode(piece)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         word = piece.rstrip(MARKS)
         if len(word) < len(piece) and word[-1:].isalnum():
             return self.after_space[word] + self.marks[piece[len(word) :]]
-        return self._plain(" " + piece)
+        return array("I", (self.letters if piece.isalpha() else self.encode)(" " + piece)).tobytes()
 
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _MAYBE.search(text) and _JOINED.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
+            return self._plain(text)
         first, *rest = text.split(" ")
-        start = np.array(self.encode(first), "<u4").tobytes() if first else b""
+        start = self._plain(first) if first else b""
         return start + b"".join(map(self.after_space.__getitem__, rest))
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.packed(text), "<i4")
+        return np.frombuffer(self.packed(text), np.int32)
