@@ -1,0 +1,120 @@
+"""Traps of the single operators, each with a literal result."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from quillmill.functions import numbers, text
+from quillmill.operators import language, markdown, selection, states, traces
+from quillmill.sources import files, outputs
+
+
+def one(spark, column, value=""):
+    return spark.createDataFrame([(value,)], "t string").select(column(F.col("t"))).first()[0]
+
+
+def test_quotas():
+    assert [numbers.quota(35, w) for _, w in selection.weights(selection.STRATA)] == [7, 8, 7, 6, 7]
+    assert [numbers.quota(35, w) for _, w in selection.weights(selection.STRATA, "x")] == [9, 5, 6, 5, 5, 5]
+
+
+def test_overflow_is_taken_later(spark):
+    df = spark.createDataFrame([(i, 100 - i) for i in range(8)], "id int, v int")
+    strata = [("a", F.lit(True), 0.1), ("b", F.col("id") >= 3, 0.1)]
+    got = {r["id"]: r["stratum"] for r in selection.greedy_select(df, strata, 10, [F.desc("v"), F.col("id")], "id").collect()}
+    assert got == {0: "a", 1: "a", 2: "a", 3: "b", 4: "b", 5: "b"}
+
+
+def test_costs(spark):
+    for price, total, taxed in ((40.0, 50.0, False), (40.99, 50.99, False), (41.0, 51 * 1.06 * 1.19, True), (100.0, 138.754, True)):
+        got = numbers.import_cost(F.lit(price), F.lit(10.0), F.lit(950.0))
+        r = spark.range(1).select(got["total_usd"].alias("t"), got["is_taxed"].alias("x")).first()
+        assert abs(r["t"] - total) < 1e-9 and r["x"] is taxed
+    assert spark.range(1).select(numbers.token_cost(F.lit(1000000), F.lit(1000000), F.lit(3.0), F.lit(15.0))).first()[0] == 18.0
+    assert spark.range(1).select(numbers.token_cost(F.lit(5), F.lit(5), F.lit(None).cast("double"), F.lit(None).cast("double"))).first()[0] == 0.0
+
+
+def test_redaction_order(spark):
+    assert one(spark, text.deidentify, "rut: a\rb") == "rut: [REDACTADO]"
+    assert one(spark, text.deidentify, "Nombre: X\ny") == "Nombre: [REDACTADO]\ny"
+    assert one(spark, text.deidentify, "RUT:\nlinea") == "RUT: [REDACTADO]"
+    assert one(spark, text.deidentify, "1.234.567-k a@b.cl 01/02/2003") == "[RUT] [EMAIL] [FECHA]"
+
+
+def test_dead_patterns_never_match(spark):
+    assert one(spark, lambda c: F.size(language.tags(c, language.TAXONOMY)), "SLA, EMG y AME") == 0
+    assert one(spark, lambda c: language.tags(c, language.TAXONOMY), "metaanálisis") == ["Tipo_Metaanalisis"]
+
+
+def test_router_ties_go_to_the_default(spark):
+    assert one(spark, lambda c: language.route(c, language.KEYWORDS, "research"), "paper y plan") == "research"
+    assert one(spark, lambda c: language.route(c, language.KEYWORDS, "other"), "nada") == "other"
+    assert one(spark, lambda c: language.allowed(c, ["med"], "research"), " MED\n") == "med"
+
+
+def test_guard_looks_at_arguments_first(spark):
+    assert one(spark, lambda c: language.guard(F.lit("send_email"), c), '{"x":"rm -rf /"}') == "BLOQUEADO"
+
+
+def test_title_boundary(spark):
+    ratio = lambda a, b: spark.range(1).select(text.overlap_ratio(F.lit(a), F.lit(b))).first()[0]
+    assert ratio("alpha beta1 gamma delta", "alpha") == 1 / 3
+    assert ratio("123 a b", "x") is None
+
+
+def test_relevance(spark):
+    rel = lambda t, a, b: spark.range(1).select(text.relevance(F.lit(t), F.lit(a), F.lit(b))).first()[0]
+    assert [rel("with or", "x", "y"), rel("asthma", "Asthma now", ""), rel("asthma", "x", "asthma"), rel("asthma", "x", "y")] == [0, 0, 1, 2]
+
+
+def test_strip_and_defence(spark):
+    assert one(spark, text.strip, "  x\t \n") == "x"
+    assert one(spark, text.defenced, "```json\n[1]\n```") == "[1]"
+
+
+def test_markdown_title_only_at_the_start(spark):
+    assert one(spark, markdown.title, "p\n# Later\n") == "Later"
+    assert one(spark, markdown.without_title, "p\n# Later\n") == "p\n# Later\n"
+    assert one(spark, markdown.cells, "| a \\| b | c |") == ["a \\| b", "c"]
+
+
+def at(minutes):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+
+def test_held_and_wait(spark):
+    e = spark.createDataFrame([(1, 1, at(0), "on"), (1, 2, at(5), "off"), (1, 3, at(6), "on"), (1, 4, at(10.9), "off"), (2, 5, at(0), "on")], "k int, id int, time timestamp, s string")
+    got = states.held(e, "k", "time", "id", F.col("s") == "on", 300).collect()
+    assert [(r["k"], r["start"], r["fired"]) for r in got] == [(1, at(0), at(5))]
+    q = spark.createDataFrame([(1, 1, at(0)), (1, 2, at(20)), (2, 3, at(0))], "k int, id int, time timestamp")
+    a = spark.createDataFrame([(1, 9, at(5), "keep"), (1, 10, at(25.1), "late"), (1, 11, at(0), "same time")], "k int, id int, time timestamp, answer string")
+    got = {r["id"]: (r["status"], r["answer"]) for r in states.wait(q, a, "k", 300).collect()}
+    assert got == {1: ("answered", "keep"), 2: ("timeout", None), 3: ("timeout", None)}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.PDF").write_bytes(b"%PDF" + b"x" * 20000)
+    (tmp_path / "b.pdf").write_bytes(b"<html>" + b"x" * 20000)
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    assert {r["name"]: r["verdict"] for r in files.pdfs(spark, str(tmp_path)).collect()} == {"a.PDF": "ok", "b.pdf": "no es PDF", "c.pdf": "demasiado pequeño"}
+    (tmp_path / "e.json").write_text('{"tema":"t","enfoque":"","fuentes":[{"pmid":"1","titulo":"A"},{"pmid":"2"}]}')
+    assert [(r["seq"], r["pmid"]) for r in files.envelope(spark, str(tmp_path / "e.json")).orderBy("seq").collect()] == [(0, "1"), (1, "2")]
+    (tmp_path / "r.xml").write_text("<S><PubmedArticle><MedlineCitation><PMID>7</PMID></MedlineCitation></PubmedArticle></S>")
+    assert files.articles(spark, str(tmp_path / "r.xml")).first()["pmid"] == "7"
+    log = spark.createDataFrame([("2024-01-02", "med")], "ts string, agent string")
+    outputs.append_log(log, str(tmp_path / "log"), "ts")
+    outputs.append_log(log, str(tmp_path / "log"), "ts")
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_access_needs_flag_and_place(spark):
+    rows = spark.createDataFrame([(1, "10.1", ""), (2, "10.2", ""), (3, "", "PMC3"), (4, "", "")], "id int, doi string, pmcid string")
+    reg = spark.createDataFrame([("10.1", True, None, "p", None, None), ("10.2", True, None, None, None, None)], "doi string, is_oa boolean, url_for_pdf string, url_for_landing_page string, url string, license string")
+    got = {r["id"]: (r["access"], r["url_text"]) for r in selection.access(rows, reg).collect()}
+    assert got == {1: ("oa", "p"), 2: ("paywall", "https://doi.org/10.2"), 3: ("pmc", "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC3/"), 4: ("paywall", "")}
+
+
+def test_deck_and_bibliography(spark):
+    assert len(traces.deck("t", 2)) == 12 and len(traces.deck("t", 5)) == 16 and len(traces.deck("t", 0, template=4)) == 8
+    line = spark.range(1).select(outputs.bibliography_line(F.lit(1), F.lit("C."), F.lit("guias"), F.lit("zz"), F.lit("u"))).first()[0]
+    assert line == "1. C. — *guias* · zz\n   - Texto completo: u"
