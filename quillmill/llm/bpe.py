@@ -127,11 +127,15 @@ class ByteBpe:
             part[i], part[j], rank[i], rank[j] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (q := pair(r, part[k])) >= 0:
+                if (q := get(r << 32 | part[k])) is None:
+                    q = pair(r, part[k])
+                if q >= 0:
                     rank[i] = q
                     heappush(heap, q * n + i)
             if (h := before[i]) >= 0:
-                q = rank[h] = pair(part[h], r)
+                if (q := get(part[h] << 32 | r)) is None:
+                    q = pair(part[h], r)
+                rank[h] = q
                 if q >= 0:
                     heappush(heap, q * n + h)
         return [x for x in part if x >= 0]
