@@ -118,3 +118,19 @@ def test_deck_and_bibliography(spark):
     assert len(traces.deck("t", 2)) == 12 and len(traces.deck("t", 5)) == 16 and len(traces.deck("t", 0, template=4)) == 8
     line = spark.range(1).select(outputs.bibliography_line(F.lit(1), F.lit("C."), F.lit("guias"), F.lit("zz"), F.lit("u"))).first()[0]
     assert line == "1. C. — *guias* · zz\n   - Texto completo: u"
+
+
+def test_band_pass(spark):
+    import numpy as np
+
+    from quillmill.operators import signals
+
+    sos = signals.sections(4, 20, 500, 2048)
+    gain = lambda f: abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for z in [np.exp(-2j * np.pi * f / 2048)] for b0, b1, b2, a1, a2 in sos]))
+    assert len(sos) == 4 and abs(gain(100) - 1) < 0.01 and gain(0.001) < 1e-6 and gain(1023.9) < 1e-6
+    assert abs(gain(20) - 0.5**0.5) < 1e-6 and abs(gain(500) - 0.5**0.5) < 1e-6
+    t = np.arange(2048) / 2048
+    got = signals.zero_phase(sos, np.sin(2 * np.pi * 100 * t) + 5 + np.sin(2 * np.pi * 2 * t))
+    assert np.abs(got[300:-300] - np.sin(2 * np.pi * 100 * t)[300:-300]).max() < 0.02
+    assert signals.zero_phase(sos, np.array([3.0])).tolist() == [0.0]
+    assert signals.band_pass(signals.synthetic(spark, 512, 1, 2), 2048).count() == 1024
