@@ -20,10 +20,10 @@ def q47_context(spark, d):
     return rows.select("n_nationkey", composition.context([F.col("r_name"), F.col("n_name"), F.concat(F.lit("# "), "best")]).alias("context"))
 
 
-@query("SELECT doc_id, left(text, 600) AS text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE contains(text, 'license') ORDER BY n_chars DESC, doc_id LIMIT 10")
+@query("SELECT doc_id, left(text, 600) AS text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE contains(text, 'th') ORDER BY n_chars DESC, doc_id LIMIT 10")
 def q48_search_top(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "n_chars")
-    return composition.top(docs, F.contains("text", F.lit("license")), [F.desc("n_chars"), F.col("doc_id")], 10, "text").select("doc_id", "text", "rank")
+    return composition.top(docs, F.contains("text", F.lit("th")), [F.desc("n_chars"), F.col("doc_id")], 10, "text").select("doc_id", "text", "rank")
 
 
 _BIB = "1. P Q, R S. Uno. Rev A. 2020. doi:10.1/a. PMID: 1. — *guias* · Open access\n   - Texto completo: u1\n2. A A, B B, C C, D D, E E, F F, et al. Dos. PMID: 2. — *ensayos* · PMC (libre)\n3. Rev C. in press. doi:10.1016/c. — *ensayos* · raro"
