@@ -2,11 +2,12 @@
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Equal sets are one
 node. A node's tokens are dealt by hash into BANDS parts, and the up to three smallest of
-each part make a key; nodes that share a key meet. Each part of a pair with similarity
-0.8 agrees with a chance of at least 0.8^3, so that a pair misses all of them with a
-chance below 0.488^40 < 4e-13, and for small sets there are more parts without a
-difference than differences; the choice is by hash, alike at every size, and nothing that
-meets is dropped. Sharing a passage or a common line is rarely enough for a key, so that
+each part make a key; nodes that share a key meet. In a large pair with similarity 0.8
+each part agrees with a chance of at least 0.8^3, so that all differ with a chance below
+0.488^40 < 4e-13. In a small pair a part without a difference has an equal key; all the
+common tokens would have to share parts with the few others, the likeliest being four
+common tokens and one other: 40^-4, and with the second dealing that sets of at most
+SMALL tokens get, (40 * 24)^-4 < 2e-12. Nothing that meets is dropped. Sharing a passage or a common line is rarely enough for a key, so that
 frequent shingles don't gather documents.
 
 Where nodes meet, a signature tree is built: nodes sorted by size are the leaves, and
@@ -42,6 +43,8 @@ from quillmill.llm.components import components
 from quillmill.llm.lattice_lm import words_of
 
 SIZE, BANDS, SMALLEST, CHUNK = 5, 40, 3, 2000
+#: Sets of no more tokens get keys of two dealings.
+SMALL = 24
 EARLY = 6
 BITS = 1 << 26
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -73,8 +76,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """One for each part that has tokens: of its number and its smallest tokens."""
-    part = (mix(tokens * _FACTORS[1]) % np.uint64(BANDS)).astype(np.int64)
+    """One for each part that has tokens: of its number and its smallest tokens. Small
+    sets, whose few tokens may share a part, are dealt a second time."""
+    keys = _dealt(tokens, 1, 0, BANDS)
+    return np.concatenate([keys, _dealt(tokens, 3, BANDS, 64 - BANDS)]) if len(tokens) <= SMALL else keys
+
+
+def _dealt(tokens: np.ndarray, factor: int, start: int, parts: int) -> np.ndarray:
+    part = (mix(tokens * _FACTORS[factor]) % np.uint64(parts)).astype(np.int64) + start
     order = np.argsort(part, kind="stable")  # tokens are sorted, so each part's are
     part, tokens = part[order], tokens[order]
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
