@@ -179,10 +179,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             some = np.cumsum(sizes[order], 1)
             # enough cells to hold k others, whatever the number of probes
             need = np.maximum(probes, (some <= 4 * k).sum(1) + 1)
-            for i, m in enumerate(need):
-                c = order[i, :m]
-                c = c[sizes[c] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(np.full(len(c), b.column(0)[i].as_py())), pa.array([b.column(1)[i].as_py()] * len(c), pa.binary())], names=["cell", "query_id", "q"])
+            rows = [(i, c) for i, m in enumerate(need) for c in order[i, :m] if sizes[c]]
+            of = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([c for _, c in rows], pa.int32()), b.column(0).take(of), b.column(1).take(of)], names=["cell", "query_id", "q"])
 
     asked = ws.write(packed.where(is_query(F.col("vec_id"))).mapInArrow(ask, "cell int, query_id long, q binary"), "asked")
     blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("vbs")).join(
