@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import ready
+from quillmill.llm.common import ready, slices
 from quillmill.llm.segments import Memo
 
 
@@ -87,7 +87,7 @@ class ByteBpe:
         self.tokens, self.split = dict(zip(ids, tokens)), regex.compile(pattern)
         self.single = [self.lookup(bytes([i])) for i in range(256)]
         self.pairs: dict[int, int] = {}
-        self.memo = Memo(self.encode_plain, letters=self.encode_token)
+        self.memo, self.flat = Memo(self.encode_plain, letters=self.encode_token), None
 
     def __reduce__(self):
         """What is sent to workers: the tables, not the memos."""
@@ -150,8 +150,31 @@ class ByteBpe:
     def encode(self, text: str | None) -> np.ndarray:
         return self.memo.ids(text)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids) -> bytes:
+        return self.decode_flat(np.asarray(ids, np.int64))[0].tobytes()
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each id's end."""
+        if self.flat is None:
+            starts, sizes = np.zeros((2, max(self.tokens) + 1), np.int64)
+            at = 0
+            for i, token in self.tokens.items():
+                starts[i], sizes[i], at = at, len(token), at + len(token)
+            self.flat = np.frombuffer(b"".join(self.tokens.values()), np.uint8), starts, sizes
+        data, starts, sizes = self.flat
+        size = sizes[ids]
+        if len(ids) and (ids.min() < 0 or not size.all()):
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.cumsum(size)
+        place = np.repeat(starts[ids] - (ends - size), size)
+        place += np.arange(len(place))
+        return data[place], ends
+
+    def decode_lists(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Binary values of lists of ids that end where `ends` (from 0) says."""
+        data, after = self.decode_flat(flat)
+        offsets = np.r_[0, after][ends].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def load_ranks(path: str, pattern: str) -> tuple[list[bytes], list[int], str]:
@@ -173,14 +196,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dec
     def run(batches):
         coder = table.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, kept):
                 ids = [coder.encode(t) for t in batch.column(kept).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate([np.empty(0, np.int32), *ids])
                 cols = [*batch.columns[:kept], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decode:
-                    cols.append(pa.array([coder.decode(x.tolist()) for x in ids], pa.binary()))
+                    cols.append(coder.decode_lists(flat, ends))
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, "ids", *["decoded"] * decode])
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]

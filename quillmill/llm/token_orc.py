@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Workspace, offsets, ready
+from quillmill.llm.common import Workspace, offsets, ready, slices
 from quillmill.llm.segments import Memo
 
 SCHEMA = "part int, seq long, doc_id long, ids array<int>"
@@ -53,8 +53,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, i
     def run(batches):
         memo, part, seq = _memo(spec), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 1):
                 n = batch.num_rows
                 ids = [np.append(memo.ids(t), np.int32(end_id)) for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
