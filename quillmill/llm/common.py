@@ -19,8 +19,16 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 _own: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 makes batches of tens
+#: of megabytes, held several times over by the JVM and its Python workers.
+BATCH = "1000"
+
+
 def ready(spark: SparkSession) -> None:
-    """Python workers started from now on can import this package."""
+    """Python workers started from now on can import this package, and get smaller Arrow
+    batches than by default (a setting of the session)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
