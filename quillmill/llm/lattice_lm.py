@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import Workspace, fold
 
-COMMON = 200_000
+COMMON = 100_000
 #: Longer words are never broadcast.
 SHORT = 64
 DISCOUNT = 0.5
