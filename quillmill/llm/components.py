@@ -30,4 +30,6 @@ def components(ws: Workspace, links: DataFrame, name: str, most: int = 60) -> Da
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"links have not settled after {most} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

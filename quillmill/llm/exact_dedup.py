@@ -15,7 +15,8 @@ bounded by the partitions, not by the data. The totals of those groups come from
 aggregation by whole text, which shrinks to a row per text and task before it is
 shuffled.
 
-Defined results: a null text equals the empty text. A null id is less than any other.
+Defined results: a null text equals the empty text. A row whose id is null stays only
+where no row of its group has an id; keep_id is null then.
 Rows that agree in id and text are one group; exactly one row of each group is kept.
 An empty table gives an empty table. Further columns pass through untouched; those named
 like a result column are replaced by it.

@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("d"),
-        F.hash(text_col).cast("long").alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     spans = covered_spans(ws, texts.select("d", "tie", "text"))
     held = spans.groupBy(F.col("d").alias("sd"), F.col("tie").alias("st")).agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
