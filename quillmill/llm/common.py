@@ -87,7 +87,7 @@ def offsets(df: DataFrame, part: str, size: str) -> DataFrame:
     return sums.select(part, F.coalesce(F.sum("__size").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
-def slices(batch, column: int, rows: int = 1000, most: int = 1 << 26):
+def slices(batch, column: int, rows: int = 1000, most: int = 1 << 23):
     """An Arrow batch in parts of at most so many rows, and texts of so many bytes (or one
     text, if it is longer), so that what is made of a part stays small."""
     import numpy as np
