@@ -7,11 +7,10 @@ raw score is the mean of those, weighted by the lines' lengths; a logistic map f
 the training documents turns it into a probability.
 
 Features are shares of kinds of bytes, lengths of words, repetition of words and lines;
-never ids, languages, sources or labels. Fitting: at most `sample` labelled documents,
-those with the smallest hashes of their ids, and of each at most `lines` lines (both are
-parameters; only the fit is bounded). Their lines carry the label of the document. Only
-features, not texts, come to the driver: at most sample * lines rows. Scoring reads whole
-texts.
+never ids, languages, sources or labels. Fitting: at most `sample` labelled documents
+(a parameter), those with the smallest hashes of their ids, each with all its lines, which
+carry the label of the document. Only features, not texts, come to the driver: a row a
+line. Scoring reads whole texts, too.
 
 Defined results: a null text is an empty one, and an empty text is one empty line. Rows
 of the same id are scored alone. Of several labels of a document the smallest counts;
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import fold, ready
+from quillmill.llm.common import fold, ready, slices
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b".,;:", b"!?", b"|", b"*$&%#@^~", b"\"'()[]{}<>/\\-_=+`", bytes(range(128, 256))]
 _CLASS = np.full(256, len(_KINDS), np.uint8)
@@ -158,7 +157,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["map"][0] * _logit(raw_score(p, lengths, counts)) + model["map"][1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, lines: int = 60, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Learns from labelled documents outside the held-out fold."""
     ready(docs.sparkSession)
     chosen = (
@@ -168,10 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, lines: int = 60,
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = ["\n".join((t or "").split("\n")[:lines]) for t in part.column(1).to_pylist()]
-                x, lengths, counts = line_features(texts)
+            for part in slices(batch, 1, 200):
+                x, lengths, counts = line_features(part.column(1).to_pylist())
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),

@@ -176,3 +176,13 @@ def test_quality(spark, edge, empty):
         assert len(rows) == edge.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
     assert quality.fit(edge, labels.limit(0)) == {"constant": 0.5}
     assert quality.score(empty, {"constant": 0.5}).collect() == []
+
+
+def test_quality_fits_whole_texts(spark):
+    """Bad documents begin as the good ones do, and differ only after many lines."""
+    clean = ["The old harbour was quiet in the morning."] * 70
+    rows = [(k, "\n".join(clean + (["$$ || ## 0 0 0"] * 70 if k % 2 else clean)), 1 - k % 2) for k in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), held_out=9)
+    got = quality.score(docs, model, threshold=0.5).collect()
+    assert all(r["predicted"] == r["quality"] and abs(r["score"] - r["quality"]) < 0.3 for r in got)
