@@ -70,6 +70,15 @@ def q53_arrivals(spark, d):
     return composition.arrivals(table(spark, d, "documents", "doc_id").where("doc_id % 2 = 0"), found, "doc_id")
 
 
+@query("""WITH f AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM labels)
+SELECT e.doc_id, CASE WHEN verdict IS NULL THEN 'missing' WHEN verdict = 'ok' THEN 'arrived' ELSE 'invalid' END AS status FROM documents e LEFT JOIN f USING (doc_id)
+UNION ALL SELECT doc_id, 'stray' FROM f WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = f.doc_id)""")
+def q53b_all_arrivals(spark, d):
+    """All records, where q53 takes every other one."""
+    found = table(spark, d, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("bad").alias("verdict"))
+    return composition.arrivals(table(spark, d, "documents", "doc_id"), found, "doc_id")
+
+
 @query(_expected([(1, "## 1. A\nx\n\n---\n## 2. B\ny\nz\nNEW\n\n\n"), (2, "intro\n## 2. only\nNEW\n")], "v(id, t)"))
 def q54_insert_line(spark, d):
     docs = frame(spark, "id int, t string", fx.SECTIONED)

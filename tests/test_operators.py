@@ -134,3 +134,13 @@ def test_band_pass(spark):
     assert np.abs(got[300:-300] - np.sin(2 * np.pi * 100 * t)[300:-300]).max() < 0.02
     assert signals.zero_phase(sos, np.array([3.0])).tolist() == [0.0]
     assert signals.band_pass(signals.synthetic(spark, 512, 1, 2), 2048).count() == 1024
+
+
+def test_arrivals(spark, tmp_path):
+    from quillmill.plans import more
+
+    docs, labels = [(k,) for k in (1, 2, 3, 4)], [(1, 1), (2, 0), (3, None), (7, 1), (8, 0)]
+    spark.createDataFrame(docs, "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((r["doc_id"], r["status"]) for r in more.q53b_all_arrivals(spark, str(tmp_path)).collect())
+    assert got == [(1, "arrived"), (2, "invalid"), (3, "invalid"), (4, "missing"), (7, "stray"), (8, "stray")]
