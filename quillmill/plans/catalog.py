@@ -390,6 +390,13 @@ def q35_ordered_compose(spark, d):
     return outputs.lines_joined(rows, "turn", "line", "conv_id")
 
 
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def q35c_whole_compose(spark, d):
+    """Whole turns, where q35 takes the first 300 characters of each."""
+    rows = table(spark, d, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
+    return outputs.lines_joined(rows, "turn", "line", "conv_id")
+
+
 @query("SELECT conv_id, '{\"n\":' || count(*) || ',\"records\":[' || string_agg('{\"role\":\"' || role || '\",\"n\":' || length(text) || '}', ',' ORDER BY turn) || ']}' AS json FROM conversations GROUP BY conv_id")
 def q35b_envelope(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))

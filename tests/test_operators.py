@@ -144,3 +144,12 @@ def test_arrivals(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     got = sorted((r["doc_id"], r["status"]) for r in more.q53b_all_arrivals(spark, str(tmp_path)).collect())
     assert got == [(1, "arrived"), (2, "invalid"), (3, "invalid"), (4, "missing"), (7, "stray"), (8, "stray")]
+
+
+def test_compose_keeps_whole_turns(spark, tmp_path):
+    from quillmill.plans import catalog
+
+    rows = [(1, 1, "assistant", "b" * 1900), (1, 0, "user", "a" * 299 + "\nend"), (2, 0, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["text"] for r in catalog.q35c_whole_compose(spark, str(tmp_path)).collect()}
+    assert got == {1: "user: " + "a" * 299 + "\nend\nassistant: " + "b" * 1900, 2: "user: short"}
