@@ -137,7 +137,7 @@ def q62_single_mode(spark, d):
 @query()
 def q63_band_pass(spark, d):
     """Power of each channel of seeded noise before and after the filter (numpy; no SQL)."""
-    raw = signals.synthetic(spark, seconds=1, channels=4)
+    raw = signals.synthetic(spark)
     out = signals.band_pass(raw, 2048).withColumnRenamed("v", "w").join(raw, ["channel", "t"])
     return out.groupBy("channel").agg(F.round(F.avg(F.col("v") ** 2), 9).alias("before"), F.round(F.avg(F.col("w") ** 2), 9).alias("after"))
 

@@ -153,3 +153,17 @@ def test_compose_keeps_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["conv_id"]: r["text"] for r in catalog.q35c_whole_compose(spark, str(tmp_path)).collect()}
     assert got == {1: "user: " + "a" * 299 + "\nend\nassistant: " + "b" * 1900, 2: "user: short"}
+
+
+def test_band_pass_takes_the_whole_signal(spark):
+    import numpy as np
+
+    from quillmill.operators import signals
+    from quillmill.plans import more
+
+    raw = np.random.default_rng(42).standard_normal((4096, 16))
+    sos = signals.sections(4, 20, 500, 2048)
+    rows = sorted(more.q63_band_pass(spark, "").collect())
+    assert [r["channel"] for r in rows] == list(range(16))
+    assert np.allclose([r["before"] for r in rows], (raw**2).mean(0), atol=1e-8)
+    assert np.allclose([r["after"] for r in rows], [(signals.zero_phase(sos, x) ** 2).mean() for x in raw.T], atol=1e-8)
