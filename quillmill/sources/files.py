@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from pathlib import PurePosixPath
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +88,38 @@ def pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", pdf_verdict(F.col("length"), F.col("content")).alias("verdict"))
 
 
+def study(spark: SparkSession, path: str) -> DataFrame:
+    """One row, text and error: a file's whole text, bad bytes replaced and line ends made
+    the same; or no text, and why the file isn't read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    error = None
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        error = f"ERROR: no existe {path}"
+    elif PurePosixPath(path).suffix.lower() == ".sd":
+        error = "ERROR: .sd es binario propietario (Cadwell). Conecta aquí el parser OLE/binario para extraer NCV/EMG antes de de-identificar."
+    if error:
+        return spark.createDataFrame([(None, error)], "text string, error string")
+    whole = F.make_valid_utf8(F.col("content").cast("string"))
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace(whole, "\r\n?", "\n").alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(channel, t, v) of a CSV matrix or an NPY file: a row a sample, a column a channel; a
+    single row or column is one channel. One task reads the file."""
+    npy = path.endswith(".npy")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["content"]:
+                a = np.load(io.BytesIO(raw)) if npy else np.loadtxt(io.BytesIO(raw), delimiter=",")
+                if a.ndim not in (1, 2):
+                    raise ValueError(f"a matrix is needed, not {a.ndim} dimensions")
+                for c, v in enumerate(a.T if a.ndim == 2 else [a]):
+                    yield pd.DataFrame({"channel": np.int32(c), "t": np.arange(len(v), dtype=np.int32), "v": v.astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "channel int, t int, v double")
+
+
 def first_pages(pages: DataFrame, key: str, page: str, text: str, most: int = 4) -> DataFrame:
     """Lower-cased text of the first pages, joined by spaces."""
     got = pages.where(F.col(page) < most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("x"))

@@ -167,3 +167,30 @@ def test_band_pass_takes_the_whole_signal(spark):
     assert [r["channel"] for r in rows] == list(range(16))
     assert np.allclose([r["before"] for r in rows], (raw**2).mean(0), atol=1e-8)
     assert np.allclose([r["after"] for r in rows], [(signals.zero_phase(sos, x) ** 2).mean() for x in raw.T], atol=1e-8)
+
+
+def test_study(spark, tmp_path):
+    raw = b"RUT 1.234.567-k\r\na\rb\n\xff \xe2\x82 \xf0\x9f\x98x \xc0\xaf \xed\xa0\x80 \xc3\xb1"
+    (tmp_path / "a.txt").write_bytes(raw)
+    (tmp_path / "b.SD").write_bytes(b"x")
+    want = (tmp_path / "a.txt").read_text(encoding="utf-8", errors="replace")
+    assert [tuple(r) for r in files.study(spark, str(tmp_path / "a.txt")).collect()] == [(want, None)]
+    bad = files.study(spark, str(tmp_path / "b.SD")).first()
+    assert bad["text"] is None and bad["error"].startswith("ERROR: .sd es binario propietario")
+    assert files.study(spark, str(tmp_path / "none.txt")).first()["error"] == f"ERROR: no existe {tmp_path / 'none.txt'}"
+
+
+def test_matrix(spark, tmp_path):
+    import numpy as np
+
+    from quillmill.operators import signals
+
+    a = np.arange(12.0).reshape(4, 3) / 8
+    np.save(tmp_path / "m.npy", a)
+    np.savetxt(tmp_path / "m.csv", a, delimiter=",")
+    (tmp_path / "one.csv").write_text("# head\n1,2,3\n")
+    want = [(c, t, a[t, c]) for c in range(3) for t in range(4)]
+    for name in ("m.npy", "m.csv"):
+        assert sorted(map(tuple, files.matrix(spark, str(tmp_path / name)).collect())) == want
+    assert sorted(map(tuple, files.matrix(spark, str(tmp_path / "one.csv")).collect())) == [(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0)]
+    assert signals.band_pass(files.matrix(spark, str(tmp_path / "m.npy")), 2048).count() == 12
