@@ -108,19 +108,15 @@ def mix(docs: DataFrame, weigh=None, budget_ratio: float = 1.5, max_epochs: int
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, and the words of the
-    part that is left of the last one of a source, joined by spaces. Documents of which
-    nothing is taken, and those without words, are left out. Rows that agree in id and
-    text are treated alike. n_chars, if there, follows the text."""
+    """The mix itself: each row of `docs` as often as it is taken, always whole. The last
+    one of a source, of which mix() takes a part, comes once more as a whole, so a source's
+    words are above its target by less than that document's. Documents of which nothing is
+    taken, and those without words, are left out. Rows that agree in id and text are
+    treated alike."""
     rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
     taken = mix(rows, id_col="__row", text_col=text_col, **options).where("taken > 0").select(F.col("doc_id").alias("__row"), "size", "taken").dropDuplicates(["__row"])
-    taken = taken.select("__row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__whole"), (F.col("taken") % F.col("size")).cast("int").alias("__part"))
-    copies = F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0))
-    out = rows.join(taken, "__row").withColumn("__copy", F.explode(copies))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part")))
-    out = out.withColumn(text_col, F.when(F.col("__copy") > F.col("__whole"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    taken = taken.select("__row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    out = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(*docs.columns)
 
 

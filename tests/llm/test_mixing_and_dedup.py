@@ -83,3 +83,16 @@ def test_many_copies_are_spread(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'Hot text' ELSE concat('t', id) END AS text")
     rows = exact_dedup.exact_dedup(df, hot_rows=10).where("kept").collect()
     assert len(rows) == 2667 and [r["doc_id"] for r in rows if r["group_size"] > 1] == [3999]
+
+
+def test_repeat_never_cuts_a_text(spark):
+    """One source of one long document, whose target is below its size, beside others."""
+    rows = [(1, " \n".join(f"w{k}" for k in range(20000)), "b"), *[(k, f"a {k}  b", "a") for k in range(2, 3000)], *[(k, f"c\t{k}", "c") for k in range(3000, 9000)]]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars int")
+    options = {"budget_ratio": 0.6}
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(docs, **options).collect()}
+    assert 0 < taken[1][0] < taken[1][1]
+    out = mixing.repeat(docs, **options).collect()
+    whole = {r[0]: r[1] for r in rows}
+    assert all(r["text"] == whole[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in out)
+    assert 1 in {r["doc_id"] for r in out}
