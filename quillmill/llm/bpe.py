@@ -10,7 +10,8 @@ from a bounded memo.
 The table is built once on the driver and broadcast; its size is that of the vocabulary
 file. Defined results: null and empty texts have no ids and decode to no bytes; a text of
 any length, and a pre-token of any length, is encoded whole (a pre-token of n bytes takes
-n log n steps). Row order and repeated rows don't matter: each row is encoded alone.
+n log n steps). Row order and repeated rows don't matter: each row is encoded alone. Of
+columns named like those that are added, the added ones are kept.
 Lone surrogates can't occur in Spark strings. Bytes that are not UTF-8 come back from
 decoding as bytes.
 """
@@ -30,18 +31,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import ready, slices
-from quillmill.llm.segments import Memo
+from quillmill.llm.segments import PATTERN, Memo, pack
 
 
 class PerfectHash:
     """bytes -> place of the key in `keys`, or -1. As many slots as keys."""
 
     def __init__(self, keys: list[bytes], load: int = 4, tries: int = 4096):
-        n = self.n = len(keys)
-        self.buckets = max(1, n // load)
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-        if len(np.unique(hashes)) != n:
+        if len(set(keys)) != len(keys):
             raise ValueError("keys must be distinct")
+        # keys of a bucket whose hashes agree in all parts need another seed
+        for seed in range(64):
+            if self._build(keys, load, tries, seed):
+                return
+        raise ValueError("no displacement found")
+
+    def _build(self, keys: list[bytes], load: int, tries: int, seed: int) -> bool:
+        n, self.seed = len(keys), seed
+        self.n, self.buckets = n, max(1, n // load)
+        hashes = np.array([xxhash.xxh3_64_intdigest(k, seed) for k in keys], dtype=np.uint64)
         b, f, g = (hashes % np.uint64(self.buckets)).astype(np.int64), ((hashes >> np.uint64(20)) % np.uint64(max(n, 1))).astype(np.int64), ((hashes >> np.uint64(41)) % np.uint64(max(n, 1))).astype(np.int64)
         order = np.argsort(b, kind="stable")
         starts = np.searchsorted(b[order], np.arange(self.buckets + 1))
@@ -50,6 +58,8 @@ class PerfectHash:
             own = order[starts[k] : starts[k + 1]]
             if not len(own):
                 break
+            if len({*zip(f[own].tolist(), g[own].tolist())}) < len(own):
+                return False
             for t0 in chain([0], range(64, n * n + tries, tries)):
                 t = np.arange(t0, t0 + tries if t0 else 64)
                 d, e = (t % n, (t // n) % n) if len(own) == 1 else (t // 61, t % 61 + (t // 61) * 7)
@@ -63,17 +73,18 @@ class PerfectHash:
                     free[slots[i]] = False
                     break
             else:
-                raise ValueError("no displacement found")
+                return False
         self.slots: list[tuple[bytes, int]] = [(b"", -1)] * n
         for i, s in enumerate(slot_of.tolist()):
             self.slots[s] = (keys[i], i)
         self.moves = [tuple(x) for x in self.move.tolist()]
         del self.move
+        return True
 
     def find(self, key: bytes) -> int:
         if not self.n:
             return -1
-        h, n = xxhash.xxh3_64_intdigest(key), self.n
+        h, n = xxhash.xxh3_64_intdigest(key, self.seed), self.n
         d, e = self.moves[h % self.buckets]
         found, place = self.slots[((h >> 20) % n + ((h >> 41) % n) * e + d) % n]
         return place if found == key else -1
@@ -87,7 +98,7 @@ class ByteBpe:
         self.tokens, self.split = dict(zip(ids, tokens)), regex.compile(pattern)
         self.single = [self.lookup(bytes([i])) for i in range(256)]
         self.pairs: dict[int, int] = {}
-        self.memo, self.flat = Memo(self.encode_plain, letters=self.encode_token), None
+        self.memo, self.flat = Memo(self.encode_many, pieces=pattern == PATTERN), None
 
     def __reduce__(self):
         """What is sent to workers: the tables, not the memos."""
@@ -147,7 +158,11 @@ class ByteBpe:
     def encode_plain(self, text: str) -> list[int]:
         return [i for token in self.split.findall(text) for i in self.encode_token(token)]
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode_many(self, texts: list[str], pure: bool) -> list[bytes]:
+        one = self.encode_token if pure else self.encode_plain
+        return [pack(one(t)) for t in texts]
+
+    def encode(self, text: str | None) -> list[int]:
         return self.memo.ids(text)
 
     def decode(self, ids) -> bytes:
@@ -197,12 +212,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dec
         coder = table.value
         for whole in batches:
             for batch in slices(whole, kept):
-                ids = [coder.encode(t) for t in batch.column(kept).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate([np.empty(0, np.int32), *ids])
-                cols = [*batch.columns[:kept], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                ids = coder.memo.lists(batch.column(kept))
+                cols = [*batch.columns[:kept], ids]
                 if decode:
-                    cols.append(coder.decode_lists(flat, ends))
+                    cols.append(coder.decode_lists(ids.values.to_numpy(), ids.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, "ids", *["decoded"] * decode])
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]

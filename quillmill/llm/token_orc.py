@@ -14,6 +14,8 @@ first; rows that agree in id are ordered by text. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 
 import numpy as np
@@ -23,27 +25,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import Workspace, offsets, ready, slices
-from quillmill.llm.segments import Memo
+from quillmill.llm.segments import Memo, pack
 
 SCHEMA = "part int, seq long, doc_id long, ids array<int>"
 _ready: dict[int, Memo] = {}
 
 
-def _memo(spec) -> Memo:
+def coder_memo(spec: str, special_as_text: bool = False) -> Memo:
+    """Encodes as the tokenizer of this JSON does, without special tokens around a text.
+    Texts that hold an added token's are never cut, nor are any of a tokenizer that is not
+    plain byte-level BPE."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    coder, parts = Tokenizer.from_str(spec), json.loads(spec)
+    coder.encode_special_tokens = special_as_text
+    before = parts.get("pre_tokenizer") or {}
+    plain = not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding") and before.get("type") == "ByteLevel"
+    plain = plain and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    # pre-tokens are given to the model apart, by line ends between them
+    words = Tokenizer.from_str(spec)
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    line = words.encode("\n", add_special_tokens=False).ids
+
+    def many(texts: list[str], pure: bool) -> list[bytes]:
+        if not pure or len(line) != 1:
+            return [pack(x.ids) for x in coder.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 10_000):
+            some = texts[at : at + 10_000]
+            ids = np.array(words.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends, raw = [*(4 * np.flatnonzero(ids == line[0])).tolist(), 4 * len(ids)], ids.tobytes()
+            if len(ends) != len(some):
+                raise RuntimeError("a pre-token holds a line end")
+            out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
+        return out
+
+    return Memo(many, pieces=bool(plain), whole=[t.content for t in coder.get_added_tokens_decoder().values()])
+
+
+def _memo(spec, special_as_text: bool) -> Memo:
     """One for each worker process, whatever the number of its tasks."""
-    key = hash(spec.value)
+    key = hash((spec.value, special_as_text))
     if key not in _ready:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_str(spec.value)
-        coder.encode_special_tokens = True
         _ready.clear()
-        _ready[key] = Memo(lambda x: coder.encode(x, add_special_tokens=False).ids)
+        _ready[key] = coder_memo(spec.value, special_as_text)
     return _ready[key]
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the table described above to `path`."""
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
+    """Writes the table described above to `path`. special_as_text: the strings of special
+    tokens are ordinary text; by default they are those tokens, as in the library."""
     spark = docs.sparkSession
     ready(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -51,13 +83,14 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, i
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        memo, part, seq = _memo(spec), TaskContext.get().partitionId(), 0
+        memo, part, seq = _memo(spec, special_as_text), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1):
                 n = batch.num_rows
-                ids = [np.append(memo.ids(t), np.int32(end_id)) for t in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                lists = memo.lists(batch.column(1))
+                ends = lists.offsets.to_numpy()
+                flat = np.insert(lists.values.to_numpy(), ends[1:], np.int32(end_id))
+                lists = pa.ListArray.from_arrays(pa.array(ends + np.arange(n + 1, dtype=np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0), lists], names=["part", "seq", "doc_id", "ids"])
                 seq += n
 

@@ -1,9 +1,11 @@
 import base64
+import glob
 import hashlib
 import struct
 import zlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -30,9 +32,12 @@ def theirs():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def memo():
+    return token_orc.coder_memo(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
 
 
 def test_perfect_hash():
@@ -40,23 +45,53 @@ def test_perfect_hash():
     table = bpe.PerfectHash(keys)
     assert sorted(table.find(k) for k in keys) == list(range(3001))
     assert len(table.slots) == 3001 and table.find(b"x") == -1 and bpe.PerfectHash([]).find(b"a") == -1
+    for n in range(1, 60):
+        small = bpe.PerfectHash(keys[:n])
+        assert sorted(small.find(k) for k in keys[:n]) == list(range(n))
 
 
 ODD = st.text(st.one_of(st.sampled_from("ab EÉ\n\t's'll12٠\x1c\x85​😀-!<|endoftext|>　 "), st.characters(exclude_categories=["Cs"])), max_size=60)
+PLAIN = st.text(st.sampled_from("ab,.\n  'éx19-"), max_size=40)
+MIXED = st.lists(st.one_of(ODD, PLAIN, st.sampled_from(["<|endoftext|>", "x <|endoftext|> y", "a  ", "  b"])), max_size=4).map(" ".join)
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=ODD)
-def test_as_the_libraries(ours, theirs, library, text):
-    ids = ours.encode(text).tolist()
-    assert ids == theirs.encode_ordinary(text) and ours.decode(ids) == text.encode()
-    assert Memo(lambda x: library.encode(x, add_special_tokens=False).ids).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+@given(texts=st.lists(st.one_of(st.none(), MIXED), max_size=5))
+def test_as_the_libraries(ours, theirs, library, memo, texts):
+    column = pa.array(texts, pa.string())
+    got = ours.memo.lists(column).to_pylist()
+    assert got == [theirs.encode_ordinary(t or "") for t in texts]
+    assert [ours.decode(x) for x in got] == [(t or "").encode() for t in texts]
+    assert memo.lists(column).to_pylist() == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens(library, memo):
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|>"):
+        assert 50256 in memo.ids(text) and memo.ids(text) == library.encode(text, add_special_tokens=False).ids
+    text = token_orc.coder_memo(library.to_str(), special_as_text=True)
+    assert 50256 not in text.ids("x <|endoftext|> y") and text.ids("x y") == memo.ids("x y")
+
+
+@settings(max_examples=60, deadline=None)
+@given(text=st.text(st.sampled_from("ab \n\t.,1é'"), max_size=25), more=st.lists(st.text(st.sampled_from("ab \n\t.,1é'"), min_size=2, max_size=3), max_size=12, unique=True))
+def test_any_vocabulary(text, more):
+    """With tokens of white space and of marks and line ends, too."""
+    tokens = [bytes([i]) for i in range(256)]
+    tokens += [x for x in dict.fromkeys(x.encode() for x in ["  ", "\n\n", " \n", *more]) if x not in tokens]
+    own = bpe.ByteBpe(tokens, list(range(len(tokens))), P.PATTERN)
+    other = tiktoken.Encoding("odd", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    assert own.encode(text) == other.encode_ordinary(text)
+    whole = r"\s+|\S+\s?"  # cuts elsewhere
+    own = bpe.ByteBpe(tokens, list(range(len(tokens))), whole)
+    other = tiktoken.Encoding("odd", pat_str=whole, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    assert own.encode(text) == other.encode_ordinary(text)
 
 
 def test_small_memo_forgets_rightly(ours, theirs):
-    memo = Memo(ours.encode_plain, most=3)
-    text = "to be or not to be, that is the question; to be or not " * 5
-    assert memo.ids(text).tolist() == theirs.encode_ordinary(text)
+    small = Memo(ours.encode_many, most=3)
+    for k in range(6):
+        text = f"to be or not to be, that is the question{k}; to be or not\n" * 5
+        assert small.ids(text) == theirs.encode_ordinary(text)
 
 
 def test_encode_and_decode(edge, empty, theirs):
@@ -82,6 +117,21 @@ def test_orc(spark, edge, empty, library):
         start += len(ids)
     found = token_orc.read_tokens(spark, path).where("doc_id = 9")
     assert found.count() == 1 and "EqualTo(doc_id,9)" in found._jdf.queryExecution().toString()
+    # the files' footers: Bloom filters on the ids, row indexes, and run lengths
+    files = glob.glob(f"{path}/*.orc")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kinds = set()
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows_reader = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows_reader.readStripeFooter(stripe)
+            kinds |= {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert any(e.getKind().toString() == "DIRECT_V2" for e in footer.getColumnsList())
+        rows_reader.close()
+    at = token_orc.read_tokens(spark, path).columns.index("doc_id") + 1
+    assert {(at, "ROW_INDEX"), (at, "BLOOM_FILTER_UTF8")} <= kinds
     token_orc.write_tokens(empty, P.path("byte_bpe_50k.json"), path + "0", end_id=2)
     assert token_orc.summarise(token_orc.read_tokens(spark, path + "0")).collect() == []
 
