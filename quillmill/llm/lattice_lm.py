@@ -1,170 +1,346 @@
 """Language-model scores by subword lattices.
 
-A text is its words (A-Z lower-cased) and one end token. The probability of a word is
-that of its unit (its count in the training documents, discounted) plus that of spelling
-it with the pieces of an existing vocabulary: every segmentation into pieces counts, and
-the forward recursion over the lattice, in logs, adds them up. A spelling starts with a
-piece that begins a word, goes on with others and stops; a character without a piece is
-its bytes. Piece scores are counts of the pieces in the training documents' distinct
-words, as the vocabulary's own segmentation has them, plus a half.
-
-Words repeat, so the lattice is run once for each distinct word, not for each place.
-Counts are gathered over all documents by a shuffled aggregation. The scores of the
-COMMON most frequent words are broadcast (a bounded table) and serve most places and all
-skewed words; those of the others are joined by word, and no such word is frequent.
+A text is its words (A-Z lower-cased), each with the vocabulary's mark in front, and one
+end token. Its probability is the sum over all its segmentations into pieces of an
+existing vocabulary of the product of their unigram probabilities: no piece reaches over
+a mark, so that the text's lattice is a chain of its words', and its log probability the
+sum of theirs, found by the forward recursion in logs. A character without a piece is its
+bytes.
+
+The vocabulary orders its pieces by scores that are no probabilities (ranks of merges).
+They give the first unigram probabilities, by Zipf's law; ROUNDS of expectation and
+maximisation then fit these to the training documents: expected counts of pieces over
+all segmentations, by forward and backward sums. Counts of words and pieces are those of
+all training documents, at any size.
+
+Words repeat, so lattices are run once for each distinct word, not for each place, and
+for words of one length together. Counts are gathered by a shuffled aggregation. The
+scores of at most COMMON words, the most frequent of all documents, are broadcast (a
+bounded table: words of more than SHORT bytes are known by their digest) and serve most
+places and all skewed words; those of the others are joined by word.
 
 Defined results: a null or empty text is the end token alone. Rows of the same id are
-scored apart. A null id counts as the empty text for the fold. Without training documents
-only the pieces' even scores are left, and the base score is 0. An empty table gives no
-rows.
+scored apart, so repeated rows agree. A null id counts as the empty text for the fold.
+Without training documents the vocabulary's own probabilities are left, and the base
+score is 0. Texts and words of any length are read whole. Only the id and the text of
+`docs` are used, whatever other columns are named. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Workspace, fold
+from quillmill.llm.common import Workspace, fold, slices
 
 COMMON = 100_000
-#: Longer words are never broadcast.
+#: Words of more bytes are known by their digest in tables and joins.
 SHORT = 64
-DISCOUNT = 0.5
+ROUNDS = 2
+#: Words of more characters are done one by one.
+LONG = 64
 MARK = "▁"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """bytes.lower() and bytes.split() know ASCII only, as the rule for words does."""
-    return (text or "").encode().lower().split()
-
-
-class Spelling:
-    """Log scores of pieces. counts: by piece id, in distinct words."""
-
-    def __init__(self, pieces: list[str], counts: np.ndarray, words: int):
-        begins = np.array([p.startswith(MARK) for p in pieces])
-        ids = {p: i for i, p in enumerate(pieces)}
-        self.bytes = [ids.get(f"<0x{b:02X}>", -1) for b in range(256)]
-        is_byte = np.zeros(len(pieces), bool)
-        is_byte[[i for i in self.bytes if i >= 0]] = True
-        c = counts + 0.5
-        first, more = np.log(c) - math.log(c[begins].sum()), np.log(c) - math.log(c[~begins].sum() + words + 0.5)
-        self.stop = math.log((words + 0.5) / (c[~begins].sum() + words + 0.5))
-        self.first = {p[1:]: float(first[i]) for i, p in enumerate(pieces) if begins[i] and MARK not in p[1:]}
-        self.more = {p: float(more[i]) for i, p in enumerate(pieces) if not begins[i] and not is_byte[i] and MARK not in p}
-        least = float(more.min())
-        self.byte = [float(more[i]) if i >= 0 else least for i in self.bytes]
-        self.longest = max(map(len, [*self.first, *self.more, "x"]))
-
-    def log_probability(self, word: str) -> float:
-        """Of the word under all segmentations, natural log: forward recursion."""
-        n, longest, more, log, exp = len(word), self.longest, self.more, math.log, math.exp
-        reach: list[list[float]] = [[] for _ in range(n + 1)]
-        for b in range(min(n, longest) + 1):
-            if (p := self.first.get(word[:b])) is not None:
-                reach[b].append(p)
-        total = -math.inf
-        for i in range(n + 1):
-            if not (ways := reach[i]):
-                continue
-            top = max(ways)
-            total = top if len(ways) == 1 else top + log(sum([exp(w - top) for w in ways]))
-            if i == n:
-                break
-            single = False
-            for b in range(i + 1, min(n, i + longest) + 1):
-                if (p := more.get(word[i:b])) is not None:
-                    reach[b].append(total + p)
-                    single = single or b == i + 1
-            if not single:
-                reach[i + 1].append(total + sum(self.byte[x] for x in word[i].encode()))
-            reach[i] = ()
-        return total + self.stop
-
-
-class Model:
-    """Scores of words, from the counts of a corpus."""
-
-    def __init__(self, spelling: Spelling, tokens: int, distinct: int, ends: int):
-        self.spelling, self.tokens, self.distinct, self.ends = spelling, tokens, distinct, ends
-        self.base_total = math.log10(tokens + distinct + 1)
-        units = tokens - ends
-        self.end = math.log((ends + 0.5) / (tokens + 1))
-        self.word = math.log1p(-math.exp(self.end))
-        self.units = math.log(units) if units else 0.0
-        self.spelled = math.log(DISCOUNT * (distinct - (ends > 0)) / units) if units else 0.0
-
-    def base(self, count: int) -> float:
-        return math.log10(count + 1) - self.base_total
-
-    def score(self, word: str, count: int) -> float:
-        """Log10 of the probability of a word with this count in the training documents."""
-        spelled = self.spelled + self.spelling.log_probability(word)
-        if count:
-            unit = math.log(count - DISCOUNT) - self.units
-            top = max(unit, spelled)
-            spelled = top + math.log(math.exp(unit - top) + math.exp(spelled - top))
-        return (self.word + spelled) / math.log(10)
+#: Added to the expected count of each piece.
+ALPHA = 0.1
+#: What a character costs beyond the least piece if not even its bytes are pieces.
+UNKNOWN = 10.0
+
+
+def key_of(word: str) -> str:
+    """What stands for a word; none holds a space."""
+    raw = word.encode()
+    return word if len(raw) <= SHORT else " " + hashlib.sha256(raw).hexdigest()
+
+
+class Pieces:
+    """A vocabulary: the places of its pieces, by a hash of their characters."""
+
+    BASE, MIX, BITS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 20
+
+    def __init__(self, pieces: list[str]):
+        """pieces: in the order of their scores; bytes as <0xNN>."""
+        self.size = len(pieces)
+        self.bytes = [-1] * 256
+        self.ids: dict[str, int] = {}
+        for i, p in enumerate(pieces):
+            if len(p) == 6 and p.startswith("<0x"):
+                self.bytes[int(p[3:5], 16)] = i
+            elif p and MARK not in p[1:]:
+                self.ids.setdefault(p, i)
+        self.longest = max(map(len, self.ids), default=1)
+        powers = [1]
+        for _ in range(self.longest):
+            powers.append(powers[-1] * self.BASE % 2**64)
+        self.powers = np.array(powers, np.uint64)
+        hashes = np.array([self._hash(p) for p in self.ids], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], np.fromiter(self.ids.values(), np.int32, len(self.ids))[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("hashes of pieces clash")
+        self.held = np.zeros(1 << self.BITS, bool)
+        self.held[(self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * self.BASE + ord(c) + 1) % 2**64
+        return (h + len(piece)) * self.MIX % 2**64
+
+    def zipf(self) -> np.ndarray:
+        """The first log probabilities: pieces by rank, and the end, as the last of these,
+        like the first piece."""
+        p = 1 / np.r_[np.arange(2, self.size + 2), 2]
+        return np.log(p / p.sum())
+
+    def byte_ids(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode()]
+
+    def lattice(self, codes: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """For words of one length, as code points: ids [word, start, length - 1] of the
+        pieces that fit (-1: none), and characters without a piece; the k-th of those is
+        known as size + 1 + k."""
+        m, n = codes.shape
+        longest = min(n, self.longest)
+        sums = np.zeros((m, n + 1), np.uint64)
+        base, mix = np.uint64(self.BASE), np.uint64(self.MIX)
+        for j in range(n):
+            sums[:, j + 1] = sums[:, j] * base + codes[:, j] + np.uint64(1)
+        ids = np.full((m, n, longest), -1, np.int32)
+        for k in range(1, longest + 1):
+            part = (sums[:, k:] - sums[:, : n + 1 - k] * self.powers[k] + np.uint64(k)) * mix
+            rows, starts = np.nonzero(self.held[(part >> np.uint64(64 - self.BITS)).astype(np.int64)])
+            found = part[rows, starts]
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            same = self.hashes[at] == found
+            ids[rows[same], starts[same], k - 1] = self.places[at[same]]
+        without = ids[:, :, 0] < 0
+        chars: list[str] = []
+        if without.any():
+            odd, at = np.unique(codes[without], return_inverse=True)
+            ids[:, :, 0][without] = self.size + 1 + at
+            chars = [MARK if c == 0x110000 else chr(c) for c in odd.tolist()]
+        return ids, chars
+
+
+class Unigram:
+    """Log probabilities of pieces and of the end (the last), and the sums over lattices."""
+
+    def __init__(self, pieces: Pieces, logs: np.ndarray):
+        self.pieces, self.logs = pieces, logs
+        self.least, self.end = float(logs.min()) - UNKNOWN, float(logs[-1])
+
+    def char(self, c: str) -> float:
+        return sum(float(self.logs[i]) if i >= 0 else self.least for i in self.pieces.byte_ids(c))
+
+    def forward(self, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """[word, place]: log of the sum over the segmentations up to there."""
+        m, n, longest = ids.shape
+        fore = np.full((m, n + 1), -np.inf)
+        fore[:, 0] = 0
+        for j in range(1, n + 1):
+            k = np.arange(min(j, longest))
+            ways = fore[:, j - 1 - k] + scores[:, j - 1 - k, k]
+            top = ways.max(1)
+            fore[:, j] = top + np.log(np.exp(ways - top[:, None]).sum(1))
+        return fore
+
+    def _scores(self, ids: np.ndarray, chars: list[str]) -> np.ndarray:
+        table = np.r_[self.logs, [self.char(c) for c in chars], -np.inf]
+        return table[ids]
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length (at most LONG), and their code points."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(sizes[sizes <= LONG]).tolist():
+            at = np.flatnonzero(sizes == n)
+            for some in np.array_split(at, -(-len(at) // 2000)):
+                codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), np.uint32).reshape(len(some), n)
+                codes = np.where(codes == ord(MARK), 0x110000, codes).astype(np.uint64)  # in a word it is no mark
+                yield some, np.hstack([np.full((len(some), 1), ord(MARK), np.uint64), codes])
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each word under all segmentations, natural logs."""
+        out = np.zeros(len(words))
+        for at, codes in self.groups(words):
+            ids, chars = self.pieces.lattice(codes)
+            out[at] = self.forward(ids, self._scores(ids, chars))[:, -1]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.one(w)[-1]
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected counts of pieces in words that come so many times."""
+        counts = np.zeros(self.pieces.size + 1)
+        for at, codes in self.groups(words):
+            ids, chars = self.pieces.lattice(codes)
+            scores = self._scores(ids, chars)
+            fore = self.forward(ids, scores)
+            m, n, longest = ids.shape
+            back = np.full((m, n + 1), -np.inf)
+            back[:, n] = 0
+            wide = np.zeros(self.pieces.size + 1 + len(chars))
+            for i in range(n - 1, -1, -1):
+                k = min(n - i, longest)
+                ways = scores[:, i, :k] + back[:, i + 1 : i + 1 + k]
+                top = ways.max(1)
+                back[:, i] = top + np.log(np.exp(ways - top[:, None]).sum(1))
+                share = np.exp(ways + (fore[:, i] - fore[:, n])[:, None]) * times[at][:, None]
+                real = ids[:, i, :k] >= 0
+                wide += np.bincount(ids[:, i, :k][real], share[real], len(wide))
+            counts += wide[: len(counts)]
+            for c, x in zip(chars, wide[len(counts) :].tolist()):
+                self._add(counts, c, x)
+        for w, c in zip(words, times.tolist()):
+            if len(w) > LONG:
+                self.one(w, counts, c)
+        return counts
+
+    def _add(self, counts: np.ndarray, char: str, times: float) -> None:
+        for b in self.pieces.byte_ids(char):
+            if b >= 0:
+                counts[b] += times
+
+    def one(self, word: str, counts: np.ndarray | None = None, times: float = 0.0) -> list[float]:
+        """The forward sums of one word, piece by piece; with `counts`, what it is expected
+        to hold is added there."""
+        get, longest, n = self.pieces.ids.get, self.pieces.longest, len(word) + 1
+
+        def ways(i: int):
+            for j in range(i + 1, min(n, i + longest) + 1):
+                p = get(MARK + word[: j - 1]) if i == 0 else None if MARK in word[i - 1 : j - 1] else get(word[i - 1 : j - 1])
+                if p is not None:
+                    yield j, p, float(self.logs[p])
+                elif j == i + 1:
+                    yield j, -1, self.char(word[i - 1] if i else MARK)
+
+        fore = [-math.inf] * (n + 1)
+        fore[0] = 0.0
+        for i in range(n):
+            for j, _, s in ways(i):
+                a, b = fore[j], fore[i] + s
+                fore[j] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+        if counts is not None:
+            back = [-math.inf] * n + [0.0]
+            for i in range(n - 1, -1, -1):
+                for j, p, s in ways(i):
+                    a, b = back[i], back[j] + s
+                    back[i] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+                    share = times * math.exp(fore[i] + s + back[j] - fore[n])
+                    if p >= 0:
+                        counts[p] += share
+                    else:
+                        self._add(counts, word[i - 1] if i else MARK, share)
+        return fore
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a slice of texts: the text and the distinct word of each place, and the words.
+    Arrow's ASCII functions know the same white space and upper case as the rules."""
+    cuts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    text = np.repeat(np.arange(len(texts)), np.diff(cuts.offsets.to_numpy()))
+    coded = cuts.flatten().dictionary_encode()
+    word, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    real = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+    inside = real[word] if len(names) else np.zeros(0, bool)
+    return text[inside], (np.cumsum(real) - 1)[word[inside]], names.filter(pa.array(real))
 
 
 def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
-    """docs(train boolean, text) to (word, c): all words and their training counts."""
+    """docs(train boolean, text) to (word, c, n): all words, their counts in training
+    documents and in all."""
 
     def run(batches):
-        seen: Counter = Counter()
-        train: Counter = Counter()
+        seen: dict[str, int] = {}
+        names: list[str] = []
+        counts = np.zeros((2, 1 << 16), np.int64)
 
         def out():
-            words = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train.get(w, 0) for w in words], pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                seen.update(dict.fromkeys(words, 0))
-                if learn:
-                    train.update(words)
-                if len(seen) >= most:
+            k = len(names)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts[0, :k]), pa.array(counts[1, :k])], names=["word", "c", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                learn = pc.fill_null(batch.column(0), False).to_numpy(zero_copy_only=False)
+                text, word, listed = words_of(batch.column(1))
+                listed = listed.to_pylist()
+                for w in listed:
+                    if w not in seen:
+                        seen[w] = len(names)
+                        names.append(w)
+                while counts.shape[1] < len(names):
+                    counts = np.hstack([counts, np.zeros_like(counts)])
+                at = np.fromiter(map(seen.__getitem__, listed), np.int64, len(listed))
+                counts[0, at] += np.bincount(word[learn[text]], minlength=len(listed))
+                counts[1, at] += np.bincount(word, minlength=len(listed))
+                if len(names) >= most:
                     yield out()
                     seen.clear()
-                    train.clear()
-        if seen:
+                    names.clear()
+                    counts = np.zeros((2, 1 << 16), np.int64)
+        if names:
             yield out()
 
-    return docs.select("train", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def piece_counts(words: DataFrame, proto, size: int) -> np.ndarray:
-    """Counts of pieces over the distinct training words. As many rows as pieces."""
-
-    def run(batches):
-        import sentencepiece
-
-        coder = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in coder.encode([w.decode() for w in batch.column(0).to_pylist()], num_threads=1):
-                np.add.at(total, ids, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+    return docs.select("train", "text").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def gathered(batches, rows: int = 20_000):
+    """Arrow batches, put together to so many rows: lattices are run for words of one
+    length together. Words of great length are bounded by their bytes."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size > 1 << 23:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, size = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def fit(words: DataFrame, pieces: Pieces, ends: int, rounds: int = ROUNDS) -> Unigram:
+    """Unigram probabilities from words(word, c) of which any c is above 0. A round sends
+    the driver a row per piece."""
+    spark, logs = words.sparkSession, pieces.zipf()
+    shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
+    for _ in range(rounds):
+
+        def run(batches, logs=logs):
+            model = Unigram(shared.value, logs)
+            total = np.zeros(len(logs))
+            for batch in gathered(batches):
+                total += model.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+
+        counts = np.full(len(logs), ALPHA)
+        for r in words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
+            counts[r[0]] += r[1]
+        counts[-1] += ends
+        logs = np.log(counts / counts.sum())
+    return Unigram(pieces, logs)
+
+
+def load_pieces(path: str) -> list[str]:
+    """Those of a sentencepiece file that stand for text, by their scores."""
+    import sentencepiece
 
-    out = np.zeros(size)
-    for r in words.where("c > 0").select("word").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n")).collect():
-        out[r[0]] = r[1]
-    return out
+    coder = sentencepiece.SentencePieceProcessor(model_file=path)
+    text = [i for i in range(coder.get_piece_size()) if not (coder.is_control(i) or coder.is_unknown(i) or coder.is_unused(i))]
+    return [coder.id_to_piece(i) for i in sorted(text, key=lambda i: (coder.is_byte(i), -coder.get_score(i), i))]
 
 
-def score(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for each row.
 
     train: the condition on rows that the model learns from."""
-    import sentencepiece
-
     spark = docs.sparkSession
     ws = Workspace(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
@@ -172,56 +348,55 @@ def score(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_
     ends = rows.where("train").count()
     units, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     tokens, distinct = units + ends, distinct + (ends > 0)
-
-    with open(vocabulary, "rb") as f:
-        proto = spark.sparkContext.broadcast(f.read())  # the vocabulary file
-    coder = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
-    pieces = [coder.id_to_piece(i) for i in range(coder.get_piece_size())]
-    spelling = Spelling(pieces, piece_counts(words, proto, len(pieces)), distinct - (ends > 0))
-    model = spark.sparkContext.broadcast(Model(spelling, tokens, distinct, ends))
+    model = fit(words, Pieces(load_pieces(vocabulary)), ends, rounds if units else 0)
+    held, base_total, ten = spark.sparkContext.broadcast(model), math.log10(tokens + distinct + 1), math.log(10)
 
     def judge(batches):
-        m = model.value
-        for batch in batches:
-            c = batch.column(1).to_pylist()
-            scores = [m.score(w.decode(), n) for w, n in zip(batch.column(0).to_pylist(), c)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.base(n) for n in c], pa.float64()), pa.array(scores, pa.float64())], names=["word", "c", "base", "score"])
+        m = held.value
+        for batch in gathered(batches):
+            scores = m.log_probabilities(batch.column(0).to_pylist()) / ten
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=["key", "c", "n", "score"])
 
-    judged = ws.write(words.mapInArrow(judge, "word binary, c long, base double, score double"), "judged")
+    key = F.when(F.octet_length("word") <= SHORT, F.col("word")).otherwise(F.concat(F.lit(" "), F.sha2("word", 256)))
+    judged = ws.write(words.select("word", key.alias("key"), "c", "n").mapInArrow(judge, "key string, c long, n long, score double"), "judged")
     # the least count that no more than COMMON words reach, by bins of counts
     room, least = COMMON, math.inf
-    for _, floor in sorted((-b, (m, f)) for b, m, f in judged.groupBy(F.floor(F.log2(F.col("c") + 1) * 32).alias("bin")).agg(F.count("*"), F.min("c")).collect()):
+    for _, floor in sorted((-b, (m, f)) for b, m, f in judged.groupBy(F.floor(F.log2(F.col("n") + 1) * 32).alias("bin")).agg(F.count("*"), F.min("n")).collect()):
         if (room := room - floor[0]) < 0:
             break
         least = floor[1]
-    top = judged.where((F.length("word") <= SHORT) & (F.col("c") >= F.lit(float(least)))).select("word", "c", "base", "score").toArrow()
-    common = spark.sparkContext.broadcast({w: (c > 0, b, s) for w, c, b, s in zip(*(top.column(k).to_pylist() for k in range(4)))})
+    top = judged.where(F.col("n") >= F.lit(float(least))).select("key", "c", "score").toArrow()
+    common = spark.sparkContext.broadcast(({k: i for i, k in enumerate(top.column(0).to_pylist())}, top.column(1).to_numpy(), top.column(2).to_numpy()))
 
     def run(batches):
-        m, known = model.value, common.value
+        known, count, marginal = common.value
+        base, real = np.log10(count + 1) - base_total, count > 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                cols: list[list] = [[] for _ in range(6)]
-                for text in batch.column(3).to_pylist():
-                    n, seen, base, total, rare = 1, int(m.ends > 0), m.base(m.ends), m.end / math.log(10), {}
-                    for w, c in Counter(words_of(text)).items():
-                        n += c
-                        if x := known.get(w):
-                            seen += c * x[0]
-                            base += c * x[1]
-                            total += c * x[2]
-                        else:
-                            rare[w] = c
-                    for col, x in zip(cols, (n, seen, base, total, list(rare), list(rare.values()))):
-                        col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, cols, kinds)], names=["rid", "doc_id", "train", "n_tokens", "n_known", "base", "score", "rare", "times"])
-
-    schema = f"rid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
+            for batch in slices(whole, 3):
+                n = batch.num_rows
+                text, word, listed = words_of(batch.column(3))
+                keys = [k if len(k) <= SHORT // 4 else key_of(k) for k in listed.to_pylist()]
+                at = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+                place = at[word]
+                here, place = text[place >= 0], place[place >= 0]
+                add = lambda values: np.bincount(here, values[place], n)  # noqa: B023, E731
+                rare = at[word] < 0
+                pairs, times = np.unique(text[rare] * (len(keys) + 1) + word[rare], return_counts=True)
+                ends_at = np.searchsorted(pairs, np.arange(n + 1) * (len(keys) + 1)).astype(np.int32)
+                names = pa.array(keys, pa.string()).take(pa.array(pairs % (len(keys) + 1)))
+                lists = [pa.ListArray.from_arrays(pa.array(ends_at), x) for x in (names, pa.array(times.astype(np.int64)))]
+                sums = [
+                    pa.array(np.bincount(text, minlength=n) + 1), pa.array(add(real).astype(np.int64) + (ends > 0)),
+                    pa.array(add(base) + math.log10(ends + 1) - base_total), pa.array(add(marginal) + model_end),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sums, *lists], names=["rid", "doc_id", "train", "n_tokens", "n_known", "base", "score", "rare", "times"])
+
+    model_end = model.end / ten
+    schema = f"rid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<long>"
     parts = ws.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "train", "text").mapInArrow(run, schema), "parts")
-    rare = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    more = rare.join(judged, "word").groupBy("rid").agg(
+    rare = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    worth = judged.where(F.col("n") < F.lit(float(least))).withColumn("base", F.log10(F.col("c") + 1) - F.lit(base_total))
+    more = rare.join(worth, "key").groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.col("base")).alias("more_base"),
         F.sum(F.col("times") * F.col("score")).alias("more_score"),

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,53 +14,100 @@ from pyspark.sql import functions as F
 from quillmill.llm import lattice_lm, pii, quality
 
 
-def spelled(s: lattice_lm.Spelling, word: str) -> float:
-    """All segmentations, one by one."""
-    total = 0.0
-    for cuts in itertools.product((0, 1), repeat=max(len(word), 1)):
-        for bare in (True, False):  # the mark alone, or with the first letters
-            parts, now = [], ""
+VOCABULARY = ["▁a", "a", "ab", "▁", "b", "▁ab", "ba", "▁b", "aba", "▁▁", "é", *[f"<0x{k:02X}>" for k in range(256)]]
+
+
+def spelled(m: lattice_lm.Unigram, text: list[str]) -> float:
+    """The probability of a text: all segmentations of all its words, one by one."""
+    total = 1.0
+    for word in text:
+        found = 0.0
+        for cuts in itertools.product((0, 1), repeat=len(word)):
+            parts, now = [], ["▁"]
             for c, cut in zip(word, cuts):
-                now += c
                 if cut:
                     parts.append(now)
-                    now = ""
-            if now or (word and cuts[-1] == 0):
-                continue
-            first = "" if bare else (parts.pop(0) if parts else None)
-            if first is None or first not in s.first:
-                continue
-            p = s.first[first]
-            for x in parts:
-                if x in s.more:
-                    p += s.more[x]
+                    now = []
+                now.append("mark" if c == "▁" else c)
+            p = 0.0
+            for k, x in enumerate([*parts, now]):
+                piece = "".join(x)
+                if piece in m.pieces.ids and (k == 0 or "▁" not in piece):
+                    p += m.logs[m.pieces.ids[piece]]
                 elif len(x) == 1:
-                    p += sum(s.byte[b] for b in x.encode())
+                    p += m.char("▁" if x[0] == "mark" else x[0])
                 else:
                     p = -math.inf
-            total += math.exp(p)
-    return total * math.exp(s.stop)
+            found += math.exp(p)
+        total *= found
+    return total * math.exp(m.end)
 
 
 def test_forward_recursion_is_the_sum_over_segmentations():
-    pieces = ["<unk>", "▁", "▁a", "a", "ab", "b", "▁ab", "ba", *[f"<0x{k:02X}>" for k in range(256)]]
-    s = lattice_lm.Spelling(pieces, np.arange(len(pieces)) % 7, 10)
-    for word in ("a", "ab", "aba", "bab", "abba", "cab", "é", "zz"):
-        assert math.isclose(math.exp(s.log_probability(word)), spelled(s, word), rel_tol=1e-9), word
+    for vocabulary in (VOCABULARY, VOCABULARY[:3], [x for x in VOCABULARY if x not in ("▁", "<0x96>")]):
+        m = lattice_lm.Unigram(p := lattice_lm.Pieces(vocabulary), lattice_lm.Pieces(vocabulary).zipf())
+        words = ["a", "ab", "aba", "bab", "abba", "cab", "é", "zz", "▁a", "\x00a", "a▁b", "abababab"]
+        each = m.log_probabilities(words)
+        for word, got in zip(words, each):
+            assert math.isclose(math.exp(got + m.end), spelled(m, [word]), rel_tol=1e-9), word
+            assert math.isclose(got, m.one(word)[-1], rel_tol=1e-9)
+        for text in (["ab", "aba"], ["a", "cab", "bab"], []):
+            assert math.isclose(math.exp(m.log_probabilities(text).sum() + m.end), spelled(m, text), rel_tol=1e-9)
+        times = np.arange(1.0, len(words) + 1)
+        both, one = m.expect(words, times), np.zeros(p.size + 1)
+        for w, c in zip(words, times.tolist()):
+            m.one(w, one, c)
+        assert np.allclose(both, one)
+
+
+def test_words_of_any_length():
+    m = lattice_lm.Unigram(p := lattice_lm.Pieces(VOCABULARY), lattice_lm.Pieces(VOCABULARY).zipf())
+    words = ["ab" * n for n in (31, 32, 33, 40, 5000)]  # on both sides of LONG
+    assert np.allclose(m.log_probabilities(words), [m.one(w)[-1] for w in words])
+    assert len(m.expect(words, np.ones(5))) == p.size + 1
+
+
+def test_words():
+    texts = ["  One\ttwo one\x0b", None, "", "É é \u3000 x"]
+    text, word, names = lattice_lm.words_of(pa.array(texts))
+    got = [[names[int(w)].as_py() for t, w in zip(text, word) if t == k] for k in range(4)]
+    assert got == [words(t) for t in texts] == [["one", "two", "one"], [], [], ["É", "é", "\u3000", "x"]]
+
+
+def test_fit_raises_the_likelihood(spark, data):
+    """Each round does, on training documents; and on the held-out ones the fitted model
+    is above the vocabulary's own probabilities and above single characters."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    path, cond = P.path("piece_bpe_32k.model"), lattice_lm.fold(F.col("doc_id"), 7) != 2
+    sums = [
+        {r["train"]: r["s"] for r in lattice_lm.score(docs, path, cond, rounds=k).groupBy("train").agg(F.sum("score").alias("s")).collect()}
+        for k in (0, 1, 2)
+    ]
+    assert sums[0][True] < sums[1][True] < sums[2][True]
+    assert sums[0][False] < sums[1][False] < sums[2][False]
+    rows = [(r["text"] or "", zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2) for r in docs.collect()]
+    chars = Counter(c for t, learn in rows if learn for w in words(t) for c in "▁" + w)
+    total = sum(chars.values()) + len(chars) + 1
+    held = sum(math.log10((chars[c] + 1) / total) for t, learn in rows if not learn for w in words(t) for c in "▁" + w)
+    assert held < sums[2][False]
+
+
+def words(text: str | None) -> list[str]:
+    return [w.decode() for w in (text or "").encode().lower().split()]
 
 
 def check_base(docs, rows, train):
     counts, ends = Counter(), 0
     for i, t in docs:
         if train(i):
-            counts.update(lattice_lm.words_of(t))
+            counts.update(words(t))
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + (ends > 0)
     want = []
     for i, t in docs:
-        words = lattice_lm.words_of(t)
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words) + math.log10((ends + 1) / (n + v + 1))
-        want.append((str(i), len(words) + 1, sum(counts[w] > 0 for w in words) + (ends > 0), n, round(base, 6)))
+        listed = words(t)
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in listed) + math.log10((ends + 1) / (n + v + 1))
+        want.append((str(i), len(listed) + 1, sum(counts[w] > 0 for w in listed) + (ends > 0), n, round(base, 6)))
     assert sorted(want) == sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows)
     assert all(-1e9 < r["score"] < 0 for r in rows)
 
