@@ -18,10 +18,12 @@ one that is asked for by all queries, is many tasks. Of equal vectors in a block
 with the k + 1 smallest ids are measured: no others can be among the k nearest.
 
 Defined results: vectors that are null, zero, of another length than most, or have null or
-non-finite components take no part, as candidate or query. A query is never its own
-candidate; another row with the same id isn't one either. Ties go to the smaller id. With
-no more than k candidates all are returned. Null ids take no part. An empty table gives
-an empty result.
+non-finite components take no part, as candidate or query. A query is a row, and each
+other row is a candidate, with the same id or vector too; rows of one id that are queries
+have k neighbours each. Ties go to the smaller id, and between rows of one id it makes no
+difference. With no more than k candidates all are returned. Null ids take no part. Only
+the id and the vector are read, whatever other columns are named. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -141,11 +143,11 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], names=["vec_id", "v"])
 
-    packed = ws.write(rows.mapInArrow(pack, "vec_id long, v binary"), "vectors")
+    packed = ws.write(rows.mapInArrow(pack, "vec_id long, v binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = packed.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    seen = packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    seen = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()
     # each vector once: copies would draw the centres and the probes to themselves
     x, rng = np.unique(_matrix(seen["v"], dim), axis=0), np.random.default_rng(5)
     cells = min(MOST_CELLS, max(1, math.isqrt(n) // 2), len(x)) if n > block else 1
@@ -164,9 +166,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             own = nearest_cells(x, centres).argmin(1)
             whole = augment(x, scale)
             codes = quantiser.encode(whole - middle[own], whole)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], names=["cell", "vec_id", "codes", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1), b.column(2)], names=["cell", "vec_id", "codes", "v", "row"])
 
-    indexed = ws.write(packed.mapInArrow(index, "cell int, vec_id long, codes binary, v binary"), "index")
+    indexed = ws.write(packed.mapInArrow(index, "cell int, vec_id long, codes binary, v binary, row long"), "index")
     sizes = np.zeros(cells, np.int64)
     for c, m in indexed.groupBy("cell").count().collect():  # a row per cell
         sizes[c] = m
@@ -181,29 +183,30 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             need = np.maximum(probes, (some <= 4 * k).sum(1) + 1)
             rows = [(i, c) for i, m in enumerate(need) for c in order[i, :m] if sizes[c]]
             of = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([c for _, c in rows], pa.int32()), b.column(0).take(of), b.column(1).take(of)], names=["cell", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for _, c in rows], pa.int32()), b.column(0).take(of), b.column(1).take(of), b.column(2).take(of)], names=["cell", "query_id", "q", "asker"])
 
-    asked = ws.write(packed.where(is_query(F.col("vec_id"))).mapInArrow(ask, "cell int, query_id long, q binary"), "asked")
+    asked = ws.write(packed.where(is_query(F.col("vec_id"))).mapInArrow(ask, "cell int, query_id long, q binary, asker long"), "asked")
     blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("vbs")).join(
         asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("qbs")), "cell")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = indexed.join(blocks, "cell").select("cell", F.pmod(F.hash("vec_id"), "vbs").alias("vb"), upto("qbs").alias("qb"), "vec_id", "codes", "v")
-    right = asked.join(blocks, "cell").select("cell", upto("vbs").alias("vb"), F.pmod(F.hash("query_id"), "qbs").alias("qb"), "query_id", "q")
+    left = indexed.join(blocks, "cell").select("cell", F.pmod(F.hash("row"), "vbs").alias("vb"), upto("qbs").alias("qb"), "vec_id", "codes", "v", "row")
+    right = asked.join(blocks, "cell").select("cell", upto("vbs").alias("vb"), F.pmod(F.hash("asker"), "qbs").alias("qb"), "query_id", "q", "asker")
 
     def scan(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         _, middle, scale, quantiser = model.value
         if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        vectors = vectors.sort_values("vec_id", kind="stable")
+            return pd.DataFrame({c: [] for c in ("query_id", "asker", "vec_id", "row", "score")}).astype({c: "int64" for c in ("query_id", "asker", "vec_id", "row")})
+        vectors = vectors.sort_values(["vec_id", "row"])
         place, firsts = pd.factorize(vectors["v"])
         copies = pd.Series(place).groupby(place).cumcount().to_numpy()
-        ids, keep = vectors["vec_id"].to_numpy(), copies <= k
+        ids, own_row, keep = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), copies <= k
         x = _matrix(firsts, dim)
         codes = np.frombuffer(b"".join(vectors["codes"].to_numpy()[copies == 0]), np.uint8).reshape(len(x), -1)
-        members = pd.Series(ids[keep]).groupby(place[keep]).apply(np.array)
+        members = pd.Series(np.flatnonzero(keep)).groupby(place[keep]).apply(np.array)
         found = []
         for at in range(0, len(queries), 256):
-            qid, q = queries["query_id"].to_numpy()[at : at + 256], _matrix(queries["q"].iloc[at : at + 256], dim)
+            qid, asker = (queries[c].to_numpy()[at : at + 256] for c in ("query_id", "asker"))
+            q = _matrix(queries["q"].iloc[at : at + 256], dim)
             asked = np.zeros((len(q), middle.shape[1]))
             asked[:, :dim], asked[:, dim] = q, scale
             tables = np.einsum("qmd,mwd->mqw", asked.reshape(len(q), -1, 2), quantiser.words).astype(np.float32)
@@ -215,15 +218,16 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
                 far = np.sqrt(((x[best[i]] - q[i]) ** 2).sum(1))
                 own = [members[j] for j in best[i]]
                 score, vec = np.repeat(far, [len(y) for y in own]), np.concatenate(own)
-                score, vec = score[vec != qid[i]], vec[vec != qid[i]]
-                top = np.lexsort((vec, score))[:k]
-                found.append((np.full(len(top), qid[i]), vec[top], score[top]))
+                others = own_row[vec] != asker[i]
+                score, vec = score[others], vec[others]
+                top = np.lexsort((own_row[vec], ids[vec], score))[:k]
+                vec = vec[top]
+                found.append((np.full(len(top), qid[i]), np.full(len(top), asker[i]), ids[vec], own_row[vec], score[top]))
         cols = [np.concatenate(y) for y in zip(*found)]
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+        return pd.DataFrame(dict(zip(("query_id", "asker", "vec_id", "row", "score"), cols)))
 
-    near = left.groupBy("cell", "vb", "qb").cogroup(right.groupBy("cell", "vb", "qb")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    near = near.dropDuplicates(["query_id", "vec_id", "score"])  # several rows of one query id
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    near = left.groupBy("cell", "vb", "qb").cogroup(right.groupBy("cell", "vb", "qb")).applyInPandas(scan, "query_id long, asker long, vec_id long, row long, score double")
+    place = F.row_number().over(Window.partitionBy("asker").orderBy("score", "vec_id", "row"))
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     unset (tests on one machine), a folder of this session, removed at exit."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quillmill-")
@@ -71,6 +73,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.lower() and bytes.split() know ASCII only, as the rule for words does."""
+    return (text or "").encode().lower().split()
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -17,9 +17,11 @@ that share bits, are as many as the overlap must be; a dual traversal skips all
 and those that are already in one component. What is left is measured exactly. The result
 is a star for each component found, so that a group of n copies gives n links.
 
-First the keys of a few bands are done, in chunks of at most CHUNK nodes. Then the others
-and, for larger groups, all pairs of chunks, but only where a group still has nodes of
-different components: large groups of near copies are one component by then.
+First the keys of a few bands are done, in chunks of about CHUNK nodes. Then the others,
+but only where a group still has nodes of different components: large groups of near
+copies are one component by then. There the nodes outside the group's largest component
+meet each chunk, so that rows grow with their number, and a group isn't crossed with
+itself. Joins by key are salted, so that a popular key isn't one task.
 
 Sets are not stored for all documents: those of nodes that meet others are made again
 from the texts. A bitmap of fixed size tells which texts to read, an exact join follows.
@@ -38,11 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Workspace
+from quillmill.llm.common import Workspace, words_of
 from quillmill.llm.components import components
-from quillmill.llm.lattice_lm import words_of
 
 SIZE, BANDS, SMALLEST, CHUNK = 5, 40, 3, 2000
+#: Tokens of a chunk, so that it is bounded in bytes too (a set of more is one alone).
+TOKENS = 1 << 22
+#: A key's nodes are dealt into so many parts where keys are joined.
+SALTS = 8
 #: Sets of no more tokens get keys of two dealings.
 SMALL = 24
 EARLY = 6
@@ -225,13 +230,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     described = ws.write(texts.mapInArrow(describe, f"doc_id {kind}, row long, n_shingles long, node binary, keys array<long>"), "described")
-    nodes = described.where("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    met = ws.write(nodes.select("node", F.explode("keys").alias("key")), "keys")
+    nodes = described.where("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").cast("int").alias("size"))
+    met = ws.write(nodes.select("node", "size", F.explode("keys").alias("key")), "keys")
     # groups of the same nodes are one: their keys agree in number and sum of hashes
-    groups = met.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("g")).where("n > 1")
+    groups = met.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("g")).where("n > 1")
     band = F.col("key").bitwiseAND(F.lit(63))
-    groups = groups.groupBy("n", "g").agg(F.min_by("key", band).alias("key")).select("key", "n")
-    members = ws.write(met.join(groups, "key"), "members")
+    groups = groups.groupBy("n", "g").agg(F.min_by(F.struct("key", "tokens"), band).alias("x")).select("x.key", "n", "x.tokens")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt")
+    members = ws.write(met.select("*", salt).join(groups.select("*", salts), ["key", "salt"]), "members")
     ws.drop("keys")
 
     # texts to read again, by a bitmap of fixed size
@@ -260,24 +267,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = texts.select("text").mapInArrow(tokens, "node binary, tokens binary")
     sets = ws.write(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    def links(rows: DataFrame, crossed: bool, name: str) -> DataFrame:
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("key", "node"), chunks).cast("int")
-        rows = rows.withColumns({"chunks": chunks, "own": own})
-        if crossed:  # chunk i meets each chunk j where the smaller of both names the pair
-            other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-            rows = rows.withColumn("other", other).withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-        else:
-            rows = rows.withColumn("part", F.col("own"))
-        rows = rows.select("key", F.col("part").cast("long").alias("part"), "node", "root").join(sets, "node")
-        rows = rows.select("key", "part", "node", "root", "tokens").repartition("key", "part").sortWithinPartitions("key", "part")
+    chunks = lambda n, tokens: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(tokens) / TOKENS)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("key", "node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+
+    def links(rows: DataFrame, name: str) -> DataFrame:
+        """rows(key, part, node, root): all nodes of a part meet."""
+        rows = rows.join(sets, "node").select("key", "part", "node", "root", "tokens").repartition("key", "part").sortWithinPartitions("key", "part")
         return ws.write(rows.mapInArrow(_verify, "a binary, b binary"), name)
 
-    early = links(members.where(band < EARLY).withColumn("root", F.col("node")), False, "early")
+    first = members.where(band < EARLY).withColumn("chunks", chunks("n", "tokens"))
+    early = links(first.select("key", own("chunks").cast("long").alias("part"), "node", F.col("node").alias("root")), "early")
     roots = components(ws, early, "first")
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    late = links(labelled.join(open_, "key", "left_semi"), True, "late")
+    labelled = ws.write(members.select("key", "salt", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    # a group's components, and the largest of them
+    counted = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    most = F.max_by(F.struct("root", "n", "tokens"), F.struct("n", "root"))
+    open_ = counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), most.alias("most")).where("roots > 1")
+    open_ = open_.select("key", F.col("most.root").alias("main"), chunks("n", "tokens").alias("all"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
+    open_ = open_.select("key", "main", "all", chunks("n", "tokens").alias("few"), salts)
+    # part (i, j): chunk i of all nodes, and chunk j of those outside the largest component
+    at = lambda i, j: (i.cast("long") * F.col("few") + j).alias("part")
+    in_all = F.transform(upto("few"), lambda j: at(own("all"), j))
+    in_few = F.transform(upto("all"), lambda i: at(i, own("few")))
+    parts = F.when(F.col("root") == F.col("main"), in_all).otherwise(F.array_union(in_few, in_all))
+    late = links(labelled.join(open_, ["key", "salt"]).select("key", F.explode(parts).alias("part"), "node", "root"), "late")
     all_links = late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = components(ws, all_links, "last")
 

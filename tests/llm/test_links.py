@@ -165,3 +165,32 @@ def test_search_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(df, lambda i: i % 100 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.search(df.limit(0), lambda i: i % 100 == 0).collect() == []
+
+
+def test_each_row_is_a_candidate(spark):
+    """Rows of one id, with equal vectors and with others, and queries of one id."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [9.0, 0.0]), (0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(df, lambda i: i % 100 == 0).collect()]
+    want = []
+    for a, (i, q) in enumerate(rows):
+        if i == 0:
+            far = sorted((round(sum((x - y) ** 2 for x, y in zip(q, v)) ** 0.5, 6), j) for b, (j, v) in enumerate(rows) if b != a)
+            want += [(i, k + 1, j, d) for k, (d, j) in enumerate(far)]
+    assert sorted(got) == sorted(want)
+
+
+def prose(seed, n):
+    r = np.random.default_rng(seed)
+    return [f"v{x}" for x in r.integers(0, 60, n)]
+
+
+def test_groups_that_are_not_one_component(spark, monkeypatch):
+    """Small chunks: nodes outside the largest component of a key meet all the others."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "EARLY", 0)
+    base = prose(11, 60)
+    texts = [" ".join(base[:k] + [f"w{k}"] + base[k:]) for k in range(0, 60, 2)] + [" ".join(base[:20] + prose(k, 25)) for k in range(40, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [c for _, c in brute_components(list(enumerate(texts)))]
