@@ -70,6 +70,19 @@ def merge_keys(existing: DataFrame, updates: DataFrame) -> DataFrame:
     return both.select("key", F.coalesce("v1", "v0").alias("value"), place.alias("place"))
 
 
+def merged(section: Column, **fields: Column) -> Column:
+    """A struct with fields put in, in the place of those of the same name."""
+    for name, value in fields.items():
+        section = section.withField(name, value)
+    return section
+
+
+def result(params: dict[str, Column], metrics: dict[str, Column]) -> Column:
+    """What a computation was asked, and what it measured."""
+    pack = lambda x: F.struct(*[v.alias(k) for k, v in x.items()])
+    return F.struct(pack(params).alias("params"), pack(metrics).alias("metrics"))
+
+
 def valid_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 

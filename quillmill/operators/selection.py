@@ -25,18 +25,78 @@ def greedy_select(rows: DataFrame, strata: list[tuple[str, Column, float]], n: i
     """Rows with their stratum: strata in turn take the best that none took before, out of
     three times their quota; what did not fit may be taken later.
 
-    Each stratum is a distributed top-k; what is selected is at most a few times n rows,
-    which is what the anti join broadcasts."""
-    taken: list[DataFrame] = []
-    for at, (name, among, weight) in enumerate(strata):
-        k = quota(n, weight)
-        best = rows.where(among).withColumn("__rank", F.lit(0)).orderBy(*order).limit(3 * k)
-        if taken:
-            seen = reduce(DataFrame.unionByName, [t.select(key) for t in taken])
-            best = best.join(F.broadcast(seen), key, "left_anti")
-        best = best.drop("__rank").orderBy(*order).limit(k)
-        taken.append(best.withColumns({"stratum": F.lit(name), "stratum_ord": F.lit(at)}))
-    return reduce(DataFrame.unionByName, taken)
+    One scan tags rows with all their strata, and a limited rank keeps 3 * quota of each
+    before they are shuffled. What is left is bounded by n, so that one array of it is
+    folded, a stratum after another. `order` must order all rows."""
+    quotas = [quota(n, w) for _, _, w in strata]
+    tags = F.array_compact(F.array(*[F.when(among, F.lit(k)) for k, (_, among, _) in enumerate(strata)]))
+    tagged = rows.withColumn("__s", F.explode(tags))
+    best = tagged.withColumn("__rank", F.row_number().over(Window.partitionBy("__s").orderBy(*order))).where(F.col("__rank") <= 3 * max(quotas))
+    limit = F.element_at(F.array(*[F.lit(3 * q) for q in quotas]), F.col("__s") + 1)
+    best = best.where(F.col("__rank") <= limit).select(F.struct("__s", "__rank", F.struct(*rows.columns).alias("r")).alias("c"))
+    found = best.agg(F.array_sort(F.collect_list("c")).alias("c"))  # 3 * quota rows a stratum
+
+    def step(acc: Column, x: Column) -> Column:
+        used = F.when(acc["cur"] == x["__s"], acc["used"]).otherwise(0)
+        room = used < F.element_at(F.array(*map(F.lit, quotas)), x["__s"] + 1)
+        take = room & ~F.exists(acc["taken"], lambda t: t["r"][key] == x["r"][key])
+        return F.struct(F.when(take, F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"), x["__s"].alias("cur"), (used + F.when(take, 1).otherwise(0)).alias("used"))
+
+    start = F.struct(F.slice("c", 1, 0).alias("taken"), F.lit(-1).alias("cur"), F.lit(0).alias("used"))
+    chosen = found.select(F.explode(F.aggregate("c", start, step, lambda acc: acc["taken"])).alias("x"))
+    names = F.element_at(F.array(*[F.lit(s) for s, _, _ in strata]), F.col("x.__s") + 1)
+    return chosen.select("x.r.*", names.alias("stratum"), F.col("x.__s").alias("stratum_ord"))
+
+
+def ranked(rows: DataFrame, group: list[str], coarse: list[Column], order: list[Column], place: str = "place") -> DataFrame:
+    """Adds the place of each row within its group, by `order`. `coarse` is the beginning
+    of that order, ascending, in as many values as make groups small: rows are numbered
+    within one of them and counted on from those before, so that a group isn't sorted in
+    one task. Rows and their counts are shuffled by the same columns."""
+    cols = [f"__c{k}" for k in range(len(coarse))]
+    rows = rows.withColumns(dict(zip(cols, coarse)))
+    counts = rows.groupBy(*group, *cols).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy(*cols)) - F.col("__n")
+    counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*group, *cols])], before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*group, *cols).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*group, *cols])])
+    out = rows.withColumn("__within", within).join(counts, same)
+    return out.withColumn(place, (F.col("__before") + F.col("__within")).cast("long")).drop("__before", "__within", *cols, *[f"__k{i}" for i in range(len(group) + len(cols))])
+
+
+def rank_of(name: Column, ranks: dict[str, int] | None = None, other: int = 9) -> Column:
+    """The place of a name in a fixed order; others come last."""
+    ranks = PRIORITY if ranks is None else ranks
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), name), F.lit(other))
+
+
+def top_and_rest(rows: DataFrame, order: list[Column], n: int, key: str) -> DataFrame:
+    """All rows with `top`: whether they are among the first n. `order` must order all."""
+    first = rows.orderBy(*order).limit(n).select(F.col(key).alias("__k"))  # n rows
+    return rows.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("top", F.col("__k").isNotNull()).drop("__k")
+
+
+def paywalled(rows: DataFrame, access_col: str = "access", doi: str = "doi") -> DataFrame:
+    """Records to be fetched by hand that have an identifier."""
+    return rows.where((F.col(access_col) == "paywall") & (F.col(doi) != ""))
+
+
+def search_summary(records: DataFrame, log: DataFrame, topic: str, year: str = "anio") -> DataFrame:
+    """part, place and line of a search's summary: totals and years, tables of strata and
+    access, the log of queries, and identifiers that are paywalled, in order.
+
+    records: stratum, access, doi, seq and the year; log: ord, stratum, query, hits."""
+    n = year_number(F.col(year))
+    total = records.agg(F.count("*").alias("n"), F.min(n).alias("a"), F.max(n).alias("b"))
+    years = F.when(F.col("a").isNull(), "s/d").otherwise(F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")))
+    row = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    out = [total.select(F.lit("total").alias("part"), F.lit(1).cast("long").alias("place"), F.concat(F.lit(f"{topic}: "), F.col("n").cast("string"), F.lit(" · "), years).alias("line"))]
+    for part in ("stratum", "access"):
+        counts = counts_first_seen(records, part, "seq")
+        out.append(counts.select(F.lit(part), F.col("place").cast("long"), row(F.col(part), F.col("n").cast("string"))))
+    out.append(log.select(F.lit("log"), F.col("ord").cast("long"), row("stratum", F.col("hits").cast("string"), F.concat(F.lit("`"), "query", F.lit("`")))))
+    out.append(paywalled(records).select(F.lit("paywalled"), F.col("seq").cast("long"), F.concat(F.lit("- "), "doi")))
+    return reduce(DataFrame.union, out)
 
 
 def year_number(year: Column) -> Column:

@@ -23,7 +23,8 @@ def inventory(states: DataFrame, entity: str, seq: str) -> DataFrame:
 
 
 def blocks(states: DataFrame, entity: str, state: str, seq: str) -> DataFrame:
-    """domain, n and its lines, in order."""
+    """domain, n and its lines, in order. A domain's text is one row, so there must be a
+    row per device (see latest()), not per event."""
     line = F.concat(F.col(entity), F.lit(" = "), F.coalesce(F.col(state), F.lit("?")))
     got = states.groupBy(domain(F.col(entity)).alias("domain")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), line.alias("l")))).alias("x"))
     return got.select("domain", "n", F.concat(F.lit("## "), "domain", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.array_join(F.col("x.l"), "\n")).alias("block"))
@@ -67,9 +68,22 @@ def wait(asked: DataFrame, answers: DataFrame, key: str, seconds: int) -> DataFr
     that no pair is made."""
     q = asked.select(key, F.col("id"), F.col("time"), F.lit(None).cast("string").alias("answer"), F.lit(1).alias("__q"))
     a = answers.select(key, F.col("id"), F.col("time"), F.col("answer"), F.lit(0).alias("__q"))
-    # at one time a question comes after the answers: an answer must be later
-    w = Window.partitionBy(key).orderBy("time", "__q", "id").rowsBetween(1, Window.unboundedFollowing)
-    both = q.unionByName(a).withColumn("__next", F.first(F.when(F.col("__q") == 0, F.struct("time", "answer")), ignorenulls=True).over(w)).where("__q = 1")
+    # latest first, so that the frame only grows; at one time a question comes after the
+    # answers: an answer must be later
+    w = Window.partitionBy(key).orderBy(F.desc("time"), F.desc("__q"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    both = q.unionByName(a).withColumn("__next", F.last(F.when(F.col("__q") == 0, F.struct("time", "answer")), ignorenulls=True).over(w)).where("__q = 1")
     late = F.unix_micros(F.col("__next.time").cast("timestamp")) - F.unix_micros(F.col("time").cast("timestamp")) <= seconds * 1_000_000
     inside = F.coalesce(late, F.lit(False))
     return both.select(key, "id", F.when(inside, "answered").otherwise("timeout").alias("status"), F.when(inside, F.col("__next.answer")).alias("answer"))
+
+
+def after_answer(waits: DataFrame, keep: str, action: str) -> DataFrame:
+    """What a wait leads to: an answer to keep things stops the run, any other or none
+    goes on with the action."""
+    kept = F.coalesce((F.col("status") == "answered") & (F.col("answer") == keep), F.lit(False))
+    return waits.withColumn("action", F.when(kept, "abort").otherwise(action))
+
+
+def by_entity(states: DataFrame, entity: str) -> DataFrame:
+    """All states in the order of their entities: a range sort."""
+    return states.orderBy(entity)

@@ -21,6 +21,11 @@ def verdict(section: Column, protected: list[int]) -> Column:
     return F.when(section.isin(protected), "RECHAZADA_AUTOMATICA").otherwise("PENDIENTE")
 
 
+def applicable(proposals: DataFrame, status: str) -> DataFrame:
+    """Proposals that a bulk run applies: those that no rule has rejected."""
+    return proposals.where(~F.contains(F.col(status), F.lit("RECHAZADA")))
+
+
 def last_of(messages: DataFrame, key: str, seq: str, role: str, among: str, text: str) -> DataFrame:
     """The last text of a role in each conversation, '' without any."""
     return messages.groupBy(key).agg(F.coalesce(F.max_by(F.when(F.col(role) == among, F.col(text)), F.when(F.col(role) == among, F.col(seq))), F.lit("")).alias("last_text"))

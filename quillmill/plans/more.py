@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
@@ -50,7 +49,7 @@ SELECT lang, CASE WHEN rel >= 2 THEN 'off' WHEN place <= 12 THEN 'priority' ELSE
 def q51_pending_sections(spark, d):
     rel = F.when(F.col("n_chars") > 4000, 0).when(F.col("n_chars") > 1000, 1).otherwise(2)
     rows = table(spark, d, "documents", "doc_id", "lang", "n_chars").withColumn("rel", rel)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rel", F.desc("n_chars"), "doc_id")))
+    rows = selection.ranked(rows, ["lang"], [F.col("rel"), -F.col("n_chars")], [F.col("rel"), F.desc("n_chars"), F.col("doc_id")])
     line = F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit(" ("), "lang", F.lit(")"))
     got = composition.sectioned(rows, "rel", "place", line, 12)
     return got.withColumn("lang", F.regexp_extract("line", r"\((.*)\)$", 1))
@@ -62,19 +61,10 @@ def q52_state_lines(spark, d):
     return rows.select("entity", composition.state_line(F.col("entity"), F.col("state"), F.col("a")).alias("line"))
 
 
-@query("""WITH e AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), f AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM labels)
-SELECT e.doc_id, CASE WHEN verdict IS NULL THEN 'missing' WHEN verdict = 'ok' THEN 'arrived' ELSE 'invalid' END AS status FROM e LEFT JOIN f USING (doc_id)
-UNION ALL SELECT doc_id, 'stray' FROM f WHERE doc_id NOT IN (SELECT doc_id FROM e)""")
-def q53_arrivals(spark, d):
-    found = table(spark, d, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("bad").alias("verdict"))
-    return composition.arrivals(table(spark, d, "documents", "doc_id").where("doc_id % 2 = 0"), found, "doc_id")
-
-
 @query("""WITH f AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM labels)
 SELECT e.doc_id, CASE WHEN verdict IS NULL THEN 'missing' WHEN verdict = 'ok' THEN 'arrived' ELSE 'invalid' END AS status FROM documents e LEFT JOIN f USING (doc_id)
 UNION ALL SELECT doc_id, 'stray' FROM f WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = f.doc_id)""")
-def q53b_all_arrivals(spark, d):
-    """All records, where q53 takes every other one."""
+def q53_arrivals(spark, d):
     found = table(spark, d, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("bad").alias("verdict"))
     return composition.arrivals(table(spark, d, "documents", "doc_id"), found, "doc_id")
 

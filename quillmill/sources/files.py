@@ -26,9 +26,10 @@ ARTICLE = (
 )
 
 
-def envelope(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of JSON envelopes, with the envelope's topic and focus."""
-    rows = spark.read.schema(ENVELOPE).json(path, multiLine=True)
+def envelope(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per record of JSON envelopes (a file each, or with `lines` a line each), with
+    the envelope's topic and focus."""
+    rows = spark.read.schema(ENVELOPE).json(path, multiLine=not lines)
     return rows.select("tema", "enfoque", F.posexplode("fuentes").alias("seq", "f")).select("tema", "enfoque", "seq", "f.*")
 
 
@@ -36,6 +37,32 @@ def day_log(spark: SparkSession, folder: str, day: str) -> DataFrame:
     return spark.read.schema(TRACE).json(f"{folder}/{day}.jsonl")
 
 
+def day_rows(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """A day of an appended log (see outputs.append_log): only its folder is read."""
+    return spark.read.schema(f"{TRACE}, day date").json(folder).where(F.col("day") == F.lit(day).cast("date"))
+
+
+def sorted_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """path, name and length of the files under a folder that match, in the order of their
+    paths; their contents aren't read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length").orderBy("path")
+
+
+def specs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON specs, a line each or (a file that is one spec) whole."""
+    return spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
+
+
+def parsed(rows: DataFrame, text: str, schema: str, most: int = 200, stop: bool = False) -> DataFrame:
+    """Adds `value`, the JSON of a column, and `error`: an excerpt of what is no JSON, else
+    null. stop: the first such text ends the job with its excerpt."""
+    bad = F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNull()
+    excerpt = F.concat(F.lit("JSON inválido: "), F.substring(text, 1, most))
+    error = F.when(bad, F.raise_error(excerpt).cast("string") if stop else excerpt)
+    return rows.withColumns({"error": error, "value": F.when(~bad, F.from_json(F.col(text), schema))})
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """Flat records of XML files."""
     return flat(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What access classes are called.
@@ -38,3 +44,48 @@ def envelope_json(rows: DataFrame, key: str, order: str) -> DataFrame:
 def append_log(rows: DataFrame, folder: str, day: str) -> None:
     """Day logs: one folder a day, appended to."""
     rows.withColumn("day", F.to_date(day)).write.mode("append").partitionBy("day").json(folder)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share. On one machine without
+    spark.checkpoint.dir it is a folder that goes with the process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), f"quillmill-{os.getpid()}")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/landed/{uuid.uuid4().hex}"
+
+
+def overwrite_json(rows: DataFrame, path: str) -> None:
+    """Puts `rows` in the place of the JSON at `path`, which they may be read from: they
+    are written beside it first, and then renamed."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where, beside, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
+    files = where.getFileSystem(conf)
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path + ".new")
+    if files.exists(where):
+        files.delete(old, True)
+        files.rename(where, old)
+    if not files.rename(beside, where):
+        raise OSError(f"{path} could not be replaced")
+    files.delete(old, True)
+
+
+def with_spec(rows: DataFrame, spec: list[str], path: str) -> None:
+    """Writes rows as JSON, and what they were made from (the columns `spec`) beside them,
+    as <path>.spec, for trace."""
+    rows.write.json(path)
+    rows.select(F.to_json(F.struct(*spec)).alias("value")).write.text(path + ".spec")
+
+
+def proposal(ident: Column, title: Column, section: Column, change: Column, status: Column) -> Column:
+    """A proposal as Markdown lines."""
+    return F.concat_ws("\n", F.concat(F.lit("# "), ident), F.concat(F.lit("- titulo: "), title), F.concat(F.lit("- seccion: "), section.cast("string")), F.concat(F.lit("- estado: "), status), F.lit(""), change)
+
+
+def changelog(version: Column, day: Column, title: Column, before: Column) -> Column:
+    """The log with an entry put before the others."""
+    return F.concat(F.lit("## "), version, F.lit(" ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")\n- "), title, F.lit("\n"), before)

@@ -142,7 +142,7 @@ def test_arrivals(spark, tmp_path):
     docs, labels = [(k,) for k in (1, 2, 3, 4)], [(1, 1), (2, 0), (3, None), (7, 1), (8, 0)]
     spark.createDataFrame(docs, "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = sorted((r["doc_id"], r["status"]) for r in more.q53b_all_arrivals(spark, str(tmp_path)).collect())
+    got = sorted((r["doc_id"], r["status"]) for r in more.q53_arrivals(spark, str(tmp_path)).collect())
     assert got == [(1, "arrived"), (2, "invalid"), (3, "invalid"), (4, "missing"), (7, "stray"), (8, "stray")]
 
 
@@ -194,3 +194,56 @@ def test_matrix(spark, tmp_path):
         assert sorted(map(tuple, files.matrix(spark, str(tmp_path / name)).collect())) == want
     assert sorted(map(tuple, files.matrix(spark, str(tmp_path / "one.csv")).collect())) == [(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0)]
     assert signals.band_pass(files.matrix(spark, str(tmp_path / "m.npy")), 2048).count() == 12
+
+
+def test_selection_reads_once(spark, data):
+    from quillmill.plans.catalog import QUERIES
+
+    plan = QUERIES["q01_stratified_select"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    from quillmill.operators.selection import greedy_select
+
+    empty = spark.createDataFrame([], "id int, x int")
+    assert greedy_select(empty, [("a", F.lit(True), 0.5), ("b", F.lit(True), 0.5)], 10, [F.col("x"), F.col("id")], "id").collect() == []
+
+
+def test_ranked_counts_on(spark):
+    from quillmill.operators.selection import rank_of, ranked, top_and_rest
+
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else f"g{k % 3}", None if k % 7 == 0 else k % 5) for k in range(60)], "id int, g string, x int")
+    got = {r["id"]: r["place"] for r in ranked(rows, ["g"], [F.col("x")], [F.col("x"), F.col("id")]).collect()}
+    for g in (None, "g1", "g2"):
+        among = sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (r["x"] is not None, r["x"] or 0, r["id"]))
+        assert [got[r["id"]] for r in among] == list(range(1, len(among) + 1))
+    top = top_and_rest(rows, [F.desc("id")], 5, "id")
+    assert top.count() == 60 and sorted(r["id"] for r in top.where("top").collect()) == [55, 56, 57, 58, 59]
+    ranks = [r[0] for r in spark.createDataFrame([("guias",), ("x",), (None,)], "s string").select(rank_of(F.col("s"))).collect()]
+    assert ranks == [0, 9, 9]
+
+
+def test_replaced_and_stopped(spark, tmp_path):
+    import pytest as pt
+
+    from quillmill.sources import files, outputs
+
+    path = f"{tmp_path}/x.json"
+    for n in (3, 2):
+        outputs.overwrite_json(spark.range(n), path)
+        rows = spark.read.schema("id long").json(path)
+        outputs.overwrite_json(rows.withColumn("id", F.col("id") + 10), path)
+        assert sorted(r[0] for r in spark.read.schema("id long").json(path).collect()) == [10, 11, 12][:n]
+    assert [f.name for f in sorted(tmp_path.iterdir())] == ["x.json"]
+    texts = spark.createDataFrame([('{"a": 1}',), ("{no" * 200,), (None,)], "t string")
+    got = files.parsed(texts, "t", "a int").collect()
+    assert [r["value"] and r["value"]["a"] for r in got] == [1, None, None] and got[0]["error"] is None and got[1]["error"] == "JSON inválido: " + ("{no" * 200)[:200]
+    with pt.raises(Exception, match="USER_RAISED_EXCEPTION"):
+        files.parsed(texts, "t", "a int", stop=True).collect()
+    listed = files.sorted_files(spark, str(tmp_path), "*.json").collect()
+    assert [r["path"] for r in listed] == sorted(r["path"] for r in listed) and len(listed) > 0
+
+
+def test_after_answer(spark):
+    from quillmill.operators.states import after_answer
+
+    rows = spark.createDataFrame([(1, "answered", "keep"), (2, "answered", "off"), (3, "timeout", None), (4, "answered", None)], "id int, status string, answer string")
+    assert [r["action"] for r in after_answer(rows, "keep", "off").orderBy("id").collect()] == ["abort", "off", "off", "off"]

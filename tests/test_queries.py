@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillmill.plans import more  # noqa: F401
+from quillmill.plans import landed, more  # noqa: F401
 from quillmill.plans.catalog import QUERIES, SQL
 
 
