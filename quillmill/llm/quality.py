@@ -117,6 +117,10 @@ def raw_score(p: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.add.reduceat(p * weight, starts) / np.add.reduceat(weight, starts)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -139,10 +143,15 @@ def fit_lines(x: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np
         theta = theta + 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     p, _ = forward_backward(z @ theta[:-4], counts, theta[-4:].reshape(2, 2))
     s, ab = _logit(raw_score(p, lengths, counts)), np.array([1.0, 0.0])
-    for _ in range(50):  # logistic map, by Newton's method
-        q = 1 / (1 + np.exp(-(ab[0] * s + ab[1])))
-        d, w = np.stack([s, np.ones_like(s)]), q * (1 - q) + 1e-6
-        ab = ab + np.linalg.solve((d * w) @ d.T + 0.1 * np.eye(2), d @ (labels - q) - 0.1 * (ab - [1.0, 0.0]))
+    d, start = np.stack([s, np.ones_like(s)]), np.array([1.0, 0.0])
+    cost = lambda ab: np.logaddexp(0, ab @ d).sum() - labels @ (ab @ d) + 0.05 * ((ab - start) ** 2).sum()
+    for _ in range(50):  # logistic map, by Newton's method with steps that lower the cost
+        q = _sigmoid(ab @ d)
+        step = np.linalg.solve((d * (q * (1 - q) + 1e-6)) @ d.T + 0.1 * np.eye(2), d @ (labels - q) - 0.1 * (ab - start))
+        size = next((k for k in 0.5 ** np.arange(30) if cost(ab + k * step) < cost(ab)), 0.0)
+        if not size:
+            break
+        ab = ab + size * step
     return {"mean": mean, "std": std, "theta": theta, "map": ab}
 
 
@@ -154,7 +163,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     x, lengths, counts = line_features(texts)
     z = with_neighbours((x - model["mean"]) / model["std"], counts)
     p, _ = forward_backward(z @ model["theta"][:-4], counts, model["theta"][-4:].reshape(2, 2))
-    return 1 / (1 + np.exp(-(model["map"][0] * _logit(raw_score(p, lengths, counts)) + model["map"][1])))
+    return _sigmoid(model["map"][0] * _logit(raw_score(p, lengths, counts)) + model["map"][1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -176,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, modulus: int = 4
                     pa.array([lengths[b - n : b].astype(np.int64).tobytes() for b, n in zip(ends, counts)], pa.binary()),
                 ], names=["quality", "x", "lengths"])
 
-    rows = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")  # at most `sample` rows
-        .select("__quality", "__text").mapInArrow(run, "quality int, x binary, lengths binary").collect()
-    )
+    # of rows of one id the one with the least hash: at most `sample` rows in all
+    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    known = known.groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__quality", "__text")).alias("__r"))
+    rows = known.select("__r.__quality", "__r.__text").mapInArrow(run, "quality int, x binary, lengths binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
     good = np.array([r["quality"] for r in rows])
     if not len(good) or len(set(good.tolist())) < 2:
