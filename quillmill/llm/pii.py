@@ -6,16 +6,21 @@ cards or phones, and secrets. A text's words are cut into segments of up to LONG
 words, each either one ordinary word or an entity of one type; a segment's score comes
 from features of the whole span (its length, its digits and other kinds of characters,
 its shape, the word before it), and dynamic programming over bounded segments chooses
-boundaries and types together. Only segments whose first and last words hold a digit or
-'@' are candidates, so that the programme runs over the stretches around such words; the
-words between are ordinary in every labelling, at no cost. Spans that overlap a base span
-are not added.
+boundaries and types together. Only segments whose first and last words hold a trigger
+are candidates, so that the programme runs over the stretches around such words; the
+words between are ordinary in every labelling, at no cost. Triggers are digits, '@', the
+openings of known kinds of keys, and runs of 16 letters or more; a shorter secret of
+letters alone, without such an opening, is not found. Spans that overlap a base span are
+not added.
 
 The weights are fitted on generated sentences (a fixed seed), by the gradient of the
 log-likelihood with forward and backward sums over segments; no table is read for it.
 
 Defined results: a null or empty text has no spans. Whole texts are read; offsets are
-code points, the end exclusive. Rows are treated alone, so repeated rows and ids agree.
+code points, the end exclusive. Rows are treated alone, so repeated rows and ids agree,
+and a text of any length is read whole. Of labellings with the same score the one with
+fewer and later entities stays. Columns named like those that are added give way to them.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,8 +81,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_TRIGGER, _WORD = re.compile(r"[0-9@]+"), re.compile(r"\S+")
+#: How keys of known kinds begin.
+_KEY = r"(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_\-]{8,}"
+_TRIGGER, _WORD = re.compile(rf"[0-9@]+|{_KEY}|[A-Za-z_]{{16,}}"), re.compile(r"[^\s=]+|=+")
+_KEYED = re.compile(_KEY)
 _OPEN, _CLOSE = "([{<\"'`", ")]}>\"'`.,;:!?*$&%#|"
+#: Words before numbers and hashes that are no one's.
+_PUBLIC = ("commit", "sha", "isbn", "issn", "rev", "hash", "md5", "checksum", "doi", "order", "part")
 _CUES = ("token", "secret", "key", "password", "phone", "tel", "call", "card", "ip", "mail")
 
 
@@ -90,6 +100,8 @@ def features(span: str, words: int, before: str) -> list[float]:
     marks = sum(c in " ().-" for c in span)
     letters, dots, cue = low + up, span.count("."), before.lower().strip("=: \"'")
     solid = words == 1 and "@" not in span
+    public, secret = any(c in cue for c in _PUBLIC) if cue else False, any(c in cue for c in _CUES[:4]) if cue else False
+    turns = sum(a.isupper() != b.isupper() for a, b in zip(span, span[1:]))
     return [
         1.0, words - 1.0, float(digits == 16), float(17 <= digits <= 19), float(10 <= digits <= 13), float(8 <= digits <= 9), float(digits < 7),
         float(digits > 19), float("@" in span[1:-1]), float("@" in span and dots > 0), float(dots == 3 and letters == 0), float(dots == 3 and 4 <= digits <= 12),
@@ -97,6 +109,8 @@ def features(span: str, words: int, before: str) -> list[float]:
         float(solid and n >= 16 and letters + digits >= 0.9 * n and digits >= 2 and letters >= 4), float(solid and n >= 24 and low > 0 and up > 0 and digits > 0),
         float(span[:4] in ("AKIA", "ghp_", "sk_l", "xoxb")), float(letters > digits), min(n, 48) / 48, float(any(c in cue for c in _CUES[:4])) if cue else 0.0,
         float(any(c in cue for c in _CUES[4:7])) if cue else 0.0, float(any(c in cue for c in _CUES[7:])) if cue else 0.0, float(any(ord(c) > 127 for c in span)), float("/" in span or ":" in span),
+        float(public), float(public and solid and hexed == n), float(public and digits >= 8), float(solid and bool(_KEYED.fullmatch(span))),
+        float(secret and solid and n >= 12), float(solid and digits == 0), float(solid and n >= 16 and turns >= n / 4), float(span[:3] in ("978", "979") and digits == 13),
     ]
 
 
@@ -108,6 +122,10 @@ def segments(text: str, words: list[tuple[int, int]], before: str = "") -> list[
         # a phone's '+' or an area code may stand apart from the digits that follow
         if not hot[i] and not (text[a] == "+" and b - a == 1):
             continue
+        j = i - 1  # the word before, marks apart
+        while j >= 0 and i - j < 4 and not text[slice(*words[j])].strip("=: \"'"):
+            j -= 1
+        cue = text[slice(*words[j])] if j >= 0 else before
         for n in range(1, min(LONGEST, len(words) - i) + 1):
             if not hot[i + n - 1]:
                 continue
@@ -116,7 +134,7 @@ def segments(text: str, words: list[tuple[int, int]], before: str = "") -> list[
                 end -= 1
             while end - start > 1 and text[start] in _OPEN and not re.match(r"\([0-9]", text[start : start + 2]):
                 start += 1
-            out.append((i, n, start, end, features(text[start:end], n, text[slice(*words[i - 1])] if i else before)))
+            out.append((i, n, start, end, features(text[start:end], n, cue)))
     return out
 
 
@@ -186,14 +204,20 @@ def sentences(n: int, seed: int = 11):
         lambda: r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}"]),
         lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(15)) + digits(1), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(26, 44))) + digits(2)]),
     ]
-    plain = [lambda: digits(r.randint(1, 6)), lambda: str(r.randint(1800, 2030)), lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: f"${digits(3)},{digits(3)}", lambda: f"{digits(r.randint(20, 30))}", lambda: f"@{word()}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"src{digits(1)}/{word()}{digits(2)}", lambda: f"{digits(3)} {digits(3)}"]
+    letters = lambda k, some=string.ascii_letters: "".join(r.choice(some) for _ in range(k))
+    hexes = lambda: letters(r.choice([32, 40, 64]), "0123456789abcdef")
+    keys = [lambda: "AKIA" + letters(16, string.ascii_uppercase), lambda: r.choice(["ghp_", "gho_"]) + letters(36), lambda: "sk_live_" + letters(24, string.ascii_lowercase), lambda: letters(r.randint(24, 40))]
+    make[4] = lambda old=make[4]: old() if r.random() < 0.6 else r.choice(keys)()
+    plain = [lambda: digits(r.randint(1, 6)), lambda: str(r.randint(1800, 2030)), lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: f"${digits(3)},{digits(3)}", lambda: f"{digits(r.randint(20, 30))}", lambda: f"@{word()}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"src{digits(1)}/{word()}{digits(2)}", lambda: f"{digits(3)} {digits(3)}",
+        lambda: f"{r.choice(['commit', 'rev', 'sha1:', 'hash'])} {hexes()}", lambda: f"ISBN{r.choice([':', ''])} 97{r.choice('89')}{r.choice(['-', '', ' '])}{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", lambda: f"97{r.choice('89')}{digits(10)}",
+        lambda: "".join(word() for _ in range(4)), lambda: f"commit {hexes()[:12]}"]
     for _ in range(n):
         text, truth = "", set()
         for _ in range(r.randint(3, 12)):
             p = r.random()
             if p < 0.2:
                 k = r.randrange(len(make))
-                lead = r.choice(["", "", '("'[r.randrange(2)], 'token = "' if k == 4 else ""])
+                lead = r.choice(["", "", '("'[r.randrange(2)], r.choice(['token = "', "key ", "secret: ", "password="]) if k == 4 else ""])
                 item = make[k]()
                 truth.add((k, len(text) + len(lead), len(text) + len(lead) + len(item)))
                 text += lead + item + r.choice(["", "", ".", ",", '"', "###", "!!"])
@@ -204,7 +228,7 @@ def sentences(n: int, seed: int = 11):
 
 
 @lru_cache(1)
-def train(n: int = 500, rounds: int = 6) -> np.ndarray:
+def train(n: int = 900, rounds: int = 6) -> np.ndarray:
     """features x kinds, by Adagrad."""
     weights = np.zeros((len(features("0", 1, "")), len(KINDS)))
     seen = np.full_like(weights, 1e-6)
@@ -218,7 +242,7 @@ def train(n: int = 500, rounds: int = 6) -> np.ndarray:
 
 
 def windows(text: str):
-    """Stretches of words around those with a digit or '@', with LONGEST words between."""
+    """Stretches of words around those with a trigger."""
     spans: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = m.span()
@@ -236,7 +260,7 @@ def windows(text: str):
     return spans
 
 
-_SPACE = re.compile(r"\s")
+_SPACE, _BEFORE = re.compile(r"\s"), re.compile(r"([^\s=:\"']+)[\s=:\"']+\Z")
 
 
 def all_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -244,7 +268,7 @@ def all_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]])
     out = list(base)
     for a, b in windows(text):
         words = [m.span() for m in _WORD.finditer(text, a, b)]
-        m = re.search(r"(\S+)\s+\Z", text[max(0, a - 40) : a])
+        m = _BEFORE.search(text[max(0, a - 40) : a])
         for k, x, y in decode(weights, text, words, m[1] if m else ""):
             if all(y <= s or x >= e for s, e in taken):
                 out.append((k, x, y))

@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -160,6 +162,32 @@ def test_field_on_generated_sentences():
     assert hit / found > 0.95 and hit / true > 0.9
 
 
+def test_field_on_planted_spans(spark, data):
+    """In the tables' own texts, by makers other than the generator's."""
+    r, w = random.Random(77), pii.train()
+    letters, hexed = string.ascii_letters, "0123456789abcdef"
+    some = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    private = [
+        ("", lambda: "AKIA" + some(16, string.ascii_uppercase)), ("", lambda: "ghp_" + some(36, letters + string.digits)), ("", lambda: some(40, hexed)),
+        ("secret: ", lambda: some(28, letters)), ("", lambda: f"({some(3, '23456789')}) {some(3, '23456789')}-{some(4, string.digits)}"),
+    ]
+    public = [("commit ", lambda: some(40, hexed)), ("ISBN ", lambda: f"978-{some(1, string.digits)}-{some(5, string.digits)}-{some(3, string.digits)}-{some(1, string.digits)}"), ("", lambda: "2024-03-05"), ("", lambda: some(26, "etaoinshrdlu"))]
+    texts = [t.split()[:30] for t, in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if t]
+    texts = [t for t in texts if not re.search(r"[0-9@]", " ".join(t))]
+    found = {True: [0, 0], False: [0, 0]}
+    for wanted, makers in ((True, private), (False, public)):
+        for lead, make in makers:
+            for _ in range(60):
+                words_, item = r.choice(texts), make()
+                k = r.randrange(len(words_) + 1)
+                head = " ".join([*words_[:k], lead]) if lead else "".join(x + " " for x in words_[:k])
+                t = head + item + " " + " ".join(words_[k:])
+                spans = pii.all_spans(t, w, pii.base_spans(t))
+                found[wanted][0] += 1
+                found[wanted][1] += any(a < len(head) + len(item) and b > len(head) for _, a, b in spans)
+    assert found[True][1] >= 0.95 * found[True][0] and found[False][1] <= 0.02 * found[False][0]
+
+
 def test_decoding_is_the_best_labelling():
     weights = pii.train()
     for text, words, _ in itertools.islice(pii.sentences(60, seed=5), 60):
