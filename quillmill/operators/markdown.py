@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip
 
+#: Fixed value: the row between a table's head and its body.
 SEPARATOR = r"^\s*\|[\s:|-]+\|\s*$"
-#: What escaping leaves alone: code blocks, tables, links and images, inline code.
+#: Fixed value, what escaping leaves alone: code blocks, tables, links and images, inline code.
 SHIELDED = r"(?s)```.*?```|<table.*?</table>|!?\[[^\]]*\]\([^)]*\)|`[^`\n]+`"
 
 
@@ -28,11 +29,6 @@ def cells(row: Column) -> Column:
     return F.transform(F.split(inner, r"(?<!\\)\|", -1), strip)
 
 
-def _runs(lines: Column, step, start) -> Column:
-    """A fold over the lines of a text: states are structs, the first field the output."""
-    return F.aggregate(lines, start, step)
-
-
 def _append(out: Column, more: Column) -> Column:
     return F.concat(out, F.array(more))
 

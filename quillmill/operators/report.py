@@ -4,15 +4,13 @@ Statuses are ok, FALLO (fails) and aviso (warns)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import overlap_ratio
+from quillmill.operators.markdown import SEPARATOR
 
 #: Patterns of the report format.
-SEPARATOR = r"^\s*\|[\s:|-]+\|\s*$"
 REFERENCES = "## Referencias"
 CITED = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 DIAGRAM = r"(?U)\A\s*(flowchart|graph|sequenceDiagram|classDiagram|stateDiagram)"
@@ -135,7 +133,3 @@ def metadata(text: Column) -> dict[str, Column]:
     pick = lambda p, other: F.coalesce(F.nullif(F.regexp_extract(block, p, 1), F.lit("")), F.lit(other))
     listed = F.regexp_extract(block, r"protected_sections:\s*\[([^\]]*)\]", 1)
     return {"version": pick(r"version:\s*([\d.]+)", "0.0.0"), "mode": pick(r"self_modification:\s*(\w+)", "gated"), "protected": F.transform(F.regexp_extract_all(listed, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))}
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

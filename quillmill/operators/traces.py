@@ -37,14 +37,19 @@ def proposal_ids(rows: DataFrame, day: Column, order: str) -> DataFrame:
     return rows.withColumn("day", F.date_format(day, "yyyy-MM-dd")).withColumn("proposal_id", F.format_string("%s_%02d", F.col("day"), number))
 
 
-def deck(title: str, n_studies: int, template: int = 0, least: int = 12) -> list[tuple[int, str]]:
-    """Slides of a deck: cover, context, aims, two for each study, discussion,
-    conclusions, bibliography, and fillers up to the least number."""
-    named = [title, "Contexto Clínico", "Objetivos"]
-    named += [f"Estudio {k}: {part}" for k in range(1, n_studies + 1) for part in ("Metodología", "Resultados")]
-    named += ["Discusión", "Conclusiones", "Bibliografía"]
-    named += ["Análisis Secundario"] * max(0, least - template - len(named))
-    return list(enumerate(named, 1))
+#: Slide titles of a deck.
+_FIRST, _STUDY, _LAST, _FILLER = ["Contexto Clínico", "Objetivos"], ["Metodología", "Resultados"], ["Discusión", "Conclusiones", "Bibliografía"], "Análisis Secundario"
+
+
+def deck(rows: DataFrame, key: str, title: Column, n_studies: Column, template: int = 0, least: int = 12) -> DataFrame:
+    """key, slide (from 1) and title of each slide: cover, context, aims, two for each
+    study, discussion, conclusions, bibliography, and fillers up to the least number."""
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    study = lambda k: F.array(*[F.concat(F.lit("Estudio "), k.cast("string"), F.lit(f": {part}")) for part in _STUDY])
+    count = F.slice(F.sequence(F.lit(0), n_studies), F.lit(2), F.greatest(n_studies, F.lit(0)))
+    named = F.concat(F.array(title), strings(_FIRST), F.flatten(F.transform(count, study)), strings(_LAST))
+    filled = F.concat(named, F.array_repeat(F.lit(_FILLER), F.greatest(F.lit(0), F.lit(least - template) - F.size(named))))
+    return rows.select(key, F.posexplode(filled).alias("place", "title")).select(key, (F.col("place") + 1).alias("slide"), "title")
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, cut: str = "\n\n") -> DataFrame:

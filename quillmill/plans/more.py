@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text
 from quillmill.operators import composition, report, selection, signals
 from quillmill.plans import fixtures as fx
-from quillmill.plans.catalog import _expected, query, table
+from quillmill.plans.catalog import _expected, case, query, table
 from quillmill.plans.fixtures import frame, values
 from quillmill.sources import outputs
 
@@ -28,7 +28,7 @@ def q48_search_top(spark, d):
 _BIB = "1. P Q, R S. Uno. Rev A. 2020. doi:10.1/a. PMID: 1. — *guias* · Open access\n   - Texto completo: u1\n2. A A, B B, C C, D D, E E, F F, et al. Dos. PMID: 2. — *ensayos* · PMC (libre)\n3. Rev C. in press. doi:10.1016/c. — *ensayos* · raro"
 
 
-@query(_expected([(_BIB,)], "v(text)"))
+@case(_expected([(_BIB,)], "v(text)"))
 def q49_bibliography(spark, d):
     rows = [(k, *r, *x) for k, (r, x) in enumerate(zip(fx.RECORDS, [("guias", "oa", "u1"), ("ensayos", "pmc", ""), ("ensayos", "raro", "")]), 1)]
     got = frame(spark, "k int, pmid string, doi string, pmcid string, title string, journal string, year string, authors array<string>, stratum string, access string, url string", rows)
@@ -55,7 +55,7 @@ def q51_pending_sections(spark, d):
     return got.withColumn("lang", F.regexp_extract("line", r"\((.*)\)$", 1))
 
 
-@query(_expected([("switch.a", "switch.a (Cocina) = on\n  attrs: {\"w\":\"5\"}"), ("light.b", "light.b (light.b) = off")], "v(entity, line)"))
+@case(_expected([("switch.a", "switch.a (Cocina) = on\n  attrs: {\"w\":\"5\"}"), ("light.b", "light.b (light.b) = off")], "v(entity, line)"))
 def q52_state_lines(spark, d):
     rows = frame(spark, "entity string, state string, a map<string,string>", [("switch.a", "on", {"friendly_name": "Cocina", "w": "5"}), ("light.b", "off", {})])
     return rows.select("entity", composition.state_line(F.col("entity"), F.col("state"), F.col("a")).alias("line"))
@@ -69,24 +69,24 @@ def q53_arrivals(spark, d):
     return composition.arrivals(table(spark, d, "documents", "doc_id"), found, "doc_id")
 
 
-@query(_expected([(1, "## 1. A\nx\n\n---\n## 2. B\ny\nz\nNEW\n\n\n"), (2, "intro\n## 2. only\nNEW\n")], "v(id, t)"))
+@case(_expected([(1, "## 1. A\nx\n\n---\n## 2. B\ny\nz\nNEW\n\n\n"), (2, "intro\n## 2. only\nNEW\n")], "v(id, t)"))
 def q54_insert_line(spark, d):
     docs = frame(spark, "id int, t string", fx.SECTIONED)
     return composition.insert(docs, report.section_lines(docs, "id", "t", 2), "id", "t", "NEW")
 
 
-@query(f"SELECT s AS stratum, '(asma) AND (' || s || ') AND (\"2000\"[dp] : \"3000\"[dp])' AS q FROM {values([(s,) for s, _ in selection.STRATA], 'v(s)')}")
+@case(f"SELECT s AS stratum, '(asma) AND (' || s || ') AND (\"2000\"[dp] : \"3000\"[dp])' AS q FROM {values([(s,) for s, _ in selection.STRATA], 'v(s)')}")
 def q55_query_texts(spark, d):
     return frame(spark, "stratum string", [(s,) for s, _ in selection.STRATA]).select("stratum", composition.query_text(F.lit("asma"), F.col("stratum"), 2000).alias("q"))
 
 
-@query(_expected([(1, "https://a.b/c.png,http://d/e")], "v(id, urls)"))
+@case(_expected([(1, "https://a.b/c.png,http://d/e")], "v(id, urls)"))
 def q56_image_urls(spark, d):
     rows = frame(spark, "id int, t string", [(1, "![x](https://a.b/c.png) [no](https://n) ![](http://d/e \"t\") ![f](file.png)")])
     return rows.select("id", F.array_join(report.image_urls(F.col("t")), ",").alias("urls"))
 
 
-@query(_expected([("A", "9", 1), ("B", "2", 2), ("N", "n", 3)], "v(key, value, place)"))
+@case(_expected([("A", "9", 1), ("B", "2", 2), ("N", "n", 3)], "v(key, value, place)"))
 def q57_merge_keys(spark, d):
     old = frame(spark, "key string, value string, ord int", [("A", "1", 4), ("B", "2", 7)])
     return composition.merge_keys(old, frame(spark, "key string, value string, ord int", [("N", "n", 1), ("A", "9", 2)]))
@@ -141,7 +141,7 @@ def q64_totals(spark, d):
 _LEARNED = [('{"titulo":"a","seccion_objetivo":2,"evidencia":["x"]}',), ('{"titulo":"b","seccion_objetivo":3}',), ("not json",)]
 
 
-@query(_expected([("a", 2, "PENDIENTE"), ("b", 3, "RECHAZADA_AUTOMATICA")], "v(titulo, seccion, status)"))
+@case(_expected([("a", 2, "PENDIENTE"), ("b", 3, "RECHAZADA_AUTOMATICA")], "v(titulo, seccion, status)"))
 def q65_learnings(spark, d):
     from quillmill.operators.traces import verdict
 

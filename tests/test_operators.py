@@ -115,7 +115,9 @@ def test_access_needs_flag_and_place(spark):
 
 
 def test_deck_and_bibliography(spark):
-    assert len(traces.deck("t", 2)) == 12 and len(traces.deck("t", 5)) == 16 and len(traces.deck("t", 0, template=4)) == 8
+    studies = spark.createDataFrame([(2,), (5,), (0,)], "n int")
+    count = lambda **k: {r["n"]: r["count"] for r in traces.deck(studies, "n", F.lit("t"), F.col("n"), **k).groupBy("n").count().collect()}
+    assert count() == {2: 12, 5: 16, 0: 12} and count(template=4)[0] == 8
     line = spark.range(1).select(outputs.bibliography_line(F.lit(1), F.lit("C."), F.lit("guias"), F.lit("zz"), F.lit("u"))).first()[0]
     assert line == "1. C. — *guias* · zz\n   - Texto completo: u"
 

@@ -2,8 +2,8 @@
 
 import pytest
 
-from quillmill.plans import landed, more  # noqa: F401
-from quillmill.plans.catalog import QUERIES, SQL
+from quillmill.plans import built, landed, more  # noqa: F401
+from quillmill.plans.catalog import CASE_SQL, CASES, QUERIES, SQL
 
 
 def rows(frame):
@@ -19,6 +19,13 @@ def test_against_sql(spark, data, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+@pytest.mark.parametrize("name", CASE_SQL)
+def test_cases(spark, data, duck, name):
+    ours, theirs = CASES[name](spark, data).toPandas(), duck.execute(CASE_SQL[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert rows(ours) == rows(theirs)
+
+
 def test_queries_without_sql(spark, data):
     assert set(QUERIES) - set(SQL) == {"q63_band_pass"}
     for r in QUERIES["q63_band_pass"](spark, data).collect():
