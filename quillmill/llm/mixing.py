@@ -16,7 +16,9 @@ sorted, so no task holds a whole source.
 
 Defined results: a null text has size 0, as has an empty one. Rows with a null source
 are one source, the last. A source without words has target 0. Rows that agree in id are
-taken in the order of their sizes. An empty table gives an empty table.
+taken in the order of their sizes. Texts of any length are counted whole. mix() reads the
+id, the text and the source alone, whatever other columns are named; repeat() passes all
+columns through. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ line. Scoring reads whole texts, too.
 Defined results: a null text is an empty one, and an empty text is one empty line. Rows
 of the same id are scored alone. Of several labels of a document the smallest counts;
 null labels don't. Without labels of both kinds the score is the share of good labels,
-and 0.5 without any.
+and 0.5 without any. Texts of any length are scored whole. A score at the threshold is
+predicted 1. Columns of `docs` named score or predicted give way to the results, all
+others pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ Defined results: a null text is empty; texts shorter than a window lose nothing.
 come before all others. Rows that agree in id and text are the same document: each loses
 what one of them would lose, none is earlier than the other. Rows of the same id and
 other texts are ordered by a hash of their texts. Windows never cross documents. Very
-long texts are read in pieces that overlap by a window.
+long texts are read in pieces that overlap by a window. Only the id and the text are read,
+whatever other columns are named. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ are made from what is read back: running sums within parts, and the sums of the
 before, of which there are as many as files.
 
 Defined results: null and empty texts are the end id alone. Null document ids come
-first; rows that agree in id are ordered by text. An empty table gives no rows.
+first; rows that agree in id are ordered by text, and those that agree in both are all
+written. Texts of any length are encoded whole, a document's ids being one row. Only the id
+and the text are read, whatever other columns are named. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quillmill.llm import bpe, registry
 
 
@@ -47,3 +48,24 @@ def test_encode_keeps_clashing_names(spark):
 
     df = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, ids string")
     assert bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first()["ids"] == [64, 275]
+
+
+def test_stages_on_edge_rows(spark, edge, data):
+    """Nulls, repeated rows, long texts, and columns named like the operators' own."""
+    docs = edge.withColumns({"kept": F.lit("k"), "predicted": F.lit("p"), "group_size": F.lit(-1)})
+    given = Counter(docs.collect())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        rows = stage(spark, docs, data)
+        assert rows.schema.names == docs.columns
+        kept[name] = rows.collect()
+        assert set(kept[name]) <= set(given), name  # each row with all its values
+    lower = lambda t: (t or "").encode().lower()
+    exact = kept["exact dedup"]
+    assert sorted(lower(r["text"]) for r in exact) == sorted({lower(r["text"]) for r in given})
+    near = {(r["doc_id"], r["text"]) for r in kept["n-gram Jaccard join"]}
+    assert {r["doc_id"] for r in kept["n-gram Jaccard join"]} >= {-5, 5, 6, 7, 8, 14, 15, None} and not near & {(r["doc_id"], r["text"]) for r in given if r["doc_id"] in (1, 2, 3, 4, 10, 11)}
+    mixed = Counter(kept["mixing sources to target weights"])
+    assert all(r["text"] and r["text"].split() for r in mixed) and max(mixed.values()) <= 2 * max(given.values())
+    coded = corpus_pipeline.encode(spark, docs, data).collect()
+    assert sorted(r["decoded_sha256"] for r in coded) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in given.elements())
