@@ -304,4 +304,8 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op5_semi_markov_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    kinds = F.filter(F.split("spans", "[:0-9,]+"), lambda x: x != "")  # of all spans, the field's too
+    return find(docs).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans",
+        F.size(kinds).cast("long").alias("n_spans"), F.size(F.filter(kinds, lambda x: x == "secret")).cast("long").alias("n_secret"),
+    )

@@ -217,6 +217,13 @@ def test_find(edge, empty):
     assert pii.find(empty).collect() == []
 
 
+def test_query_counts_all_spans(spark, data):
+    for r in pii.op5_semi_markov_pii(spark, data).collect():
+        kinds = [x.split(":")[0] for x in r["spans"].split(",") if x]
+        assert (r["n_spans"], r["n_secret"]) == (len(kinds), kinds.count("secret"))
+        assert r["n_spans"] >= r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
+
+
 def test_marginals_are_sums_over_labellings():
     r = np.random.default_rng(0)
     counts = np.array([3, 1, 4])
