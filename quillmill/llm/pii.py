@@ -110,7 +110,7 @@ def features(span: str, words: int, before: str) -> list[float]:
         float(span[:4] in ("AKIA", "ghp_", "sk_l", "xoxb")), float(letters > digits), min(n, 48) / 48, float(any(c in cue for c in _CUES[:4])) if cue else 0.0,
         float(any(c in cue for c in _CUES[4:7])) if cue else 0.0, float(any(c in cue for c in _CUES[7:])) if cue else 0.0, float(any(ord(c) > 127 for c in span)), float("/" in span or ":" in span),
         float(public), float(public and solid and hexed == n), float(public and digits >= 8), float(solid and bool(_KEYED.fullmatch(span))),
-        float(secret and solid and n >= 12), float(solid and digits == 0), float(solid and n >= 16 and turns >= n / 4), float(span[:3] in ("978", "979") and digits == 13),
+        float(secret and solid and n >= 8), float(solid and digits == 0), float(solid and n >= 16 and turns >= n / 4), float(span[:3] in ("978", "979") and digits == 13),
     ]
 
 
@@ -210,7 +210,7 @@ def sentences(n: int, seed: int = 11):
     make[4] = lambda old=make[4]: old() if r.random() < 0.6 else r.choice(keys)()
     plain = [lambda: digits(r.randint(1, 6)), lambda: str(r.randint(1800, 2030)), lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: f"${digits(3)},{digits(3)}", lambda: f"{digits(r.randint(20, 30))}", lambda: f"@{word()}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"src{digits(1)}/{word()}{digits(2)}", lambda: f"{digits(3)} {digits(3)}",
         lambda: f"{r.choice(['commit', 'rev', 'sha1:', 'hash'])} {hexes()}", lambda: f"ISBN{r.choice([':', ''])} 97{r.choice('89')}{r.choice(['-', '', ' '])}{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", lambda: f"97{r.choice('89')}{digits(10)}",
-        lambda: "".join(word() for _ in range(4)), lambda: f"commit {hexes()[:12]}"]
+        lambda: "".join(word() for _ in range(4)), lambda: f"commit {hexes()[:12]}", lambda: f"{r.choice(['token', 'key', 'secret'])}{r.choice([' ', ' = ', ': '])}{digits(r.randint(1, 5))}"]
     for _ in range(n):
         text, truth = "", set()
         for _ in range(r.randint(3, 12)):
@@ -219,6 +219,10 @@ def sentences(n: int, seed: int = 11):
                 k = r.randrange(len(make))
                 lead = r.choice(["", "", '("'[r.randrange(2)], r.choice(['token = "', "key ", "secret: ", "password="]) if k == 4 else ""])
                 item = make[k]()
+                if k == 4 and r.random() < 0.35:  # after such a word, shorter ones are secrets too
+                    lead = r.choice(["password=", "password: ", 'password = "', "passwd_secret=", 'secret: "', "api_key=", 'token = "'])
+                    item = r.choice([lambda: letters(r.randint(8, 24), "0123456789abcdef"), lambda: word() + digits(r.randint(1, 4)) + word() + digits(r.randint(0, 3)), lambda: letters(r.randint(8, 24), string.ascii_letters + string.digits)])()
+                    item += digits(1) * (not any(c.isdigit() for c in item)) + digits(max(0, 8 - len(item)))
                 truth.add((k, len(text) + len(lead), len(text) + len(lead) + len(item)))
                 text += lead + item + r.choice(["", "", ".", ",", '"', "###", "!!"])
             else:

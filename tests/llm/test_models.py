@@ -169,9 +169,9 @@ def test_field_on_planted_spans(spark, data):
     some = lambda k, of: "".join(r.choice(of) for _ in range(k))
     private = [
         ("", lambda: "AKIA" + some(16, string.ascii_uppercase)), ("", lambda: "ghp_" + some(36, letters + string.digits)), ("", lambda: some(40, hexed)),
-        ("secret: ", lambda: some(28, letters)), ("", lambda: f"({some(3, '23456789')}) {some(3, '23456789')}-{some(4, string.digits)}"),
+        ("secret: ", lambda: some(28, letters)), ("password=", lambda: some(18, hexed)), ("password=", lambda: "hunter2" * r.randint(2, 3)), ("", lambda: f"({some(3, '23456789')}) {some(3, '23456789')}-{some(4, string.digits)}"),
     ]
-    public = [("commit ", lambda: some(40, hexed)), ("ISBN ", lambda: f"978-{some(1, string.digits)}-{some(5, string.digits)}-{some(3, string.digits)}-{some(1, string.digits)}"), ("", lambda: "2024-03-05"), ("", lambda: some(26, "etaoinshrdlu"))]
+    public = [("commit ", lambda: some(40, hexed)), ("ISBN ", lambda: f"978-{some(1, string.digits)}-{some(5, string.digits)}-{some(3, string.digits)}-{some(1, string.digits)}"), ("", lambda: "2024-03-05"), ("", lambda: some(26, "etaoinshrdlu")), ("key ", lambda: some(4, string.digits))]
     texts = [t.split()[:30] for t, in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if t]
     texts = [t for t in texts if not re.search(r"[0-9@]", " ".join(t))]
     found = {True: [0, 0], False: [0, 0]}
