@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +47,36 @@ def append_log(rows: DataFrame, folder: str, day: str) -> None:
     rows.withColumn("day", F.to_date(day)).write.mode("append").partitionBy("day").json(folder)
 
 
+_made: list[tuple] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for files, path in _made:
+        try:
+            files.delete(path, True)
+        except (Py4JError, OSError):  # the JVM has ended before
+            return
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that results are read from once the driver's process ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where))
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share. On one machine without
-    spark.checkpoint.dir it is a folder that goes with the process."""
+    """A new path in the folder that driver and executors share, removed when the driver's
+    process ends. On one machine without spark.checkpoint.dir it is a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"quillmill-{os.getpid()}")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/landed/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/landed/{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def overwrite_json(rows: DataFrame, path: str) -> None:
