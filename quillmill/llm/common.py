@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.sources.outputs import remove_at_exit
+
 #: White space of every word rule: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,11 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Workspace:
     """A new folder in the shared one. Lineage is cut by writing tables there: they
-    survive lost executors, and are read with their columns pruned."""
+    survive lost executors, and are read with their columns pruned. Results are read from
+    it, so it is removed when the driver's process ends."""
 
     def __init__(self, spark: SparkSession):
         ready(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/quillmill/{uuid.uuid4().hex}"
+        remove_at_exit(spark, self.path)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.path}/{name}"
