@@ -7,7 +7,7 @@ from quillmill.llm import bpe, registry
 
 
 def test_queries_have_names():
-    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, len(registry.QUERIES) + 1))
     assert set(registry.SQL) <= set(registry.QUERIES)
 
 
@@ -24,7 +24,7 @@ def test_stages(spark, data):
             assert max(ids.values()) == 1 and ids.keys() <= {r["doc_id"] for r in before.collect()}
     whole = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
     got = rows.collect()
-    assert sum(r["decoded_sha256"] != whole[r["doc_id"]] for r in got) <= 20  # one part a source at most
+    assert sum(r["decoded_sha256"] != whole[r["doc_id"]] for r in got) == 0
     assert all(len(r["ids"]) == r["n_tokens"] for r in got)
 
 
