@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, exact_dedup, jaccard, lattice_lm, mixing, pii, quality, repeats, resampling, token_orc
+from quillmill.llm import ann, bpe, exact_dedup, heavy, jaccard, lattice_lm, mixing, pii, quality, repeats, resampling, token_orc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_grouped_suffix_array": repeats.op9_grouped_suffix_array,
     "op10_anisotropic_search": ann.op10_anisotropic_search,
     "op11_crc_resampling": resampling.op11_crc_resampling,
+    "op12_heavy_hitters": heavy.op12_heavy_hitters,
 }
 
 SQL = {
