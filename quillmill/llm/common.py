@@ -72,6 +72,15 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str, hot: list) -> DataFrame:
+    """Joins with a table of one row a key. `hot` lists keys that many rows of `left` have;
+    the caller bounds their number. Their rows meet a broadcast of those keys alone."""
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(~is_hot).join(right.where(~is_hot), key, how).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of ASCII alone take the faster lower()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, exact_dedup, heavy, jaccard, lattice_lm, mixing, pii, quality, repeats, resampling, token_orc
+from quillmill.llm import ann, bpe, exact_dedup, heavy, jaccard, lattice_lm, mixing, pii, quality, repeats, resampling, token_orc, warc
 
 QUERIES = {
     "op1_capped_water_filling": mixing.op1_capped_water_filling,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_anisotropic_search": ann.op10_anisotropic_search,
     "op11_crc_resampling": resampling.op11_crc_resampling,
     "op12_heavy_hitters": heavy.op12_heavy_hitters,
+    "op13_warc_revisits": warc.op13_warc_revisits,
 }
 
 SQL = {
     "op1_capped_water_filling": mixing.OP1_SQL,
     "op3_content_sort": exact_dedup.OP3_SQL,
+    "op13_warc_revisits": warc.OP13_SQL,
 }
