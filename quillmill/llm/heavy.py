@@ -14,8 +14,8 @@ and begun anew). Summaries are merged in a tree, FAN tasks' at a time, so that n
 more of a hot group than that. Candidates (at most about 1 / share a group) come from the
 last summaries. Where nothing was ever purged, counters are exact; candidates of the other
 groups are counted again over the entries, which are summed up by key before they are
-shuffled. What is broadcast for that is a list of at most BUCKETS hash buckets of such
-groups, so that other groups' entries stay where they are.
+shuffled. A bitmap of BUCKETS bits, of hashes of such groups, keeps the others' entries
+where they are.
 
 Defined results: an entry with a null group, item or weight drops out; repeated entries
 count again; zero weights count as entries; a negative weight is an error. Texts of any
@@ -245,8 +245,11 @@ def heavy_hitters(entries: DataFrame, share: int = 20, precision: int = 10) -> D
     found = ws.write(found.select(*KEY, "x.item", "n_entries", "total", "x.low", (F.col("x.low") + F.floor(F.col("offset") / 2)).alias("estimate"), (F.col("x.low") + F.col("offset")).alias("high")), "candidates")
     bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS))
     open_ = found.where("high > low")
-    purged = open_.select(bucket.alias("bucket")).distinct()  # at most BUCKETS rows
-    again = entries.withColumn("bucket", bucket).join(F.broadcast(purged), "bucket", "left_semi").groupBy(*KEY, "item").agg(F.sum("weight").alias("w"))
+    bits = open_.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits"))
+    held = {r["word"]: r["bits"] for r in bits.collect()}  # at most BUCKETS / 64 rows
+    bitmap = F.array(*[F.lit(held.get(k, 0)).cast("long") for k in range(BUCKETS // 64)])
+    purged = F.expr("shiftright(__word, cast(__b & 63 AS int)) & 1") == 1
+    again = entries.withColumn("__b", bucket).withColumn("__word", F.element_at(bitmap, (F.shiftright("__b", 6) + 1).cast("int"))).where(purged).groupBy(*KEY, "item").agg(F.sum("weight").alias("w"))
     exact = found.where("high = low").withColumn("w", F.col("low")).unionByName(open_.join(again.hint("merge"), [*KEY, "item"]))
     return exact.where(share * F.col("w") > F.col("total")).select(*KEY, "item", "n_entries", "total", "w", "low", "estimate", "high")
 
