@@ -141,15 +141,6 @@ def q07_topic_relevance(spark, d):
     return docs.select("doc_id", text.relevance(F.lit(_TOPIC), F.split("text", "\n")[0], F.substring("text", 1, 600)).alias("rel"))
 
 
-@query("""WITH p AS (SELECT d.doc_id, b.item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z]{5,}')) AS r, list_distinct(regexp_extract_all(lower(d.text), '[a-z]{5,}')) AS c FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
-SELECT doc_id, item_id, len(r) = 0 OR len(list_intersect(r, c)) / len(r) >= 0.34 AS matches FROM p""")
-def q08_title_overlap(spark, d):
-    b = table(spark, d, "benchmark")
-    n = b.count()
-    docs = table(spark, d, "documents", "doc_id", "text").withColumn("item_id", F.col("doc_id") % n)
-    return docs.join(b.select("item_id", F.col("text").alias("real")), "item_id").select("doc_id", "item_id", F.coalesce(text.overlap_ratio(F.col("real"), F.col("text")) >= 0.34, F.lit(True)).alias("matches"))
-
-
 @query("SELECT doc_id, 'left_only' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right_only' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def q09_orphans(spark, d):
     return selection.orphans(table(spark, d, "documents", "doc_id"), table(spark, d, "labels", "doc_id"), "doc_id")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillmill.plans import built, landed, more  # noqa: F401
+from quillmill.plans import built, landed, lists, more  # noqa: F401
 from quillmill.plans.catalog import CASE_SQL, CASES, QUERIES, SQL
 
 
