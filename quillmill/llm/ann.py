@@ -6,8 +6,8 @@ distances to q do. Vectors are dealt into cells around centroids, and the rest a
 centroid is quantised: two dimensions at a time, four bits (16 code words) each. Codes
 and code words minimise h |r|^2 + (p - h) (r.u)^2 for the residual r and the direction u
 of x': an error along x' costs p / h times one across it, for it is the error that
-changes the products of those queries that x' ranks high for. A search sums table entries
-by code, a block of vectors for a block of queries; the best `rerank` different vectors
+changes the products of those queries that x' ranks high for. Two codes are a byte of the
+index, and a search sums a table entry a byte, a block of vectors for a block of queries; the best `rerank` different vectors
 of each block are measured exactly.
 
 Fitting sees at most `sample` vectors (those with the smallest hashes of their ids);
@@ -112,6 +112,18 @@ class Quantiser:
         return self
 
 
+def packed_codes(codes: np.ndarray) -> np.ndarray:
+    """Two codes of four bits a byte; an odd last one has a zero beside it."""
+    wide = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return wide[:, 0::2] | wide[:, 1::2] << 4
+
+
+def byte_tables(tables: np.ndarray) -> np.ndarray:
+    """Tables (part, query, 16) of two parts each as tables (pair, query, 256) by byte."""
+    wide = np.pad(tables, ((0, len(tables) % 2), (0, 0), (0, 0)))
+    return (wide[1::2, :, :, None] + wide[0::2, :, None, :]).reshape(len(wide) // 2, tables.shape[1], 256)
+
+
 def _padded(words: np.ndarray) -> np.ndarray:
     return np.vstack([words, np.repeat(words[:1], 16 - len(words), 0)])
 
@@ -150,7 +162,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
     seen = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()
     # each vector once: copies would draw the centres and the probes to themselves
     x, rng = np.unique(_matrix(seen["v"], dim), axis=0), np.random.default_rng(5)
-    cells = min(MOST_CELLS, max(1, math.isqrt(n) // 2), len(x)) if n > block else 1
+    cells = min(MOST_CELLS, max(1, math.isqrt(n) // 2), len(x))
     centres = k_means(x, cells, 8, rng)
     scale = float(np.sqrt((x**2).sum(1).mean()))
     own = nearest_cells(x, centres).argmin(1)
@@ -166,7 +178,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             own = nearest_cells(x, centres).argmin(1)
             whole = augment(x, scale)
             codes = quantiser.encode(whole - middle[own], whole)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1), b.column(2)], names=["cell", "vec_id", "codes", "v", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in packed_codes(codes)], pa.binary()), b.column(1), b.column(2)], names=["cell", "vec_id", "codes", "v", "row"])
 
     indexed = ws.write(packed.mapInArrow(index, "cell int, vec_id long, codes binary, v binary, row long"), "index")
     sizes = np.zeros(cells, np.int64)
@@ -211,7 +223,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             asked[:, :dim], asked[:, dim] = q, scale
             tables = np.einsum("qmd,mwd->mqw", asked.reshape(len(q), -1, 2), quantiser.words).astype(np.float32)
             about = np.zeros((len(q), len(x)), np.float32)
-            for m, table in enumerate(tables):
+            for m, table in enumerate(byte_tables(tables)):
                 about += table[:, codes[:, m]]
             best = np.argpartition(-about, rerank, 1)[:, :rerank] if len(x) > rerank else np.tile(np.arange(len(x)), (len(q), 1))
             for i in range(len(q)):

@@ -194,3 +194,13 @@ def test_groups_that_are_not_one_component(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
     assert [got[k] for k in range(len(texts))] == [c for _, c in brute_components(list(enumerate(texts)))]
+
+
+def test_packed_codes_give_the_sums_of_single_ones():
+    r = np.random.default_rng(3)
+    for parts in (1, 4, 33):
+        codes, tables = r.integers(0, 16, (50, parts)).astype(np.uint8), r.normal(size=(parts, 7, 16))
+        packed = ann.packed_codes(codes)
+        assert packed.dtype == np.uint8 and packed.shape == (50, (parts + 1) // 2)
+        got = sum(t[:, packed[:, k]] for k, t in enumerate(ann.byte_tables(tables)))
+        assert np.allclose(got, sum(t[:, codes[:, k]] for k, t in enumerate(tables)))
