@@ -8,9 +8,10 @@ sum of theirs, found by the forward recursion in logs. A character without a pie
 bytes.
 
 The vocabulary orders its pieces by scores that are no probabilities (ranks of merges).
-They give the first unigram probabilities, by Zipf's law; ROUNDS of expectation and
-maximisation then fit these to the training documents: expected counts of pieces over
-all segmentations, by forward and backward sums. Counts of words and pieces are those of
+They give the first unigram probabilities, by Zipf's law; rounds of expectation and
+maximisation then fit these to the training documents, until one adds less than GAIN to
+their log-likelihood: expected counts of pieces over all segmentations, by forward and
+backward sums. Counts of words and pieces are those of
 all training documents, at any size.
 
 Words repeat, so lattices are run once for each distinct word, not for each place, and
@@ -43,7 +44,8 @@ from quillmill.llm.common import Workspace, fold, slices
 COMMON = 100_000
 #: Words of more bytes are known by their digest in tables and joins.
 SHORT = 64
-ROUNDS = 2
+#: Rounds of the fit end where one adds less than this share to the log-likelihood; there are no more than ROUNDS.
+GAIN, ROUNDS = 0.005, 20
 #: Words of more characters are done one by one.
 LONG = 64
 MARK = "▁"
@@ -176,14 +178,16 @@ class Unigram:
                 out[i] = self.one(w)[-1]
         return out
 
-    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces in words that come so many times."""
-        counts = np.zeros(self.pieces.size + 1)
+    def expect(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected counts of pieces in words that come so many times, and the words'
+        log-likelihood."""
+        counts, total = np.zeros(self.pieces.size + 1), 0.0
         for at, codes in self.groups(words):
             ids, chars = self.pieces.lattice(codes)
             scores = self._scores(ids, chars)
             fore = self.forward(ids, scores)
             m, n, longest = ids.shape
+            total += float(fore[:, n] @ times[at])
             back = np.full((m, n + 1), -np.inf)
             back[:, n] = 0
             wide = np.zeros(self.pieces.size + 1 + len(chars))
@@ -200,8 +204,8 @@ class Unigram:
                 self._add(counts, c, x)
         for w, c in zip(words, times.tolist()):
             if len(w) > LONG:
-                self.one(w, counts, c)
-        return counts
+                total += c * self.one(w, counts, c)[-1]
+        return counts, total
 
     def _add(self, counts: np.ndarray, char: str, times: float) -> None:
         for b in self.pieces.byte_ids(char):
@@ -307,24 +311,30 @@ def gathered(batches, rows: int = 20_000):
 
 def fit(words: DataFrame, pieces: Pieces, ends: int, rounds: int = ROUNDS) -> Unigram:
     """Unigram probabilities from words(word, c) of which any c is above 0. A round sends
-    the driver a row per piece."""
-    spark, logs = words.sparkSession, pieces.zipf()
+    the driver a row per piece, and the log-likelihood that it began with."""
+    spark, logs, before = words.sparkSession, pieces.zipf(), -math.inf
     shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
     for _ in range(rounds):
 
         def run(batches, logs=logs):
             model = Unigram(shared.value, logs)
-            total = np.zeros(len(logs))
+            total = np.zeros(len(logs) + 1)
             for batch in gathered(batches):
-                total += model.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+                counts, likely = model.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+                total[:-1] += counts
+                total[-1] += likely
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        counts = np.full(len(logs), ALPHA)
+        counts = np.full(len(logs) + 1, ALPHA)
         for r in words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
             counts[r[0]] += r[1]
+        counts, now = counts[:-1], counts[-1] - ALPHA
         counts[-1] += ends
         logs = np.log(counts / counts.sum())
+        if now - before < GAIN * abs(now):
+            break
+        before = now
     return Unigram(pieces, logs)
 
 

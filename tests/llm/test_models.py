@@ -56,7 +56,8 @@ def test_forward_recursion_is_the_sum_over_segmentations():
         for text in (["ab", "aba"], ["a", "cab", "bab"], []):
             assert math.isclose(math.exp(m.log_probabilities(text).sum() + m.end), spelled(m, text), rel_tol=1e-9)
         times = np.arange(1.0, len(words) + 1)
-        both, one = m.expect(words, times), np.zeros(p.size + 1)
+        (both, likely), one = m.expect(words, times), np.zeros(p.size + 1)
+        assert math.isclose(likely, float(each @ times), rel_tol=1e-9)
         for w, c in zip(words, times.tolist()):
             m.one(w, one, c)
         assert np.allclose(both, one)
@@ -66,7 +67,7 @@ def test_words_of_any_length():
     m = lattice_lm.Unigram(p := lattice_lm.Pieces(VOCABULARY), lattice_lm.Pieces(VOCABULARY).zipf())
     words = ["ab" * n for n in (31, 32, 33, 40, 5000)]  # on both sides of LONG
     assert np.allclose(m.log_probabilities(words), [m.one(w)[-1] for w in words])
-    assert len(m.expect(words, np.ones(5))) == p.size + 1
+    assert len(m.expect(words, np.ones(5))[0]) == p.size + 1
 
 
 def test_words():
@@ -83,9 +84,9 @@ def test_fit_raises_the_likelihood(spark, data):
     path, cond = P.path("piece_bpe_32k.model"), lattice_lm.fold(F.col("doc_id"), 7) != 2
     sums = [
         {r["train"]: r["s"] for r in lattice_lm.score(docs, path, cond, rounds=k).groupBy("train").agg(F.sum("score").alias("s")).collect()}
-        for k in (0, 1, 2)
+        for k in (0, 1, 2, lattice_lm.ROUNDS)
     ]
-    assert sums[0][True] < sums[1][True] < sums[2][True]
+    assert sums[0][True] < sums[1][True] < sums[2][True] < sums[3][True] and sums[2][False] < sums[3][False]
     assert sums[0][False] < sums[1][False] < sums[2][False]
     rows = [(r["text"] or "", zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2) for r in docs.collect()]
     chars = Counter(c for t, learn in rows if learn for w in words(t) for c in "▁" + w)
