@@ -20,8 +20,11 @@ is a star for each component found, so that a group of n copies gives n links.
 First the keys of a few bands are done, in chunks of about CHUNK nodes. Then the others,
 but only where a group still has nodes of different components: large groups of near
 copies are one component by then. There the nodes outside the group's largest component
-meet each chunk, so that rows grow with their number, and a group isn't crossed with
-itself. Joins by key are salted, so that a popular key isn't one task.
+meet each chunk. Where these are more than a chunk (a passage that many differing texts
+share), the group isn't crossed with itself: its nodes are dealt again, under pairs of such
+keys. A linked pair shares only one key with a chance below 2e-11 if it is large; if it
+shares others that gather fewer nodes, it meets there. Joins by key are salted, so that a
+popular key isn't one task, and are of a kind whose skewed partitions Spark splits further.
 
 Sets are not stored for all documents: those of nodes that meet others are made again
 from the texts. A bitmap of fixed size tells which texts to read, an exact join follows.
@@ -282,18 +285,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     early = links(first.select("key", own("chunks").cast("long").alias("part"), "node", F.col("node").alias("root")), "early")
     roots = components(ws, early, "first")
     labelled = ws.write(members.select("key", "salt", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    # a group's components, and the largest of them
-    counted = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    most = F.max_by(F.struct("root", "n", "tokens"), F.struct("n", "root"))
-    open_ = counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), most.alias("most")).where("roots > 1")
-    open_ = open_.select("key", F.col("most.root").alias("main"), chunks("n", "tokens").alias("all"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
-    open_ = open_.select("key", "main", "all", chunks("n", "tokens").alias("few"), salts)
-    # part (i, j): chunk i of all nodes, and chunk j of those outside the largest component
-    at = lambda i, j: (i.cast("long") * F.col("few") + j).alias("part")
-    in_all = F.transform(upto("few"), lambda j: at(own("all"), j))
-    in_few = F.transform(upto("all"), lambda i: at(i, own("few")))
-    parts = F.when(F.col("root") == F.col("main"), in_all).otherwise(F.array_union(in_few, in_all))
-    late = links(labelled.join(open_, ["key", "salt"]).select("key", F.explode(parts).alias("part"), "node", "root"), "late")
+    def opened(rows: DataFrame) -> DataFrame:
+        """Keys whose nodes are of several components: the largest of these, and chunks of
+        all nodes and of those outside it."""
+        counted = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+        most = F.max_by(F.struct("root", "n", "tokens"), F.struct("n", "root"))
+        out = counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), most.alias("most")).where("roots > 1")
+        out = out.select("key", F.col("most.root").alias("main"), chunks("n", "tokens").alias("all"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
+        return out.select("key", "main", "all", chunks("n", "tokens").alias("few"))
+
+    def crossed(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+        """part (i, j): chunk i of all nodes, and chunk j of those outside the largest component."""
+        at = lambda i, j: (i.cast("long") * F.col("few") + j).alias("part")
+        in_all = F.transform(upto("few"), lambda j: at(own("all"), j))
+        in_few = F.transform(upto("all"), lambda i: at(i, own("few")))
+        parts = F.when(F.col("root") == F.col("main"), in_all).otherwise(F.array_union(in_few, in_all))
+        return links(rows.join(keys.select("*", salts), ["key", "salt"]).select("key", F.explode(parts).alias("part"), "node", "root"), name)
+
+    open_ = ws.write(opened(labelled), "open")
+    late = crossed(labelled, open_.where("few = 1"), "late")
+    wide = open_.where("few > 1").select("key")
+    if not wide.isEmpty():
+        # nodes that meet under such a key meet again under it and another of them
+        several = labelled.join(wide.select("*", salts), ["key", "salt"]).groupBy("node").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.array_sort(F.collect_list("key")).alias("keys"))
+        pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
+        finer = ws.write(several.select("node", "size", "root", salt, F.explode(pairs).alias("key")), "finer")
+        alike = finer.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("g"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1 AND low < high")
+        finer = finer.join(alike.groupBy("n", "g").agg(F.min("key").alias("key")).select("key", salts), ["key", "salt"])
+        late = late.unionByName(crossed(finer, opened(finer), "later"))
     all_links = late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = components(ws, all_links, "last")
 

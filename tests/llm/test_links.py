@@ -204,3 +204,28 @@ def test_packed_codes_give_the_sums_of_single_ones():
         assert packed.dtype == np.uint8 and packed.shape == (50, (parts + 1) // 2)
         got = sum(t[:, packed[:, k]] for k, t in enumerate(ann.byte_tables(tables)))
         assert np.allclose(got, sum(t[:, codes[:, k]] for k, t in enumerate(tables)))
+
+
+def test_popular_keys_of_differing_texts(spark, monkeypatch):
+    """A long passage in all texts, which are near copies in pairs only: keys gather nodes
+    of many components. Their rows stay linear, and all links are found."""
+    monkeypatch.setattr(jaccard, "CHUNK", 10)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = [f"o{k}_{j}" for j in range(60)]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + [*own[:30], f"new{k}", *own[31:]]))]
+    parts = []
+    kind = type(spark.range(0))
+    real = kind.mapInArrow
+
+    def counted(self, f, *args, **kwargs):
+        if f is jaccard._verify:
+            parts.append(self.count())
+        return real(self, f, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert [got[i] for i, _ in rows] == [i - i % 2 for i, _ in rows] == [c for _, c in brute_components(rows)]
+    assert len(parts) >= 2 and sum(parts) < 64 * len(rows) * 3, parts
