@@ -124,12 +124,46 @@ def q62_single_mode(spark, d):
     return composition.single(table(spark, d, "events"), "user_id", "ts", "event_id", 24 * 3600)
 
 
-@query()
+def _band_pass_sql() -> str:
+    """The filter sample by sample: two recursions over places, forwards and backwards."""
+    sos = signals.sections(4, 20, 500, 2048)
+    pad = 3 * (2 * len(sos) + 1)
+
+    def first(x: str) -> str:
+        out = []
+        for k, (b0, b1, b2, a1, a2) in enumerate(sos.tolist()):
+            u = x if not k else f"y{k - 1}"
+            out.append(f"{u} * {(b0 + b1 + b2) / (1 + a1 + a2)!r} AS y{k}, {b1!r} * {u} - {a1!r} * y{k} + {b2!r} * {u} - {a2!r} * y{k} AS s{k}, {b2!r} * {u} - {a2!r} * y{k} AS r{k}")
+        return ", ".join(out)
+
+    def then(x: str) -> str:
+        out = []
+        for k, (b0, b1, b2, a1, a2) in enumerate(sos.tolist()):
+            u = x if not k else f"z{k - 1}"
+            out.append(f"{b0!r} * {u} + l.s{k} AS z{k}, {b1!r} * {u} - {a1!r} * z{k} + l.r{k} AS t{k}, {b2!r} * {u} - {a2!r} * z{k} AS q{k}")
+        return ", ".join(out)
+
+    def run(name: str, source: str) -> str:
+        listed = ", ".join(f"y{k}, s{k}, r{k}" for k in range(len(sos)))
+        kept = ", ".join(f"z{k}, t{k}, q{k}" for k in range(len(sos)))
+        return f"{name} AS (SELECT c, w, {listed} FROM (SELECT c, w, {first('x')} FROM {source} WHERE w = 0) UNION ALL SELECT c, w, {kept} FROM (SELECT s.c, s.w, {then('s.x')} FROM {name} l JOIN {source} s ON s.c = l.c AND s.w = l.w + 1))"
+
+    last = len(sos) - 1
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS c, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS x FROM events WHERE value IS NOT NULL),
+g AS (SELECT *, least(n - 1, {pad}) AS p, first_value(x) OVER (PARTITION BY c ORDER BY i) AS a, first_value(x) OVER (PARTITION BY c ORDER BY i DESC) AS z FROM e),
+wide AS (SELECT c, i + p AS w, x FROM g WHERE n > 1 UNION ALL SELECT c, p - i, 2 * a - x FROM g WHERE n > 1 AND i BETWEEN 1 AND p UNION ALL SELECT c, p + n + (n - 2 - i), 2 * z - x FROM g WHERE n > 1 AND i BETWEEN n - 1 - p AND n - 2),
+{run('fore', 'wide')},
+turned AS (SELECT f.c, m.top - f.w AS w, y{last} AS x FROM fore f JOIN (SELECT c, max(w) AS top FROM wide GROUP BY c) m ON m.c = f.c),
+{run('back', 'turned')}
+SELECT g.c AS user_id, g.event_id, round(coalesce(y{last}, 0.0), 4) + 0.0 AS value FROM g LEFT JOIN back b ON b.c = g.c AND b.w = g.n + 2 * g.p - 1 - (g.i + g.p)"""
+
+
+@query(_band_pass_sql())
 def q63_band_pass(spark, d):
-    """Power of each channel of seeded noise before and after the filter (numpy; no SQL)."""
-    raw = signals.synthetic(spark)
-    out = signals.band_pass(raw, 2048).withColumnRenamed("v", "w").join(raw, ["channel", "t"])
-    return out.groupBy("channel").agg(F.round(F.avg(F.col("v") ** 2), 9).alias("before"), F.round(F.avg(F.col("w") ** 2), 9).alias("after"))
+    """Each user's values as a signal of 2,048 samples a second, from 20 to 500 Hz."""
+    rows = table(spark, d, "events", "user_id", "ts", "event_id", "value")
+    out = signals.band_pass(rows, 2048, channel="user_id", by=["ts", "event_id"], value="value", coarse=[F.to_date("ts")])
+    return out.select("user_id", "event_id", (F.round("value", 4) + 0.0).alias("value"))
 
 
 @query("SELECT role, count(*) FILTER (WHERE length(text) > 40) AS passed, count(*) FILTER (WHERE length(text) <= 40) AS failed FROM conversations GROUP BY role")

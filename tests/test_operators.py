@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import numbers, text
@@ -135,7 +136,7 @@ def test_band_pass(spark):
     got = signals.zero_phase(sos, np.sin(2 * np.pi * 100 * t) + 5 + np.sin(2 * np.pi * 2 * t))
     assert np.abs(got[300:-300] - np.sin(2 * np.pi * 100 * t)[300:-300]).max() < 0.02
     assert signals.zero_phase(sos, np.array([3.0])).tolist() == [0.0]
-    assert signals.band_pass(signals.synthetic(spark, 512, 1, 2), 2048).count() == 1024
+    assert signals.band_pass(signals.synthetic(spark, 512, 1, 2), 2048, block=100).count() == 1024
 
 
 def test_arrivals(spark, tmp_path):
@@ -157,18 +158,29 @@ def test_compose_keeps_whole_turns(spark, tmp_path):
     assert got == {1: "user: " + "a" * 299 + "\nend\nassistant: " + "b" * 1900, 2: "user: short"}
 
 
-def test_band_pass_takes_the_whole_signal(spark):
+@pytest.mark.parametrize(("block", "group"), [(4096, 1024), (50, 1024), (16, 3)])
+def test_band_pass_by_blocks(spark, monkeypatch, block, group):
+    """As sample by sample, whatever the blocks; channels of one and of few samples too."""
     import numpy as np
 
     from quillmill.operators import signals
-    from quillmill.plans import more
 
-    raw = np.random.default_rng(42).standard_normal((4096, 16))
-    sos = signals.sections(4, 20, 500, 2048)
-    rows = sorted(more.q63_band_pass(spark, "").collect())
-    assert [r["channel"] for r in rows] == list(range(16))
-    assert np.allclose([r["before"] for r in rows], (raw**2).mean(0), atol=1e-8)
-    assert np.allclose([r["after"] for r in rows], [(signals.zero_phase(sos, x) ** 2).mean() for x in raw.T], atol=1e-8)
+    monkeypatch.setattr(signals, "GROUP", group)
+    r, sos = np.random.default_rng(4), signals.sections(4, 20, 500, 2048)
+    data = {c: r.normal(size=n) * 100 + 50 for c, n in (("a", 700), ("b", 1), ("c", 2), ("d", 30), ("e", 48), ("f", 433))}
+    rows = [(c, k // 7, k, float(v)) for c, x in data.items() for k, v in enumerate(x)] + [("a", 3, -1, None)]
+    df = spark.createDataFrame(rows, "ch string, day int, t int, v double").repartition(5)
+    got = signals.band_pass(df, 2048, channel="ch", by=["day", "t"], coarse=[F.col("day")], block=block).collect()
+    assert len(got) == len(rows) - 1
+    for c, x in data.items():
+        out = np.array([y for *_, y in sorted((g["day"], g["t"], g["v"]) for g in got if g["ch"] == c)])
+        assert np.abs(out - signals.zero_phase(sos, x)).max() < 1e-9
+
+
+def test_band_pass_of_no_rows(spark):
+    from quillmill.operators import signals
+
+    assert signals.band_pass(spark.createDataFrame([], "channel int, t int, v double"), 2048).collect() == []
 
 
 def test_study(spark, tmp_path):

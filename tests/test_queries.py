@@ -26,10 +26,8 @@ def test_cases(spark, data, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_queries_without_sql(spark, data):
-    assert set(QUERIES) - set(SQL) == {"q63_band_pass"}
-    for r in QUERIES["q63_band_pass"](spark, data).collect():
-        assert 0.2 < r["after"] / r["before"] < 0.7  # 480 of 1024 Hz pass
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
