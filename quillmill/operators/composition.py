@@ -99,6 +99,19 @@ def at_midnight(events: DataFrame, key: str, time: str, tie: str, state: str) ->
     return got.select(key, F.date_add("__day", 1).cast("timestamp_ntz").alias("midnight"), "state")
 
 
+def calendar_midnights(events: DataFrame, key: str, time: str, tie: str, state: str, until: Column) -> DataFrame:
+    """key, midnight and state at each midnight from a key's first row up to `until` (an
+    aggregate over all rows), on days without rows too: the last state before it."""
+    day = F.to_date(time)
+    days = events.groupBy(key, day.alias("__day")).agg(F.max_by(F.struct(state), F.struct(time, tie)).alias("__last"))
+    end = events.agg(F.to_date(until).alias("__end"))  # one row
+    calendar = days.groupBy(key).agg(F.min("__day").alias("__first")).crossJoin(F.broadcast(end))
+    calendar = calendar.select(key, F.explode(F.sequence("__first", F.date_sub("__end", 1))).alias("__day"))
+    before = Window.partitionBy(key).orderBy("__day")
+    filled = calendar.join(days, [key, "__day"], "left").withColumn("state", F.last("__last", ignorenulls=True).over(before)[state])
+    return filled.select(key, F.date_add("__day", 1).cast("timestamp_ntz").alias("midnight"), "state")
+
+
 def actions(triggers: DataFrame, trigger: str, choices: dict[str, str], targets: list[str], spare: list[str]) -> DataFrame:
     """One row for each trigger that has a choice and each target that isn't spared."""
     chosen = F.lit(None).cast("string")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillmill.operators.selection import ranked
 from quillmill.sources.outputs import new_folder
+from quillmill.workers import importable
 
 
 def sections(order: int, low: float, high: float, rate: float) -> np.ndarray:
@@ -182,6 +183,7 @@ def band_pass(samples: DataFrame, rate: float, low: float = 20.0, high: float =
     channel, the ends continued by their odd reflection. Samples without a value are left
     out; a channel of one sample is zero. `coarse` is the beginning of that order in few
     values, as ranked() takes it."""
+    importable(samples.sparkSession)
     sos, by = sections(order, low, high, rate), by or ["t"]
     rows = samples.where(F.col(value).isNotNull()).select(channel, *by, F.col(value).cast("double").alias("__v"))
     placed = _kept(ranked(rows, [channel], coarse or [], [F.col(c) for c in by], "__i").withColumn("__i", F.col("__i") - 1))

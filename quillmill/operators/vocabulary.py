@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.workers import importable
+
 #: Bytes of an automaton's table, bytes of a literal that enter it, of a stretch, and of the texts scanned at once.
 TABLE, LITERAL, STRETCH, SLICE = 1 << 26, 64, 512, 1 << 22
 FOUND = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("n", T.IntegerType())]))
@@ -199,6 +201,7 @@ def labelled(rows: DataFrame, text: Column, vocabulary: DataFrame, label: str, p
     """Adds `out`: (label, n) for the labels of a vocabulary of which a text holds n > 0
     patterns, by label. Texts are taken as they are given; patterns are Python's, those with
     a null field are left out, and a null text holds none."""
+    importable(rows.sparkSession)
     names = [c for c in rows.columns if c != out]
     schema = T.StructType([*[rows.schema[c] for c in names], T.StructField(out, FOUND)])
     rows = rows.select(*names, F.lit(None).cast(FOUND).alias(out), text.alias("__text"))

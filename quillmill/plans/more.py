@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
-from quillmill.operators import composition, report, selection, signals
+from quillmill.operators import composition, report, selection, signals, states
 from quillmill.plans import fixtures as fx
-from quillmill.plans.catalog import _expected, case, query, table
+from quillmill.plans.catalog import SQL, _expected, case, query, table
 from quillmill.plans.fixtures import frame, values
+from quillmill.plans import landed  # noqa: F401  whose SQL the streams' is
 from quillmill.sources import outputs
+from quillmill.streaming import runs
 
 
 @query("SELECT n.n_nationkey, concat_ws(chr(10), r.r_name, n.n_name, CASE WHEN s.best IS NOT NULL THEN '# ' || s.best END) AS context FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN (SELECT s_nationkey, max(s_name) AS best FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON s.s_nationkey = n.n_nationkey")
@@ -111,6 +113,44 @@ def q60_midnight_states(spark, d):
     return got.withColumn("midnight", F.date_format("midnight", "yyyy-MM-dd"))
 
 
+_CALENDAR_SQL = """WITH l AS (SELECT user_id, ts::DATE AS d, arg_max(event_type, (ts, event_id)) AS s FROM events GROUP BY ALL),
+c AS (SELECT user_id, unnest(generate_series(min(d), (SELECT (max(ts) + INTERVAL 47 HOUR)::DATE - 1 FROM events), INTERVAL 1 DAY))::DATE AS d FROM l GROUP BY user_id)
+SELECT c.user_id, strftime(c.d + 1, '%Y-%m-%d') AS midnight, last_value(s IGNORE NULLS) OVER (PARTITION BY c.user_id ORDER BY c.d) AS state FROM c LEFT JOIN l ON l.user_id = c.user_id AND l.d = c.d"""
+
+
+@query(_CALENDAR_SQL)
+def q60b_calendar_midnights(spark, d):
+    """Each user's state at every midnight, on days without rows too."""
+    got = composition.calendar_midnights(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type", F.max("ts") + F.expr("INTERVAL 47 HOURS"))
+    return got.withColumn("midnight", F.date_format("midnight", "yyyy-MM-dd"))
+
+
+def _midnights(spark, d):
+    return runs.over(spark, table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "ts", lambda e: runs.midnights(e, "user_id", "ts", "event_id", F.col("event_type")))
+
+
+@query(_CALENDAR_SQL)
+def q60c_midnight_stream(spark, d):
+    """The same by a stream with timers, an hour behind a row two days after the last."""
+    got = _midnights(spark, d).where("kind = 'midnight'")
+    return got.select(F.col("key").cast("long").alias("user_id"), F.date_format("at", "yyyy-MM-dd").alias("midnight"), "state")
+
+
+@query(SQL["q23_transitions"])
+def q23b_transition_stream(spark, d):
+    got = _midnights(spark, d).where("kind = 'transition'")
+    return got.select(F.col("id").cast("long").alias("event_id"), "before", F.col("state").alias("event_type"))
+
+
+@query(SQL["q78_abort_branch"])
+def q78b_abort_stream(spark, d):
+    """Questions, waits and what they lead to, by a stream with state and timers."""
+    rows = table(spark, d, "events", "user_id", "ts", "event_id", "event_type", "value")
+    answer = F.when(F.col("value") > 100, "keep").otherwise("off")
+    got = runs.over(spark, rows, "ts", lambda e: runs.waits(e, "user_id", "ts", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase", answer, 24 * 3600))
+    return states.after_answer(got, "keep", "turn_off").select(F.col("key").cast("long").alias("user_id"), F.col("id").cast("long").alias("id"), "action")
+
+
 @query("SELECT e.event_id, CASE event_type WHEN 'error' THEN 'turn_off' ELSE 'turn_on' END AS action, t.x AS target FROM events e, (VALUES ('l1'), ('l3')) AS t(x) WHERE event_type IN ('error', 'signup')")
 def q61_choose_and_apply(spark, d):
     return composition.actions(table(spark, d, "events", "event_id", "event_type"), "event_type", {"error": "turn_off", "signup": "turn_on"}, ["l1", "l2", "l3"], ["l2"]).select("event_id", "action", "target")
@@ -124,6 +164,14 @@ def q62_single_mode(spark, d):
     return composition.single(table(spark, d, "events"), "user_id", "ts", "event_id", 24 * 3600)
 
 
+@query(SQL["q62_single_mode"])
+def q62b_single_stream(spark, d):
+    """The same by the stream: every row asks, none answers, and one run goes on at a time."""
+    rows = table(spark, d, "events", "user_id", "ts", "event_id")
+    got = runs.over(spark, rows, "ts", lambda e: runs.waits(e, "user_id", "ts", "event_id", F.lit(True), F.lit(False), F.lit(None), 24 * 3600, single=True))
+    return got.select(F.col("key").cast("long").alias("user_id"), F.col("id").cast("long").alias("event_id"))
+
+
 def _band_pass_sql() -> str:
     """The filter sample by sample: two recursions over places, forwards and backwards."""
     sos = signals.sections(4, 20, 500, 2048)

@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import states
-from quillmill.streaming import events
+from quillmill.streaming import events, runs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -56,3 +57,72 @@ def test_daily(spark, tmp_path, data):
     got = {r["day"].date(): r["n"] for r in run(spark, stream, "daily", tmp_path, "complete")}
     want = {r[0]: r[1] for r in spark.read.parquet(path).groupBy(F.to_date("ts")).count().collect()}
     assert got == want
+
+
+def brute_waits(rows, micros, single):
+    """rows: (key, at, id, kind, value) in the order of times, answers first."""
+    out, open_ = set(), {}
+    for key, at, i, kind, value in sorted(rows, key=lambda r: (r[1], r[3], r[2])):
+        asked = open_.setdefault(key, [])
+        for q in [q for q in asked if q[0] + micros < at + (single and kind == "b")]:
+            out.add((key, str(q[1]), "timeout", None))
+            asked.remove(q)
+        if kind == "a":
+            out |= {(key, str(q[1]), "answered", value) for q in asked}
+            asked.clear()
+        elif not (single and asked):
+            asked.append((at, i))
+    return out | {(k, str(i), "timeout", None) for k, x in open_.items() for _, i in x}
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_waits_over_batches_restarts_and_late_rows(spark, tmp_path, monkeypatch, single):
+    import random
+
+    for k, v in runs.STORE.items():
+        spark.conf.set(k, v)
+    r = random.Random(3)
+    schema = "k string, ts timestamp, id int, kind string, value string"
+    made = [(r.choice("pqr"), at(r.choice([k, k, k // 2 * 2])), k, r.choice("aabbb"), r.choice(["keep", "off", None])) for k in range(120)]
+    made += [("p", at(30), 500, "b", None), ("p", at(30), 501, "a", "same"), ("p", at(35), 502, "a", "limit"), (None, at(3), 503, "b", None)]
+    made.sort(key=lambda x: x[1])
+    files = [r.sample(made[:40], 40), made[40:80] + [("q", at(5), 900, "b", None)], [*made[80:], ("r", at(20), 901, "a", "late")], [("end", at(900), 999, "none", None)], [("end", at(901), 999, "none", None)]]
+    path = rows(spark, tmp_path, files[:2], schema, "in")
+
+    def go():
+        events_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stream = runs.waits(events_, "k", "ts", "id", F.col("kind") == "b", F.col("kind") == "a", F.col("value"), 300, single, "5 minutes")
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+
+    try:
+        go()
+        rows(spark, tmp_path, files[2:], schema, "in")
+        go()
+    finally:
+        for k in runs.STORE:
+            spark.conf.unset(k)
+    got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
+    micros = lambda t: (t - T0) // dt.timedelta(microseconds=1)
+    made.append(("q", at(5), 900, "b", None))  # behind the first file's watermark, but not behind that of the batch before it
+    want = brute_waits([(k, micros(t), i, kind, v) for k, t, i, kind, v in made if k], 300_000_000, single)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_midnights_over_batches(spark, tmp_path):
+    for k, v in runs.STORE.items():
+        spark.conf.set(k, v)
+    day = 24 * 60
+    schema = "k string, ts timestamp, id int, s string"
+    files = [[("a", at(10), 1, "on"), ("b", at(day), 2, "x")], [("a", at(3 * day - 1), 3, "off"), ("a", at(3 * day), 4, "on"), ("b", at(3 * day + 5), 6, None)], [("z", at(5 * day + 30), 9, None)], [("z", at(5 * day + 31), 9, None)]]
+    path = rows(spark, tmp_path, files, schema, "in")
+    try:
+        events_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).where("k <> 'z' OR id = 9")
+        got = [tuple(x) for x in run(spark, runs.midnights(events_, "k", "ts", "id", F.col("s"), "10 minutes"), "midnights", tmp_path)]
+    finally:
+        for k in runs.STORE:
+            spark.conf.unset(k)
+    night = lambda k, d, s: (k, "midnight", at(d * day), None, None, s)
+    want = [night("a", 1, "on"), night("a", 2, "on"), night("a", 3, "off"), night("a", 4, "on"), night("a", 5, "on"), night("b", 2, "x"), night("b", 3, "x"), night("b", 4, None), night("b", 5, None)]
+    want += [("a", "transition", at(3 * day - 1), "3", "on", "off"), ("a", "transition", at(3 * day), "4", "off", "on")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
