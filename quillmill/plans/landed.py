@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
@@ -10,6 +11,7 @@ from quillmill.operators import composition, language, selection, states, traces
 from quillmill.plans.catalog import _ACCESS_SQL, _access, query, table
 from quillmill.plans.fixtures import frame, values
 from quillmill.sources import files, outputs
+from quillmill.streaming import log
 
 _TOPIC_OF = "source || '-' || (doc_id // 1000)"
 
@@ -42,18 +44,45 @@ def q67_envelope_updated(spark, d):
     return spark.read.schema(files.ENVELOPE).json(path).select("tema", F.size("fuentes").alias("n_fuentes"), "enfoque")
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS agent, user_id::VARCHAR AS project, round(event_id * 3.0 / 1e6 + user_id * 15.0 / 1e6, 6) AS cost_usd, round(value / 7, 2) AS latency_s
-FROM events WHERE ts::DATE = DATE '2024-01-15'""")
+def _traces(spark, d):
+    usage = F.struct(F.lit("m").alias("model"), F.col("event_id").alias("input"), F.col("user_id").alias("output"), token_cost(F.col("event_id"), F.col("user_id"), F.lit(3.0), F.lit(15.0)).alias("cost_usd"))
+    return table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("agent"), F.col("user_id").cast("string").alias("project"), usage.alias("usage"), F.round(F.col("value") / 7, 2).alias("latency_s"))
+
+
+_DAY_SQL = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS agent, user_id::VARCHAR AS project, round(event_id * 3.0 / 1e6 + user_id * 15.0 / 1e6, 6) AS cost_usd, round(value / 7, 2) AS latency_s
+FROM events WHERE ts::DATE = DATE '2024-01-15'"""
+
+
+@query(_DAY_SQL)
 def q68_day_log(spark, d):
     """Traces appended to the logs of all days, in two goes, and one day's read back."""
-    e, path = table(spark, d, "events"), outputs.new_folder(spark)
-    usage = F.struct(F.lit("m").alias("model"), F.col("event_id").alias("input"), F.col("user_id").alias("output"), token_cost(F.col("event_id"), F.col("user_id"), F.lit(3.0), F.lit(15.0)).alias("cost_usd"))
-    traces_ = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("agent"), F.col("user_id").cast("string").alias("project"), usage.alias("usage"), F.round(F.col("value") / 7, 2).alias("latency_s"))
+    traces_, path = _traces(spark, d), outputs.new_folder(spark)
     for some in (F.col("agent") == "error", F.col("agent") != "error"):
         outputs.append_log(traces_.where(some), path, "ts")
     return files.day_rows(spark, path, "2024-01-15").select("ts", "agent", "project", "usage.cost_usd", "latency_s")
 
 
+@query(_DAY_SQL)
+def q68b_log_once(spark, d):
+    """The same by a stream whose first attempt dies between a batch's files and its entry,
+    and which is started again on its checkpoint."""
+    landed, path = outputs.new_folder(spark), outputs.new_folder(spark)
+    traces_ = _traces(spark, d)
+    traces_.repartition(3).write.parquet(landed)
+    stream = lambda: spark.readStream.schema(traces_.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+
+    def die(batch: int) -> None:
+        if batch == 1:
+            raise RuntimeError("between files and entry")
+
+    try:
+        log.append(stream(), path, "ts", f"{path}/checkpoint", die).awaitTermination()
+    except StreamingQueryException:
+        pass
+    log.append(stream(), path, "ts", f"{path}/checkpoint").awaitTermination()
+    return log.read(spark, path, files.TRACE, "2024-01-15").select("ts", "agent", "project", "usage.cost_usd", "latency_s")
+
+
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no existe' WHEN n_chars * 20 < 20000 THEN 'demasiado pequeño' WHEN quality <> 1 THEN 'no es PDF' ELSE 'ok' END AS verdict FROM documents d LEFT JOIN labels l USING (doc_id)")
 def q69_pdf_verdict(spark, d):
     rows = table(spark, d, "documents", "doc_id", "n_chars", "text").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id", "left")

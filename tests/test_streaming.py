@@ -126,3 +126,39 @@ def test_midnights_over_batches(spark, tmp_path):
     want = [night("a", 1, "on"), night("a", 2, "on"), night("a", 3, "off"), night("a", 4, "on"), night("a", 5, "on"), night("b", 2, "x"), night("b", 3, "x"), night("b", 4, None), night("b", 5, None)]
     want += [("a", "transition", at(3 * day - 1), "3", "on", "off"), ("a", "transition", at(3 * day), "4", "off", "on")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_log_once(spark, tmp_path):
+    """A stream that dies between a batch's files and its entry, one that is replayed after
+    the entry, and a reader in between."""
+    import shutil
+
+    from pyspark.errors import StreamingQueryException
+
+    from quillmill.streaming import log
+
+    schema = "ts string, agent string"
+    files = [[("2024-01-15T00:00:00", f"a{k}"), ("2024-01-16T00:00:00", f"b{k}")] for k in range(3)]
+    path, folder, checkpoint = rows(spark, tmp_path, files, schema, "in"), str(tmp_path / "log"), str(tmp_path / "c")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def die(batch):
+        if batch == 1:
+            raise RuntimeError("dead")
+
+    assert log.read(spark, folder, schema).collect() == []
+    with pytest.raises(StreamingQueryException):
+        log.append(stream(), folder, "ts", checkpoint, die).awaitTermination()
+    assert (tmp_path / "log" / "data" / "batch=1").exists()
+    assert log.read(spark, folder, schema).count() == 2  # of batch 1 nothing is seen
+    log.append(stream(), folder, "ts", checkpoint).awaitTermination()
+    want = sorted(a for f in files for _, a in f)
+    assert sorted(r["agent"] for r in log.read(spark, folder, schema).collect()) == want
+    # the checkpoint's note of the last batch is lost, after its entry
+    for name in ("commits/2", "commits/.2.crc"):
+        (tmp_path / "c" / name).unlink(missing_ok=True)
+    log.append(stream(), folder, "ts", checkpoint).awaitTermination()
+    assert sorted(r["agent"] for r in log.read(spark, folder, schema).collect()) == want
+    assert sorted(r["agent"] for r in log.read(spark, folder, schema, "2024-01-15").collect()) == ["a0", "a1", "a2"]
+    assert not log.commit(spark.createDataFrame(files[0], schema), 2, folder, "ts")
+    shutil.rmtree(folder)
