@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.selection import ranked
+
 
 def context(parts: list[Column], sep: str = "\n") -> Column:
     """Parts in order, missing ones left out."""
@@ -41,12 +44,10 @@ def arrivals(records: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return known.unionByName(found.join(records.select(name), name, "left_anti").select(name, F.lit("stray").alias("status")))
 
 
-def insert(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, new: str) -> DataFrame:
-    """Texts with a line, and a blank one, put in at the end of a section (ends: id, end)."""
-    lines = F.split(text_col, "\n", -1)
-    at = docs.join(ends.select(id_col, "end"), id_col)
-    joined = F.concat(F.slice(lines, F.lit(1), F.col("end")), F.array(F.lit(new), F.lit("")), F.slice(lines, F.col("end") + 1, F.size(lines)))
-    return at.select(id_col, F.array_join(joined, "\n").alias(text_col))
+def inserted(text: Column, end: Column, new: str) -> Column:
+    """A text with a line, and a blank one, put in before line number `end`."""
+    lines = F.split(text, "\n", -1)
+    return F.array_join(F.concat(F.slice(lines, F.lit(1), end), F.array(F.lit(new), F.lit("")), F.slice(lines, end + 1, F.size(lines))), "\n")
 
 
 def query_text(topic: Column, stratum: Column, since: int) -> Column:
@@ -66,8 +67,10 @@ def merge_keys(existing: DataFrame, updates: DataFrame) -> DataFrame:
     e = existing.select("key", F.col("value").alias("v0"), F.col("ord").alias("o0"))
     u = updates.select("key", F.col("value").alias("v1"), F.col("ord").alias("o1"))
     both = e.join(u, "key", "full_outer")
-    place = F.row_number().over(Window.orderBy(F.col("o0").isNull(), "o0", "o1"))
-    return both.select("key", F.coalesce("v1", "v0").alias("value"), place.alias("place"))
+    both = both.withColumn("o", F.coalesce("o0", "o1")).withColumn("new", F.col("o0").isNull())
+    # numbered by thousands of either order, so that no task orders all keys
+    both = ranked(both, [], [F.col("new"), F.floor(F.col("o") / 1000)], [F.col("new"), F.col("o")])
+    return both.select("key", F.coalesce("v1", "v0").alias("value"), F.col("place").cast("int").alias("place"))
 
 
 def merged(section: Column, **fields: Column) -> Column:
@@ -129,15 +132,18 @@ def single(events: DataFrame, key: str, time: str, tie: str, seconds: int) -> Da
     rows = rows.repartition("k").sortWithinPartitions("k", "at", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, until = object(), 0
+        now, until, none = object(), 0, -(1 << 62)
         for b in batches:
-            keep = []
-            for k, at in zip(b["k"], b["at"]):
-                if k != now:
-                    now, until = k, -(1 << 62)
-                keep.append(at >= until)
-                if keep[-1]:
-                    until = at + seconds * 1_000_000
+            keys, at = b["k"].to_numpy(), b["at"].to_numpy()
+            keep = np.zeros(len(b), bool)
+            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(b)] if len(b) else []
+            for start, end in zip([0, *ends], ends):
+                if keys[start] != now:
+                    now, until = keys[start], none
+                i = start + np.searchsorted(at[start:end], until)
+                while i < end:  # from run to run, over the rows between
+                    keep[i], until = True, at[i] + seconds * 1_000_000
+                    i = start + np.searchsorted(at[start:end], until)
             yield b[keep]
 
     return rows.mapInPandas(run, rows.schema).select(F.col("k").alias(key), F.col("id").alias(tie))

@@ -29,24 +29,22 @@ def cells(row: Column) -> Column:
     return F.transform(F.split(inner, r"(?<!\\)\|", -1), strip)
 
 
-def _append(out: Column, more: Column) -> Column:
-    return F.concat(out, F.array(more))
+def _with_before(items: Column) -> Column:
+    """(x, before) for each item: every part of it is made once, not once an item."""
+    shifted = F.slice(F.concat(F.array(F.lit("")), items), F.lit(1), F.size(items))
+    return F.arrays_zip(items.alias("x"), shifted.alias("before"))
 
 
 def join_quotes(text: Column) -> Column:
     """Neighbouring lines that start with '>' become one, joined by <br>; empty ones go."""
-    kinds = "struct<out:array<string>,held:array<string>>"
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held")).cast(kinds)
-    flush = lambda s: F.when(F.size(s["held"]) > 0, _append(s["out"], F.concat(F.lit("> "), F.array_join(s["held"], "<br>")))).otherwise(s["out"])
+    inner = lambda line: strip(F.substring(line, 2, 1 << 30))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.startswith(">") | (inner(x) != ""))
 
-    def step(s, line):
-        inner = strip(F.substring(line, 2, 1 << 30))
-        held = F.when(inner != "", _append(s["held"], inner)).otherwise(s["held"])
-        quoted = F.struct(s["out"].alias("out"), held.alias("held"))
-        plain = F.struct(_append(flush(s), line).alias("out"), F.array().cast("array<string>").alias("held"))
-        return F.when(line.startswith(">"), quoted).otherwise(plain).cast(kinds)
+    def piece(p: Column) -> Column:
+        line = F.when(p["before"].startswith(">"), F.concat(F.lit("<br>"), inner(p["x"]))).otherwise(F.concat(F.lit("\n> "), inner(p["x"])))
+        return F.when(p["x"].startswith(">"), line).otherwise(F.concat(F.lit("\n"), p["x"]))
 
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), begin, step, flush), "\n")
+    return F.substring(F.array_join(F.transform(_with_before(lines), piece), ""), 2, 1 << 30)
 
 
 def diagrams(text: Column) -> Column:
@@ -69,33 +67,31 @@ def escape_citations(text: Column) -> Column:
     return _interleave(between, shielded)
 
 
+def _runs(text: Column, kind) -> Column:
+    """Texts of neighbouring lines of one kind. Lines are joined with a mark after the line
+    end, which no line holds, that says whether the kind changes."""
+    mark = lambda p: F.when(kind(p["x"]) == kind(p["before"]), "S").otherwise("C")
+    marked = F.array_join(F.transform(_with_before(F.split(text, "\n", -1)), lambda p: F.concat(mark(p), p["x"])), "\n")
+    return F.transform(F.split(F.substring(marked, 2, 1 << 30), "\nC", -1), lambda x: F.replace(x, F.lit("\nS"), F.lit("\n")))
+
+
 def tables(text: Column) -> Column:
-    """Pipe tables become XML tables; rows aren't padded."""
-    lines = F.split(text, "\n", -1)
-    ahead = F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit("")))
-    pairs = F.arrays_zip(lines.alias("line"), ahead.alias("next"))
-    kinds = "struct<out:array<string>,inside:boolean,skip:boolean>"
-    none = F.array().cast("array<string>")
-    begin = F.struct(none.alias("out"), F.lit(False).alias("inside"), F.lit(False).alias("skip")).cast(kinds)
-
-    def row(line):
+    """Pipe tables become XML tables; rows aren't padded. A table begins at the first line
+    of a run of lines with pipes that a separator follows, and ends with the run."""
+
+    def row(line: Column) -> Column:
         return F.concat(F.lit("\t<tr>\n"), F.array_join(F.transform(cells(line), lambda c: F.concat(F.lit("\t\t<td>"), F.replace(c, F.lit("\\|"), F.lit("|")), F.lit("</td>"))), "\n"), F.lit("\n\t</tr>"))
 
-    def step(s, p):
-        pipe = strip(p["line"]).startswith("|")
-        opens = pipe & p["next"].rlike(SEPARATOR)
-        state = lambda out, inside, skip: F.struct(out.alias("out"), F.lit(inside).alias("inside"), F.lit(skip).alias("skip"))
-        head = F.concat(F.lit('<table fit-page-width="true" header-row="true">\n'), row(p["line"]))
-        closed = F.when(s["inside"], _append(s["out"], F.lit("</table>"))).otherwise(s["out"])
-        return (
-            F.when(s["skip"], state(s["out"], True, False))
-            .when(s["inside"] & pipe, state(_append(s["out"], row(p["line"])), True, False))
-            .when(opens, state(_append(closed, head), True, True))
-            .otherwise(state(_append(closed, p["line"]), False, False)).cast(kinds)
-        )
-
-    done = F.aggregate(pairs, begin, step, lambda s: F.when(s["inside"], _append(s["out"], F.lit("</table>"))).otherwise(s["out"]))
-    return F.array_join(done, "\n")
+    def table(run: Column) -> Column:
+        lines = F.split(run, "\n", -1)
+        ahead = F.slice(lines, F.lit(2), F.size(lines))
+        first = F.array_position(F.transform(ahead, lambda x: x.rlike(SEPARATOR)), True).cast("int")
+        # fixed values: the tags of a table
+        head = F.concat(F.lit('<table fit-page-width="true" header-row="true">\n'), row(F.get(lines, first - 1)))
+        parts = F.concat(F.slice(lines, F.lit(1), first - 1), F.array(head), F.transform(F.slice(lines, first + 2, F.size(lines)), row), F.array(F.lit("</table>")))
+        return F.when(strip(run).startswith("|") & (first > 0), F.array_join(parts, "\n")).otherwise(run)
+
+    return F.array_join(F.transform(_runs(text, lambda x: strip(x).startswith("|")), table), "\n")
 
 
 def convert(text: Column) -> Column:

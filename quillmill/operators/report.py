@@ -4,7 +4,7 @@ Statuses are ok, FALLO (fails) and aviso (warns)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import overlap_ratio
@@ -114,17 +114,23 @@ def image_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\((https?://[^)\s]+)"), F.lit(1))
 
 
+def section(text: Column, number: int) -> Column:
+    """(start, end) line numbers of section `number` (from 0, the end exclusive), without
+    blank lines and rules at its end; null without such a section. Positions in arrays of
+    one row: no line leaves it."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, lambda x: x.startswith(f"## {number}.")), True).cast("int")
+    rest = F.slice(lines, F.greatest(at, F.lit(0)) + 1, F.size(lines))
+    other = F.array_position(F.transform(rest, lambda x: x.startswith("## ")), True).cast("int")
+    own = F.when(other > 0, F.slice(rest, F.lit(1), F.greatest(other - 1, F.lit(0)))).otherwise(rest)
+    blank = F.array_position(F.reverse(F.transform(own, lambda x: ~F.trim(x).isin("", "---"))), True).cast("int")
+    solid = F.when(blank > 0, F.size(own) - blank + 1).otherwise(0)
+    return F.when(at > 0, F.struct((at - 1).alias("start"), (at + solid).alias("end")))
+
+
 def section_lines(docs: DataFrame, id_col: str, text_col: str, number: int) -> DataFrame:
-    """id, first and last line numbers (from 0, the last exclusive) of section `number`,
-    without blank lines and rules at its end."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("i", "line"))
-    w = Window.partitionBy(id_col)
-    start = F.min(F.when(F.col("line").startswith(f"## {number}."), F.col("i"))).over(w)
-    after = lines.withColumn("start", start).where(F.col("i") >= F.col("start"))
-    end = F.min(F.when(F.col("line").startswith("## ") & (F.col("i") > F.col("start")), F.col("i"))).over(w)
-    own = after.withColumn("end", end).where(F.col("end").isNull() | (F.col("i") < F.col("end")))
-    solid = (F.col("i") == F.col("start")) | ~F.trim("line").isin("", "---")
-    return own.groupBy(id_col).agg(F.min("start").alias("start"), (F.max(F.when(solid, F.col("i"))) + 1).alias("end"))
+    """id, start and end of section `number` of the texts that have it."""
+    return docs.select(id_col, section(F.col(text_col), number).alias("s")).where("s IS NOT NULL").select(id_col, "s.start", "s.end")
 
 
 def metadata(text: Column) -> dict[str, Column]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.selection import ranked
+
 
 def daily(traces: DataFrame, time: str, tools: Column, cost: Column) -> DataFrame:
     """day, sessions, tool calls and cost, a missing cost being 0."""
@@ -31,10 +33,11 @@ def last_of(messages: DataFrame, key: str, seq: str, role: str, among: str, text
     return messages.groupBy(key).agg(F.coalesce(F.max_by(F.when(F.col(role) == among, F.col(text)), F.when(F.col(role) == among, F.col(seq))), F.lit("")).alias("last_text"))
 
 
-def proposal_ids(rows: DataFrame, day: Column, order: str) -> DataFrame:
-    """date_NN, numbered within the date."""
-    number = F.row_number().over(Window.partitionBy("day").orderBy(order))
-    return rows.withColumn("day", F.date_format(day, "yyyy-MM-dd")).withColumn("proposal_id", F.format_string("%s_%02d", F.col("day"), number))
+def proposal_ids(rows: DataFrame, day: Column, order: str, coarse: list[Column] | None = None) -> DataFrame:
+    """date_NN, numbered within the date. `coarse` is the beginning of the order in few
+    values (see ranked()), so that a day is more than one task."""
+    rows = ranked(rows.withColumn("day", F.date_format(day, "yyyy-MM-dd")), ["day"], coarse or [], [F.col(order)], "__number")
+    return rows.withColumn("proposal_id", F.format_string("%s_%02d", F.col("day"), F.col("__number"))).drop("__number")
 
 
 #: Slide titles of a deck.

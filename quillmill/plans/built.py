@@ -259,7 +259,8 @@ def q32e_section_lines(spark, d):
 @query("""SELECT doc_id, repeat('intro\n', doc_id % 3) || '## 1. A\n' || repeat('x\n', doc_id % 4) || '\n---\n## 2. B\n' || repeat('y\n', doc_id % 5) || 'NEW\n\n\n---\n\n' || CASE WHEN doc_id % 2 > 0 THEN '## 3. C\nz' ELSE '' END AS t FROM documents""")
 def q54_insert_line(spark, d):
     docs = _sectioned(spark, d)
-    return composition.insert(docs, report.section_lines(docs, "doc_id", "t", 2), "doc_id", "t", "NEW")
+    end = report.section(F.col("t"), 2)["end"]
+    return docs.select("doc_id", composition.inserted(F.col("t"), end, "NEW").alias("t")).where("t IS NOT NULL")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1.' || p_size || '.' || p_partkey ELSE '0.0.0' END AS version, CASE WHEN p_partkey % 3 = 0 THEN 'open' ELSE 'gated' END AS mode, CASE WHEN p_partkey % 3 = 0 THEN '1,3,' || p_partkey % 9 ELSE '' END AS protected FROM part")

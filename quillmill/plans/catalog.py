@@ -460,7 +460,7 @@ def q43_proxied_urls(spark, d):
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') || '_' || CASE WHEN k < 10 THEN '0' ELSE '' END || k AS proposal_id, o_orderkey FROM (SELECT o_orderdate, o_orderkey, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m-%d') ORDER BY o_orderkey) AS k FROM orders)")
 def q44_proposal_ids(spark, d):
-    return traces.proposal_ids(table(spark, d, "orders", "o_orderdate", "o_orderkey"), F.col("o_orderdate"), "o_orderkey").select("proposal_id", "o_orderkey")
+    return traces.proposal_ids(table(spark, d, "orders", "o_orderdate", "o_orderkey"), F.col("o_orderdate"), "o_orderkey", [F.floor(F.col("o_orderkey") / 10_000)]).select("proposal_id", "o_orderkey")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'oa' ELSE 'paywall' END AS a FROM documents) WHERE a NOT IN ('pmc', 'oa', 'manual') AND doc_id NOT IN (SELECT doc_id FROM labels)")

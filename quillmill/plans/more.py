@@ -74,7 +74,7 @@ def q53_arrivals(spark, d):
 @case(_expected([(1, "## 1. A\nx\n\n---\n## 2. B\ny\nz\nNEW\n\n\n"), (2, "intro\n## 2. only\nNEW\n")], "v(id, t)"))
 def q54_insert_line(spark, d):
     docs = frame(spark, "id int, t string", fx.SECTIONED)
-    return composition.insert(docs, report.section_lines(docs, "id", "t", 2), "id", "t", "NEW")
+    return docs.select("id", composition.inserted(F.col("t"), report.section(F.col("t"), 2)["end"], "NEW").alias("t")).where("t IS NOT NULL")
 
 
 @case(f"SELECT s AS stratum, '(asma) AND (' || s || ') AND (\"2000\"[dp] : \"3000\"[dp])' AS q FROM {values([(s,) for s, _ in selection.STRATA], 'v(s)')}")
