@@ -49,12 +49,41 @@ def overlap_ratio(real: Column, cited: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def interleave(between: Column, parts: Column) -> Column:
+    """What lies between the parts of a text, and the parts, in turn."""
+    longer = F.concat(parts, F.array(F.lit("")))  # there is one more between than there are parts
+    return F.array_join(F.transform(F.arrays_zip(between.alias("a"), longer.alias("b")), lambda x: F.concat(F.coalesce(x["a"], F.lit("")), F.coalesce(x["b"], F.lit("")))), "")
+
+
+#: The entities that XML predefines.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_ENTITY = r"&(?:lt|gt|quot|apos|amp|#[0-9]{1,7}|#x[0-9a-fA-F]{1,6});"
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for; a number that is no character stays as it is."""
+    code = F.when(entity.startswith("&#x"), F.conv(F.regexp_extract(entity, "x([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(entity, "#([0-9]+)", 1)).try_cast("int")
+    known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    out = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+    for name, char in ENTITIES.items():
+        out = F.when(entity == name, char).otherwise(out)
+    return out
+
+
+def decode_entities(text: Column) -> Column:
+    """Predefined and numeric entities, each once: &amp;lt; becomes &lt;."""
+    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), interleave(F.split(text, _ENTITY, -1), F.transform(found, _character))).otherwise(text)
+
+
 def inner_text(markup: Column) -> Column:
-    """Text of a node without its tags, with the five predefined entities decoded."""
-    out = F.regexp_replace(markup, "<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(out)
+    """Text of a node without its tags and comments, with entities decoded; what CDATA
+    sections hold is text as it stands."""
+    section = r"(?s)<!\[CDATA\[(.*?)\]\]>"
+    outside = lambda x: decode_entities(F.regexp_replace(x, r"(?s)<!--.*?-->|<[^>]+>", ""))
+    held = F.regexp_extract_all(markup, F.lit(section), F.lit(1))
+    mixed = interleave(F.transform(F.split(markup, section, -1), outside), held)
+    return strip(F.when(F.contains(markup, F.lit("<![CDATA[")), mixed).otherwise(outside(markup)))
 
 
 def citation(authors: Column, title: Column, journal: Column, year: Column, doi: Column, pmid: Column) -> Column:

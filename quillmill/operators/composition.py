@@ -80,6 +80,22 @@ def merged(section: Column, **fields: Column) -> Column:
     return section
 
 
+def merged_json(first: Column, second: Column) -> Column:
+    """JSON objects whose keys aren't known, merged: all keys of both, in order, a key's
+    value being the second's where that has it, null too. What is no object, or names a key
+    twice, merges to null."""
+    fields = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"\A\s*\{"), F.from_json(c, "map<string,variant>"))
+    texts = F.map_zip_with(_texts(fields(first)), _texts(fields(second)), lambda k, a, b: F.coalesce(b, a))
+    pairs = F.array_sort(F.map_entries(texts))
+    body = F.array_join(F.transform(pairs, lambda x: F.concat(F.to_json(F.array(x["key"])).substr(F.lit(2), F.length(F.to_json(F.array(x["key"]))) - 2), F.lit(":"), x["value"])), ",")
+    return F.concat(F.lit("{"), body, F.lit("}"))
+
+
+def _texts(fields: Column) -> Column:
+    """The values of a map as JSON texts."""
+    return F.transform_values(fields, lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
 def result(params: dict[str, Column], metrics: dict[str, Column]) -> Column:
     """What a computation was asked, and what it measured."""
     pack = lambda x: F.struct(*[v.alias(k) for k, v in x.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import strip
+from quillmill.functions.text import interleave, strip
 
 #: Fixed value: the row between a table's head and its body.
 SEPARATOR = r"^\s*\|[\s:|-]+\|\s*$"
@@ -52,19 +52,14 @@ def diagrams(text: Column) -> Column:
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)```mermaid\n(.*?)```"), F.lit(0))
     between = F.split(text, r"(?s)```mermaid\n.*?```", -1)
     fixed = F.transform(blocks, lambda b: F.replace(b, F.lit("\\n"), F.lit("<br>")))
-    return _interleave(between, fixed)
-
-
-def _interleave(between: Column, shielded: Column) -> Column:
-    zipped = F.transform(F.sequence(F.lit(0), F.size(between) - 1), lambda i: F.concat(F.get(between, i), F.coalesce(F.get(shielded, i), F.lit(""))))
-    return F.array_join(zipped, "")
+    return interleave(between, fixed)
 
 
 def escape_citations(text: Column) -> Column:
     """Brackets of citations are escaped, but not in what is shielded."""
     shielded = F.regexp_extract_all(text, F.lit(SHIELDED), F.lit(0))
     between = F.transform(F.split(text, SHIELDED, -1), lambda x: F.regexp_replace(x, r"\[(\d+(?:\s*,\s*\d+)*)\]", r"\\[$1\\]"))
-    return _interleave(between, shielded)
+    return interleave(between, shielded)
 
 
 def _runs(text: Column, kind) -> Column:

@@ -229,3 +229,15 @@ def q65_learnings(spark, d):
 
     rows = frame(spark, "j string", _LEARNED).where(composition.valid_json(F.col("j"))).select(F.from_json("j", "titulo string, seccion_objetivo int, evidencia array<string>").alias("x"))
     return rows.select("x.titulo", F.col("x.seccion_objetivo").alias("seccion"), verdict(F.col("x.seccion_objetivo"), [1, 3, 7]).alias("status"))
+
+
+@query("""WITH u AS (SELECT event_id, props AS a, CASE WHEN c_custkey IS NULL THEN '{}' WHEN event_id % 3 = 0 THEN '{"k":"' || c_mktsegment || '","' || lower(c_mktsegment) || '":' || c_nationkey || '}' ELSE '{"' || lower(c_mktsegment) || '":{"n":' || c_nationkey || ',"x":null}}' END AS b FROM events LEFT JOIN customer ON c_custkey = user_id)
+SELECT event_id, '{' || array_to_string(list_transform(list_sort(list_distinct(json_keys(a) || json_keys(b))), lambda k: '"' || k || '":' || coalesce(json_extract(b, '$."' || k || '"')::VARCHAR, json_extract(a, '$."' || k || '"')::VARCHAR)), ',') || '}' AS props FROM u""")
+def q72b_merged_json(spark, d):
+    """Events' properties with fields of their customers, under names that are data."""
+    e, c = table(spark, d, "events", "event_id", "user_id", "props"), table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
+    name, n = F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")
+    both = F.concat(F.lit('{"k":"'), "c_mktsegment", F.lit('","'), name, F.lit('":'), n, F.lit("}"))
+    one = F.concat(F.lit('{"'), name, F.lit('":{"n":'), n, F.lit(',"x":null}}'))
+    more = F.when(F.col("c_custkey").isNull(), "{}").when(F.col("event_id") % 3 == 0, both).otherwise(one)
+    return e.join(c, F.col("user_id") == F.col("c_custkey"), "left").select("event_id", composition.merged_json(F.col("props"), more).alias("props"))

@@ -366,3 +366,32 @@ def test_single_runs_over_batches(spark):
             want.add((k, i))
             until[k] = ts + dt.timedelta(seconds=60)
     assert got == want
+
+
+def test_inner_text_of_entities_comments_and_sections(spark):
+    cases = {
+        "a &#233;&#xE9; &#128512;": "a éé 😀", "&amp;lt; &amp;#65; &lt;b&gt;": "&lt; &#65; <b>", "x<!-- a > b <i> -->y": "xy", "1 <![CDATA[<i>&amp;</i>]]> <b>2</b>": "1 <i>&amp;</i> 2",
+        "&#0; &#55296; &#99999999; &bad; &": "&#0; &#55296; &#99999999; &bad; &", "<i>p</i><![CDATA[]]>q": "pq", "": "", "no": "no", "&quot;&apos;": "\"'",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["x"] for r in df.select("t", text.inner_text(F.col("t")).alias("x")).collect()}
+    assert got == cases
+
+
+def test_merged_json(spark):
+    import json
+
+    from quillmill.operators import composition
+
+    pairs = [
+        ('{"k": 1, "b": {"x": [1, null, "é"]}, "a": 1.50}', '{"a": null, "z": "s\\"q", "k": {"q": 2}}'), ("{}", '{"n": 123456789012, "e": true}'), ('{"a": null}', "{}"), ('{"a": 1}', '{"é\\"": 2}'), ("{}", "{}"), ('{"a": null, "b": 2}', '{"b": null}'),
+        ("[1]", "{}"), ("{}", "1"), (None, "{}"), ('{"a":1,"a":2}', "{}"), ('{"a":', "{}"),
+    ]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    got = {r["k"]: r["x"] for r in df.select("k", composition.merged_json(F.col("a"), F.col("b")).alias("x")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        if k > 5:
+            assert got[k] is None, k
+        else:
+            want = {**json.loads(a), **json.loads(b)}
+            assert json.loads(got[k]) == want and list(json.loads(got[k])) == sorted(want), k
