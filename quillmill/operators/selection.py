@@ -59,7 +59,7 @@ def ranked(rows: DataFrame, group: list[str], coarse: list[Column], order: list[
     before = F.sum("__n").over(Window.partitionBy(*group).orderBy(*cols)) - F.col("__n")
     counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*group, *cols])], before.alias("__before"))
     within = F.row_number().over(Window.partitionBy(*group, *cols).orderBy(*order))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*group, *cols])])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*group, *cols])], F.lit(True))
     out = rows.withColumn("__within", within).join(counts, same)
     return out.withColumn(place, (F.col("__before") + F.col("__within")).cast("long")).drop("__before", "__within", *cols, *[f"__k{i}" for i in range(len(group) + len(cols))])
 

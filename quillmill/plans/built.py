@@ -290,23 +290,43 @@ def q41_front_matter(spark, d):
 _ARTICLE = f"PubmedArticle struct<{files.ARTICLE.replace('MedlineCitation struct', 'MedlineCitation:struct', 1).replace('PubmedData struct', 'PubmedData:struct', 1)}>"
 
 
-@query("""SELECT doc_id::VARCHAR AS pmid, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'PMC' || doc_id END AS pmcid, source || ' ' || doc_id AS titulo, 'J ' || lang AS revista, (1950 + doc_id % 70)::VARCHAR AS anio,
-  array_to_string(list_transform(range(1, doc_id % 3 + 1), lambda i: 'Paz' || i || ' A') || ['Grupo'], ';') AS autores, 'AIM: ' || n_chars || ' END: y' AS abstract, array_to_string(list_transform(range(1, least(doc_id % 15, 12) + 1), lambda i: 'M' || i), ';') AS mesh FROM documents""")
-def q42_xml_records(spark, d):
+_RECORDS_SQL = """SELECT doc_id::VARCHAR AS pmid, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'PMC' || doc_id END AS pmcid, source || ' ' || doc_id AS titulo, 'J ' || lang AS revista, (1950 + doc_id % 70)::VARCHAR AS anio,
+  array_to_string(list_transform(range(1, doc_id % 3 + 1), lambda i: 'Paz' || i || ' A') || ['Grupo'], ';') AS autores, 'AIM: ' || n_chars || ' END: y' AS abstract, array_to_string(list_transform(range(1, least(doc_id % 15, 12) + 1), lambda i: 'M' || i), ';') AS mesh FROM documents"""
+
+
+def _article():
     k = _id("doc_id")
     many = lambda n, part: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(2), F.lit(20)), part), "")
     authors = many(k % 3, lambda i: _cat("<Author><LastName>Paz", i, "</LastName><Initials>A</Initials></Author>"))
     mesh = many(k % 15, lambda i: _cat("<MeshHeading><DescriptorName>M", i, "</DescriptorName></MeshHeading>"))
     year = F.when(k % 4 == 0, _cat("<MedlineDate>", k % 70 + 1950, " Dec-1999 Jan</MedlineDate>")).otherwise(_cat("<Year>", k % 70 + 1950, "</Year>"))
     pmc = F.when(k % 2 == 0, "").otherwise(_cat('<ArticleId IdType="pmc">PMC', k, "</ArticleId>"))
-    x = _cat(
+    return _cat(
         "<Set><PubmedArticle><MedlineCitation><PMID>", k, "</PMID><Article><Journal><ISOAbbreviation>J ", F.col("lang"), "</ISOAbbreviation><JournalIssue><PubDate>", year, "</PubDate></JournalIssue></Journal><ArticleTitle>", F.col("source"), " ", k,
         '</ArticleTitle><Abstract><AbstractText Label="AIM">', F.col("n_chars"), '</AbstractText><AbstractText Label="END">y</AbstractText></Abstract><AuthorList>', authors, "<Author><CollectiveName>Grupo</CollectiveName></Author><Author><Initials>Z</Initials></Author></AuthorList></Article><MeshHeadingList>", mesh,
         '</MeshHeadingList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/', k, "</ArticleId>", pmc, "</ArticleIdList></PubmedData></PubmedArticle></Set>")
-    rows = table(spark, d, "documents", "doc_id", "lang", "source", "n_chars").select(F.from_xml(x, _ARTICLE)["PubmedArticle"].alias("a")).select("a.*")
+
+
+@query(_RECORDS_SQL)
+def q42_xml_records(spark, d):
+    rows = table(spark, d, "documents", "doc_id", "lang", "source", "n_chars").select(F.from_xml(_article(), _ARTICLE)["PubmedArticle"].alias("a")).select("a.*")
     return files.flat(rows).select("pmid", "doi", "pmcid", "titulo", "revista", "anio", F.array_join("autores", ";").alias("autores"), "abstract", F.array_join("mesh", ";").alias("mesh"))
 
 
+@query(f"""WITH r AS ({_RECORDS_SQL}), asked AS (SELECT doc_id::VARCHAR AS pmid, doc_id % 7 = 0 AS bad FROM labels UNION ALL SELECT 'b' || item_id, false FROM benchmark)
+SELECT a.pmid, CASE WHEN r.pmid IS NULL THEN 'missing' WHEN bad THEN 'broken' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN doi END AS doi, CASE WHEN NOT bad THEN titulo END AS titulo, CASE WHEN NOT bad THEN autores END AS autores FROM asked a LEFT JOIN r ON r.pmid = a.pmid""")
+def q42b_fetched_records(spark, d):
+    """Records landed in files of 150, some of them broken, and fetched by ids of which
+    some were never landed."""
+    path = outputs.new_folder(spark)
+    inner = F.regexp_replace(_article(), "</?Set>", "")
+    broken = F.when(_id("doc_id") % 7 == 0, F.regexp_replace(inner, "</ArticleTitle>", "</Title>")).otherwise(inner)
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "n_chars").select("doc_id", broken.alias("x"))
+    outputs.land_xml(docs, "doc_id", "x", path, [F.floor(F.col("id") / 10_000)])
+    ids = table(spark, d, "labels", "doc_id").select(F.col("doc_id").cast("string").alias("pmid")).unionByName(table(spark, d, "benchmark", "item_id").select(_cat("b", _id("item_id")).alias("pmid")))
+    return files.fetch(spark, path, ids, "pmid").select("pmid", "status", "doi", "titulo", F.array_join("autores", ";").alias("autores"))
+
+
 @query("""SELECT 'switch.' || c_custkey AS entity, 'switch.' || c_custkey || ' (' || CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'switch.' || c_custkey END || ') = ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '\n  attrs: {"w":"' || c_nationkey || '"}' END AS line FROM customer""")
 def q52_state_lines(spark, d):
     k = _id("c_custkey")

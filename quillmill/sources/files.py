@@ -68,6 +68,29 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return flat(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path))
 
 
+#: Batches that are a filter rather than a join.
+PRUNED = 1000
+
+
+def fetch(spark: SparkSession, folder: str, ids: DataFrame, key: str) -> DataFrame:
+    """`key`, status and the record's columns of each id asked for, out of what
+    outputs.land_xml() has landed: ok, missing (never landed), or broken (landed, but its
+    XML can't be read). Batch numbers come from the index: up to PRUNED of them are a
+    filter on folders, so that no other file is read; more are joined."""
+    index = spark.read.schema("id string, batch long").parquet(f"{folder}/index")
+    asked = ids.select(F.col(key).cast("string").alias("id")).distinct().join(index, "id", "left")
+    batches = asked.select("batch").where("batch IS NOT NULL").distinct()
+    texts = spark.read.schema("value string, batch long").option("wholetext", "true").text(f"{folder}/records")
+    few = [r["batch"] for r in batches.limit(PRUNED + 1).collect()]
+    texts = texts.where(F.col("batch").isin(few)) if len(few) <= PRUNED else texts.join(batches, "batch", "left_semi")
+    # record by record, for the XML source gives up a file at its first broken one
+    each = texts.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"), F.lit(0))).alias("x"))
+    found = flat(each.select(F.from_xml("x", ARTICLE).alias("a")).select("a.*")).where("pmid <> ''").dropDuplicates(["pmid"])
+    out = asked.join(found, asked["id"] == found["pmid"], "left")
+    status = F.when(F.col("pmid").isNotNull(), "ok").when(F.col("batch").isNull(), "missing").otherwise("broken")
+    return out.select(F.col("id").alias(key), status.alias("status"), *[c for c in found.columns if c != key])
+
+
 def flat(rows: DataFrame) -> DataFrame:
     """Nested articles to records: the first year there is, authors with a name, labelled
     abstract, the last identifier of each kind, twelve headings."""

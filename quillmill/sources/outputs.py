@@ -95,6 +95,18 @@ def overwrite_json(rows: DataFrame, path: str) -> None:
     files.delete(old, True)
 
 
+def land_xml(records: DataFrame, key: str, xml: str, folder: str, coarse: list[Column] | None = None, size: int = 150) -> None:
+    """Lands XML records in files of `size`, in the order of their keys, and an index of
+    which file has which key. coarse: the beginning of that order, of the column `id`."""
+    from quillmill.operators.selection import ranked
+
+    rows = ranked(records.select(F.col(key).alias("id"), F.col(xml).alias("xml")), [], coarse or [], [F.col("id")], "n")
+    rows = rows.select(F.col("id").cast("string").alias("id"), F.floor((F.col("n") - 1) / size).alias("batch"), "xml")
+    rows.select("id", "batch").write.parquet(f"{folder}/index")
+    whole = rows.groupBy("batch").agg(F.array_join(F.collect_list("xml"), "\n").alias("xml"))  # of `size` records
+    whole.select("batch", F.concat(F.lit("<Set>\n"), "xml", F.lit("\n</Set>")).alias("value")).write.partitionBy("batch").text(f"{folder}/records")
+
+
 def with_spec(rows: DataFrame, spec: list[str], path: str) -> None:
     """Writes rows as JSON, and what they were made from (the columns `spec`) beside them,
     as <path>.spec, for trace."""

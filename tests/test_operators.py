@@ -395,3 +395,18 @@ def test_merged_json(spark):
         else:
             want = {**json.loads(a), **json.loads(b)}
             assert json.loads(got[k]) == want and list(json.loads(got[k])) == sorted(want), k
+
+
+def test_fetch_reads_the_files_that_are_asked_for(spark, tmp_path, monkeypatch):
+    one_ = lambda k, bad="": f"<PubmedArticle><MedlineCitation><PMID>{k}</PMID><Article><ArticleTitle>T{k}</ArticleTitle{bad}></Article></MedlineCitation></PubmedArticle>"
+    rows = spark.createDataFrame([(k, one_(k, "x" if k == 4 else "")) for k in range(20)], "id int, x string")
+    path = str(tmp_path / "x")
+    outputs.land_xml(rows, "id", "x", path, size=3)
+    ids = spark.createDataFrame([("3",), ("4",), ("5",), ("19",), ("77",), ("3",)], "pmid string")
+    out = files.fetch(spark, path, ids, "pmid")
+    got = {r["pmid"]: (r["status"], r["titulo"]) for r in out.collect()}
+    assert got == {"3": ("ok", "T3"), "4": ("broken", None), "5": ("ok", "T5"), "19": ("ok", "T19"), "77": ("missing", None)}
+    assert "PartitionFilters: [batch" in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(files, "PRUNED", 1)
+    assert {r["pmid"]: (r["status"], r["titulo"]) for r in files.fetch(spark, path, ids, "pmid").collect()} == got
+    assert files.fetch(spark, path, ids.limit(0), "pmid").collect() == []
