@@ -220,3 +220,23 @@ def q84_result_struct(spark, d):
     n = table(spark, d, "events", "event_type", "value").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("above"))
     got = composition.result({"least": F.lit(100), "kind": F.col("event_type")}, {"n": F.col("n"), "above": F.col("above")})
     return n.select("event_type", F.to_json(got).alias("result"))
+
+
+@query(r"SELECT item_id, md5(regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10)) AS text_md5, strlen(regexp_replace(text, '\r\n?', chr(10), 'g')) + 1 AS n_bytes FROM benchmark")
+def q85_whole_text_files(spark, d):
+    """A text file an item, read whole."""
+    path = outputs.new_folder(spark)
+    table(spark, d, "benchmark", "item_id", "text").withColumn("k", F.col("item_id")).select("k", "text").write.partitionBy("k").text(path)
+    read = files.studies(spark, path, "*.txt").where("error IS NULL")
+    return read.select(F.regexp_extract("path", "k=([0-9]+)/", 1).cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_size, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS t FROM part)
+SELECT p_brand AS brand, c::INT AS channel, t::INT AS t, CASE c WHEN 0 THEN p_size ELSE p_retailprice END::DOUBLE AS v FROM p, (VALUES (0), (1)) x(c)""")
+def q86_csv_matrices(spark, d):
+    """A CSV matrix a brand, read as channels and samples."""
+    path = outputs.new_folder(spark)
+    rows = table(spark, d, "part", "p_brand", "p_partkey", "p_size", "p_retailprice").withColumn("k", F.col("p_brand"))
+    rows.repartition("k").sortWithinPartitions("k", "p_partkey").select("k", "p_size", "p_retailprice").write.partitionBy("k").csv(path)
+    brand = F.url_decode(F.url_decode(F.regexp_extract("path", "k=([^/]+)/", 1)))
+    return files.matrices(spark, path).select(brand.alias("brand"), "channel", "t", "v")

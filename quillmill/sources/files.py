@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.workers import importable
+
 RECORD = (
     "pmid string, doi string, pmcid string, titulo string, revista string, anio string, autores array<string>, tipos array<string>, "
     "mesh array<string>, abstract string, url_pubmed string, estrato string, acceso string, url_pdf string, url_texto string, licencia string, ruta_pdf string"
@@ -138,6 +140,10 @@ def pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", pdf_verdict(F.col("length"), F.col("content")).alias("verdict"))
 
 
+#: Fixed value: why a file of this kind isn't read.
+UNREAD = "ERROR: .sd es binario propietario (Cadwell). Conecta aquí el parser OLE/binario para extraer NCV/EMG antes de de-identificar."
+
+
 def study(spark: SparkSession, path: str) -> DataFrame:
     """One row, text and error: a file's whole text, bad bytes replaced and line ends made
     the same; or no text, and why the file isn't read."""
@@ -146,13 +152,44 @@ def study(spark: SparkSession, path: str) -> DataFrame:
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         error = f"ERROR: no existe {path}"
     elif PurePosixPath(path).suffix.lower() == ".sd":
-        error = "ERROR: .sd es binario propietario (Cadwell). Conecta aquí el parser OLE/binario para extraer NCV/EMG antes de de-identificar."
+        error = UNREAD
     if error:
         return spark.createDataFrame([(None, error)], "text string, error string")
     whole = F.make_valid_utf8(F.col("content").cast("string"))
     return spark.read.format("binaryFile").load(path).select(F.regexp_replace(whole, "\r\n?", "\n").alias("text"), F.lit(None).cast("string").alias("error"))
 
 
+def studies(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, text and error of all files under a folder, as study() gives them for one: a
+    row a file, whose contents are read only where its suffix is read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    closed = F.lower("path").endswith(".sd")
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    return rows.select("path", F.when(~closed, whole).alias("text"), F.when(closed, UNREAD).alias("error"))
+
+
+def matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """path, channel, t and v of the CSV matrices and NPY files under a folder: files are
+    dealt over the tasks, and each is read whole by one."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,npy}").option("recursiveFileLookup", "true").load(folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"]):
+                for c, v in enumerate(_channels(raw, path.endswith(".npy"))):
+                    yield pd.DataFrame({"path": path, "channel": np.int32(c), "t": np.arange(len(v), dtype=np.int32), "v": v.astype(float)})
+
+    importable(spark)
+    return rows.select("path", "content").mapInPandas(run, "path string, channel int, t int, v double")
+
+
+def _channels(raw: bytes, npy: bool) -> list[np.ndarray]:
+    a = np.load(io.BytesIO(raw)) if npy else np.loadtxt(io.BytesIO(raw), delimiter=",")
+    if a.ndim not in (1, 2):
+        raise ValueError(f"a matrix is needed, not {a.ndim} dimensions")
+    return list(a.T) if a.ndim == 2 else [a]
+
+
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """(channel, t, v) of a CSV matrix or an NPY file: a row a sample, a column a channel; a
     single row or column is one channel. One task reads the file."""
@@ -161,12 +198,10 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for raw in b["content"]:
-                a = np.load(io.BytesIO(raw)) if npy else np.loadtxt(io.BytesIO(raw), delimiter=",")
-                if a.ndim not in (1, 2):
-                    raise ValueError(f"a matrix is needed, not {a.ndim} dimensions")
-                for c, v in enumerate(a.T if a.ndim == 2 else [a]):
+                for c, v in enumerate(_channels(raw, npy)):
                     yield pd.DataFrame({"channel": np.int32(c), "t": np.arange(len(v), dtype=np.int32), "v": v.astype(float)})
 
+    importable(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "channel int, t int, v double")
 
 

@@ -410,3 +410,18 @@ def test_fetch_reads_the_files_that_are_asked_for(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "PRUNED", 1)
     assert {r["pmid"]: (r["status"], r["titulo"]) for r in files.fetch(spark, path, ids, "pmid").collect()} == got
     assert files.fetch(spark, path, ids.limit(0), "pmid").collect() == []
+
+
+def test_studies_and_matrices_of_a_folder(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "a.txt").write_bytes(b"x\r\ny\rz\xff")
+    (tmp_path / "b.SD").write_bytes(b"secret")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.txt").write_bytes(b"c")
+    got = {r["path"].rpartition("/")[2]: (r["text"], r["error"]) for r in files.studies(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("x\ny\nz\ufffd", None), "b.SD": (None, files.UNREAD), "c.txt": ("c", None)}
+    np.save(tmp_path / "m.npy", np.arange(6.0).reshape(3, 2))
+    np.savetxt(tmp_path / "sub" / "n.csv", np.arange(4.0), delimiter=",")
+    got = sorted((r["path"].rpartition("/")[2], r["channel"], r["t"], r["v"]) for r in files.matrices(spark, str(tmp_path)).collect())
+    assert got == [("m.npy", c, t, 2.0 * t + c) for c in range(2) for t in range(3)] + [("n.csv", 0, t, float(t)) for t in range(4)]
