@@ -10,7 +10,9 @@ Features are shares of kinds of bytes, lengths of words, repetition of words and
 never ids, languages, sources or labels. Fitting: at most `sample` labelled documents
 (a parameter), those with the smallest hashes of their ids, each with all its lines, which
 carry the label of the document. Only features, not texts, come to the driver: a row a
-line. Scoring reads whole texts, too.
+line. Scoring reads whole texts, too. Sums over a text of n lines are made block by block,
+in a number of numpy steps that grows with log n, so that one very long text doesn't hold
+up the others.
 
 Defined results: a null text is an empty one, and an empty text is one empty line. Rows
 of the same id are scored alone. Of several labels of a document the smallest counts;
@@ -83,31 +85,61 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.hstack([x, before, after, edge, np.ones((len(x), 1), np.float32)])
 
 
+#: Lines that are walked one after another; longer texts are cut into blocks of so many.
+BLOCK = 64
+
+
+def _walk(maps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-weights of the two labels before each item: `first` before the first one of a
+    stretch, then on by its 2 x 2 maps. Stretches advance side by side, the longest first."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, out = starts[order], sizes[order], np.empty((len(maps), 2))
+    out[starts] = first[order]
+    for t in range(1, int(sizes[0])):
+        at = starts[: np.searchsorted(-sizes, -t, side="left")] + t - 1
+        v, m = out[at], maps[at]
+        out[at + 1] = np.logaddexp(v[:, :1] + m[:, 0], v[:, 1:] + m[:, 1])
+    return out
+
+
+def _before(maps: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """As _walk() over whole texts. Where one is longer than a block, the maps of blocks are
+    multiplied out, all blocks at once, and what lies before each block is found in the same
+    way over blocks: for n lines some 2 * BLOCK * log(n) / log(BLOCK) steps are made."""
+    starts = np.cumsum(counts) - counts
+    if counts.max() <= BLOCK:
+        return _walk(maps, starts, counts, first)
+    blocks = -(-counts // BLOCK)
+    nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = np.repeat(starts, blocks) + nth * BLOCK
+    sizes = np.minimum(BLOCK, np.repeat(counts, blocks) - nth * BLOCK)
+    whole = maps[own].copy()
+    for t in range(1, BLOCK):
+        some = np.flatnonzero(sizes > t)
+        x, m = whole[some], maps[own[some] + t]
+        whole[some] = np.logaddexp(x[:, :, :1] + m[:, None, 0], x[:, :, 1:] + m[:, None, 1])
+    return _walk(maps, own, sizes, _before(whole, blocks, first))
+
+
 def forward_backward(good: np.ndarray, counts: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """good: each line's log-odds of label 1 before its neighbours count; move: 2 x 2
     log weights. Gives each line's probability of label 1, and the sums of the expected
-    transitions. Texts advance side by side, the longest first."""
-    order = np.argsort(-counts, kind="stable")
-    starts, n = (np.cumsum(counts) - counts)[order], counts[order]
-    steps = int(n[0]) if len(n) else 0
-    fore, back, pairs = np.zeros((len(good), 2)), np.zeros((len(good), 2)), np.zeros((2, 2))
-    score = np.stack([np.zeros(len(good)), good], 1)
-    alive = np.searchsorted(-n, -np.arange(steps), side="left")  # texts with more than t lines
-    for t in range(steps):
-        at = starts[: alive[t]] + t
-        fore[at] = score[at]
-        if t:
-            prior = fore[at - 1]
-            fore[at] += np.logaddexp(prior[:, :1] + move[0], prior[:, 1:] + move[1])
-    for t in range(steps - 2, -1, -1):
-        at = starts[: alive[t + 1]] + t
-        ahead = back[at + 1] + score[at + 1]
-        back[at] = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
+    transitions."""
+    if not len(good):
+        return np.zeros(0), np.zeros((2, 2))
+    score, first = np.stack([np.zeros(len(good)), good], 1), np.cumsum(counts) - counts
+    maps = move + score[:, None, :]
+    maps[first] = score[first][:, None, :]  # nothing moves to a first line
+    start = np.tile([0.0, -np.inf], (len(counts), 1))
+    v = _before(maps, counts, start)
+    fore = np.logaddexp(v[:, :1] + maps[:, 0], v[:, 1:] + maps[:, 1])
+    turned = _before(maps[::-1].transpose(0, 2, 1), counts[::-1], np.zeros((len(counts), 2)))
+    back = turned[::-1]
     both = fore + back
     total = np.logaddexp(both[:, 0], both[:, 1])
     inner = np.ones(len(good), bool)
-    inner[np.cumsum(counts) - counts] = False
-    at = np.flatnonzero(inner)
+    inner[first] = False
+    pairs, at = np.zeros((2, 2)), np.flatnonzero(inner)
     if len(at):
         joint = fore[at - 1][:, :, None] + move + (score[at] + back[at])[:, None, :]
         pairs = np.exp(joint - total[at][:, None, None]).sum(0)

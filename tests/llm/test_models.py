@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 import pyarrow as pa
 from hypothesis import given, settings
@@ -275,6 +276,58 @@ def test_marginals_are_sums_over_labellings():
     assert np.allclose(pairs, moved)
 
 
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_marginals_by_blocks(monkeypatch, block):
+    """As line by line, for texts of all lengths around powers of a block."""
+    r, counts = np.random.default_rng(1), np.array([1, 2, 3, 4, 9, 10, 27, 63, 64, 65, 300, 1, 81])
+    good, move = r.normal(size=counts.sum()) * 3, r.normal(size=(2, 2))
+    monkeypatch.setattr(quality, "BLOCK", block)
+    p, pairs = quality.forward_backward(good, counts, move)
+    at, moved = 0, np.zeros((2, 2))
+    for n in counts:
+        score = np.stack([np.zeros(n), good[at : at + n]], 1)
+        fore, back = [score[0]], [np.zeros(2)]
+        for t in range(1, n):
+            fore.append(score[t] + np.logaddexp(fore[-1][0] + move[0], fore[-1][1] + move[1]))
+        for t in range(n - 1, 0, -1):
+            back.append(np.logaddexp(*(move + score[t] + back[-1]).T))
+        f, b = np.array(fore), np.array(back[::-1])
+        total = np.logaddexp(*(f[-1]))
+        assert np.allclose(p[at : at + n], np.exp(f[:, 1] + b[:, 1] - total))
+        for t in range(1, n):
+            moved += np.exp(f[t - 1][:, None] + move + score[t] + b[t] - total)
+        at += n
+    assert np.allclose(pairs, moved)
+
+
+def test_a_text_of_a_million_lines():
+    import time
+
+    r = np.random.default_rng(2)
+    counts = np.array([1_000_000, 3, 500])
+    began = time.time()
+    p, pairs = quality.forward_backward(r.normal(size=counts.sum()), counts, r.normal(size=(2, 2)))
+    assert time.time() - began < 30 and np.isfinite(p).all() and abs(pairs.sum() - (counts - 1).sum()) < 1e-3
+
+
+def test_neighbouring_lines_matter():
+    """Lines that say nothing by themselves, between lines that do: with the transitions and
+    the neighbours' features they are told apart, by their own features they can't be."""
+    r = np.random.default_rng(3)
+    counts = np.full(60, 9)
+    y = np.repeat(np.arange(60) % 2, 9).astype(float)
+    x = r.normal(size=(540, 3)) * 0.1
+    loud = np.arange(540) % 3 == 0
+    x[loud, 0] += np.where(y[loud] > 0, 2, -2)
+    labels, lengths = np.arange(60) % 2, np.ones(540, np.int64)
+    model = quality.fit_lines(x, lengths, counts, labels)
+    z = quality.with_neighbours((x - model["mean"]) / model["std"], counts)
+    theta = model["theta"]
+    p, _ = quality.forward_backward(z @ theta[:-4], counts, theta[-4:].reshape(2, 2))
+    alone = z[:, :3] @ theta[:3] + theta[-5]
+    assert ((p > 0.5) == y)[~loud].mean() > 0.95 > 0.75 > ((alone > 0) == y)[~loud].mean()
+
+
 def test_quality(spark, edge, empty):
     import os
 
