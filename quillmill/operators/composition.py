@@ -111,6 +111,17 @@ def bullets(slides: DataFrame, key: str, text: str) -> DataFrame:
     return slides.select(key, F.posexplode(F.split(text, "\n", -1)).alias("place", "bullet"))
 
 
+def shaped(fmt: Column, sections: Column) -> Column:
+    """Sections (heading, content) in the shape of a format: (slides, sections), of which
+    one is null. `pptx` has slides, with a bullet a line; all others (docx where there is
+    none) have sections with a body. A missing heading is empty."""
+    head = lambda s: F.coalesce(s["heading"], F.lit(""))
+    deck = F.coalesce(fmt, F.lit("docx")) == "pptx"
+    slides = F.transform(sections, lambda s: F.struct(head(s).alias("title"), F.split(s["content"], "\n", -1).alias("bullets")))
+    bodies = F.transform(sections, lambda s: F.struct(head(s).alias("heading"), s["content"].alias("body")))
+    return F.struct(F.when(deck, slides).alias("slides"), F.when(~deck, bodies).alias("sections"))
+
+
 def at_midnight(events: DataFrame, key: str, time: str, tie: str, state: str) -> DataFrame:
     """key, midnight and the state it then had: the last of each day of the key's."""
     day = F.to_date(time)

@@ -115,6 +115,20 @@ def q71_spec_beside(spark, d):
     return got.select("conv_id", "title", "format", F.size("sections").alias("n_sections"), chars.alias("n_chars"))
 
 
+@query("""WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'pptx' WHEN conv_id % 3 = 1 THEN 'docx' END AS format, list(CASE WHEN turn % 4 = 3 THEN NULL ELSE role END ORDER BY turn) AS heads, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN format = 'pptx' THEN 'slides' ELSE 'sections' END AS shape, array_to_string(list_transform(heads, lambda h: coalesce(h, '')), '|') AS titles,
+  md5(array_to_string(CASE WHEN format = 'pptx' THEN flatten(list_transform(texts, lambda t: string_split(t, chr(10)))) ELSE texts END, '|')) AS parts_md5,
+  len(CASE WHEN format = 'pptx' THEN flatten(list_transform(texts, lambda t: string_split(t, chr(10)))) ELSE texts END)::INT AS n_parts FROM c""")
+def q71b_shapes(spark, d):
+    """Sections as slides with bullets, or as bodies, by the format."""
+    section = F.struct("turn", F.when(F.col("turn") % 4 != 3, F.col("role")).alias("heading"), F.col("text").alias("content"))
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(section)).alias("x"))
+    fmt = F.when(F.col("conv_id") % 3 == 0, "pptx").when(F.col("conv_id") % 3 == 1, "docx")
+    rows = docs.select("conv_id", composition.shaped(fmt, F.col("x")).alias("s"))
+    parts = F.coalesce(F.flatten("s.slides.bullets"), F.col("s.sections.body"))
+    return rows.select("conv_id", F.when(F.col("s.slides").isNotNull(), "slides").otherwise("sections").alias("shape"), F.array_join(F.coalesce("s.slides.title", "s.sections.heading"), "|").alias("titles"), F.md5(F.array_join(parts, "|").cast("binary")).alias("parts_md5"), F.size(parts).alias("n_parts"))
+
+
 @query("SELECT conv_id, turn, role AS heading, upper(role) AS agent, md5(text) AS content_md5 FROM conversations")
 def q72_struct_merge(spark, d):
     """Sections with their text and agent put in; what they have stays."""
