@@ -81,7 +81,8 @@ def new_folder(spark: SparkSession) -> str:
 
 def overwrite_json(rows: DataFrame, path: str) -> None:
     """Puts `rows` in the place of the JSON at `path`, which they may be read from: they
-    are written beside it first, and then renamed."""
+    are written beside it first, and then renamed. Between the two renames there is nothing
+    at `path`; read_json() then takes what was there before."""
     spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where, beside, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
@@ -95,6 +96,14 @@ def overwrite_json(rows: DataFrame, path: str) -> None:
     files.delete(old, True)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What overwrite_json() has put at `path`, or, where it died between its renames, what
+    was there before."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).json(path if there else path + ".old")
+
+
 def land_xml(records: DataFrame, key: str, xml: str, folder: str, coarse: list[Column] | None = None, size: int = 150) -> None:
     """Lands XML records in files of `size`, in the order of their keys, and an index of
     which file has which key. coarse: the beginning of that order, of the column `id`."""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ def held(events: DataFrame, key: str, condition, seconds: int, late: str = "1 ho
             out.append((k[0], pd.Timestamp(start, unit="us"), pd.Timestamp(start, unit="us") + wait))
             start = -1  # fired: silent until the run ends
         else:
+            # a run is decided by its first row and the one that ends it, or the last there is
+            on = rows["on"].fillna(False).to_numpy(bool)
+            turns = np.flatnonzero(on != np.r_[start is not None, on[:-1]])
+            rows = rows.iloc[np.union1d(turns, len(on) - 1)]
             for ts, on in zip(rows["ts"], rows["on"]):
                 if start is not None and start >= 0 and ts - pd.Timestamp(start, unit="us") >= wait:
                     out.append((k[0], pd.Timestamp(start, unit="us"), pd.Timestamp(start, unit="us") + wait))

@@ -425,3 +425,13 @@ def test_studies_and_matrices_of_a_folder(spark, tmp_path):
     np.savetxt(tmp_path / "sub" / "n.csv", np.arange(4.0), delimiter=",")
     got = sorted((r["path"].rpartition("/")[2], r["channel"], r["t"], r["v"]) for r in files.matrices(spark, str(tmp_path)).collect())
     assert got == [("m.npy", c, t, 2.0 * t + c) for c in range(2) for t in range(3)] + [("n.csv", 0, t, float(t)) for t in range(4)]
+
+
+def test_json_that_is_being_replaced(spark, tmp_path):
+    path = str(tmp_path / "j")
+    df = lambda k: spark.createDataFrame([(k,)], "k int")
+    outputs.overwrite_json(df(1), path)
+    outputs.overwrite_json(df(2), path)
+    assert outputs.read_json(spark, path, "k int").first()["k"] == 2
+    (tmp_path / "j").rename(tmp_path / "j.old")  # died between the renames
+    assert outputs.read_json(spark, path, "k int").first()["k"] == 2

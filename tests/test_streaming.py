@@ -41,6 +41,16 @@ def test_held(spark, tmp_path):
     assert {(r["user"], r["start"], r["fired"]) for r in batch} == {("a", at(0), at(5))}
 
 
+def test_held_looks_at_turns_only(spark, tmp_path):
+    """Many rows between the turns of a run, over several batches."""
+    schema = "user string, ts timestamp, state string"
+    data = [[("a", at(k), "on") for k in range(5)] + [("b", at(k), "on" if k % 4 else "off") for k in range(5)], [("a", at(k), "on") for k in range(5, 9)] + [("a", at(9), None), ("b", at(5), "on"), ("b", at(20), "off")], [("z", at(500), "off")], [("z", at(600), "off")]]
+    path = rows(spark, tmp_path, data, schema, "in")
+    stream = events.held(events.read(spark, path, schema, 1), "user", F.col("state") == "on", 300, "1 minute")
+    got = {(r["key"], r["start"], r["fired"]) for r in run(spark, stream, "turns", tmp_path)}
+    assert got == {("a", at(0), at(5)), ("b", at(5), at(10))}
+
+
 def test_answers(spark, tmp_path):
     q = rows(spark, tmp_path, [[("u", 1, at(0)), ("v", 2, at(0))], [("w", 3, at(500))]], "k string, id int, ts timestamp", "q")
     a = rows(spark, tmp_path, [[("u", "keep", at(4)), ("v", "late", at(6))], [("w", "x", at(501))]], "k string, answer string, ts timestamp", "a")
