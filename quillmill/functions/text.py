@@ -70,10 +70,21 @@ def _character(entity: Column) -> Column:
     return out
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value being made once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decode_entities(text: Column) -> Column:
     """Predefined and numeric entities, each once: &amp;lt; becomes &lt;."""
-    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    return F.when(F.contains(text, F.lit("&")), interleave(F.split(text, _ENTITY, -1), F.transform(found, _character))).otherwise(text)
+
+    def decoded(x: Column) -> Column:
+        found, named = F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(0)), x
+        for name, char in ENTITIES.items():  # the ampersand comes last, so nothing is decoded twice
+            named = F.replace(named, F.lit(name), F.lit(char))
+        return F.when(F.contains(x, F.lit("&#")), interleave(F.split(x, _ENTITY, -1), F.transform(found, _character))).otherwise(named)
+
+    return _once(text, decoded)
 
 
 def inner_text(markup: Column) -> Column:
