@@ -1,14 +1,16 @@
 """Nearest neighbours by score-aware (anisotropic) quantisation.
 
-The smallest Euclidean distance is the largest inner product of augmented vectors: with
-x' = (x, -|x|^2 / 2s) and q' = (q, s), q'.x' = q.x - |x|^2 / 2 orders the x as their
-distances to q do. Vectors are dealt into cells around centroids, and the rest after the
-centroid is quantised: two dimensions at a time, four bits (16 code words) each. Codes
-and code words minimise h |r|^2 + (p - h) (r.u)^2 for the residual r and the direction u
-of x': an error along x' costs p / h times one across it, for it is the error that
-changes the products of those queries that x' ranks high for. Two codes are a byte of the
-index, and a search sums a table entry a byte, a block of vectors for a block of queries; the best `rerank` different vectors
-of each block are measured exactly.
+Vectors are dealt into cells around centroids. Within the cell of centroid c, with y = x - c,
+v = y / |y| and p = q - c, the squared distance is |p|^2 - 2 |y| p.v + |y|^2, so that only the
+direction v has to be quantised, whatever a vector's length, and the cell's place doesn't
+matter: two dimensions at a time, four bits (16 code words) each. Codes and code words
+minimise h |r|^2 + (p - h) (r.v)^2 for the error r of v: an error along v costs p / h times
+one across it, for it is the error that changes the products of those queries that are
+near. Two codes are a byte of the index, and a search sums a table entry a byte, a block of
+vectors for a block of queries. The best `rerank` different vectors of each block are
+measured exactly; a code's error |y| |r| then bounds how near any other vector can be, and
+those that may be nearer than the k-th are measured too. So no vector of a probed cell is
+lost, however unevenly the vectors lie.
 
 Fitting sees at most `sample` vectors (those with the smallest hashes of their ids);
 every vector is indexed. The number of cells grows with the square root of the rows up to
@@ -42,12 +44,10 @@ MOST_CELLS = 1024
 BITS = 4
 
 
-def augment(x: np.ndarray, scale: float) -> np.ndarray:
-    """Rows (x, -|x|^2 / 2 scale), with a zero where the length would be odd."""
-    out = np.zeros((len(x), (x.shape[1] + 2) // 2 * 2))
-    out[:, : x.shape[1]] = x
-    out[:, x.shape[1]] = -(x**2).sum(1) / (2 * scale)
-    return out
+def directions(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and rows of length one (or zero), with a zero where their number is odd."""
+    norm = np.linalg.norm(y, axis=1)
+    return norm, np.pad(y / np.where(norm > 0, norm, 1)[:, None], ((0, 0), (0, y.shape[1] % 2)))
 
 
 def nearest_cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -72,10 +72,9 @@ class Quantiser:
     def __init__(self, ratio: float = 4.0):
         self.ratio, self.words = ratio, np.zeros((0, 16, 2))
 
-    def encode(self, rest: np.ndarray, whole: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        n, m = len(rest), rest.shape[1] // 2
-        r, norm = rest.reshape(n, m, 2), np.linalg.norm(whole, axis=1, keepdims=True)
-        u = (whole / np.where(norm > 0, norm, 1)).reshape(n, m, 2)
+    def encode(self, v: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        n, m = len(v), v.shape[1] // 2
+        r = u = v.reshape(n, m, 2)
         codes = np.stack([((r[:, j, None] - self.words[j]) ** 2).sum(2).argmin(1) for j in range(m)], 1).astype(np.uint8)
         along = ((r - self.words[np.arange(m), codes]) * u).sum(2)
         total = along.sum(1)
@@ -90,14 +89,12 @@ class Quantiser:
                 along[:, j] = now
         return codes
 
-    def fit(self, rest: np.ndarray, whole: np.ndarray, rounds: int, rng: np.random.Generator) -> Quantiser:
-        n, m = len(rest), rest.shape[1] // 2
-        r = rest.reshape(n, m, 2)
+    def fit(self, v: np.ndarray, rounds: int, rng: np.random.Generator) -> Quantiser:
+        n, m = len(v), v.shape[1] // 2
+        r = u = v.reshape(n, m, 2)
         self.words = np.stack([_padded(k_means(r[:, j], min(16, n), 6, rng)) for j in range(m)])
-        norm = np.linalg.norm(whole, axis=1, keepdims=True)
-        u = (whole / np.where(norm > 0, norm, 1)).reshape(n, m, 2)
         for _ in range(rounds):
-            codes = self.encode(rest, whole, 1)
+            codes = self.encode(v, 1)
             for j in range(m):
                 along = ((r - self.words[np.arange(m), codes]) * u).sum(2)
                 others = along.sum(1) - along[:, j]
@@ -111,6 +108,9 @@ class Quantiser:
                 self.words[j][some] = np.linalg.solve(left[some], right[some][..., None])[..., 0]
         return self
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.words[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
+
 
 def packed_codes(codes: np.ndarray) -> np.ndarray:
     """Two codes of four bits a byte; an odd last one has a zero beside it."""
@@ -118,6 +118,10 @@ def packed_codes(codes: np.ndarray) -> np.ndarray:
     return wide[:, 0::2] | wide[:, 1::2] << 4
 
 
+def unpacked_codes(packed: np.ndarray, parts: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :parts]
+
+
 def byte_tables(tables: np.ndarray) -> np.ndarray:
     """Tables (part, query, 16) of two parts each as tables (pair, query, 256) by byte."""
     wide = np.pad(tables, ((0, len(tables) % 2), (0, 0), (0, 0)))
@@ -164,20 +168,19 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
     x, rng = np.unique(_matrix(seen["v"], dim), axis=0), np.random.default_rng(5)
     cells = min(MOST_CELLS, max(1, math.isqrt(n) // 2), len(x))
     centres = k_means(x, cells, 8, rng)
-    scale = float(np.sqrt((x**2).sum(1).mean()))
     own = nearest_cells(x, centres).argmin(1)
-    whole, middle = augment(x, scale), augment(centres, scale)
-    quantiser = Quantiser().fit(whole - middle[own], whole, 3, rng)
-    probes = _probes(x, centres, own, k, probe_share)
-    model = spark.sparkContext.broadcast((centres, middle, scale, quantiser))  # at most MOST_CELLS centres
+    quantiser = Quantiser().fit(directions(x - centres[own])[1], 3, rng)
+    asking = packed.where(is_query(F.col("vec_id")))
+    some = _matrix(asking.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(500).toPandas()["v"], dim)
+    probes = max(_probes(y, x, centres, own, k, probe_share) for y in (x[:: max(1, len(x) // 500)], some))
+    model = spark.sparkContext.broadcast((centres, quantiser))  # at most MOST_CELLS centres
 
     def index(batches):
-        centres, middle, scale, quantiser = model.value
+        centres, quantiser = model.value
         for b in batches:
             x = _matrix(b.column(1).to_pylist(), dim)
             own = nearest_cells(x, centres).argmin(1)
-            whole = augment(x, scale)
-            codes = quantiser.encode(whole - middle[own], whole)
+            codes = quantiser.encode(directions(x - centres[own])[1])
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in packed_codes(codes)], pa.binary()), b.column(1), b.column(2)], names=["cell", "vec_id", "codes", "v", "row"])
 
     indexed = ws.write(packed.mapInArrow(index, "cell int, vec_id long, codes binary, v binary, row long"), "index")
@@ -197,7 +200,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
             of = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([c for _, c in rows], pa.int32()), b.column(0).take(of), b.column(1).take(of), b.column(2).take(of)], names=["cell", "query_id", "q", "asker"])
 
-    asked = ws.write(packed.where(is_query(F.col("vec_id"))).mapInArrow(ask, "cell int, query_id long, q binary, asker long"), "asked")
+    asked = ws.write(asking.mapInArrow(ask, "cell int, query_id long, q binary, asker long"), "asked")
     blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("vbs")).join(
         asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("qbs")), "cell")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -205,7 +208,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
     right = asked.join(blocks, "cell").select("cell", upto("vbs").alias("vb"), F.pmod(F.hash("asker"), "qbs").alias("qb"), "query_id", "q", "asker")
 
     def scan(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        _, middle, scale, quantiser = model.value
+        centres, quantiser = model.value
         if not len(vectors) or not len(queries):
             return pd.DataFrame({c: [] for c in ("query_id", "asker", "vec_id", "row", "score")}).astype({c: "int64" for c in ("query_id", "asker", "vec_id", "row")})
         vectors = vectors.sort_values(["vec_id", "row"])
@@ -213,28 +216,51 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
         copies = pd.Series(place).groupby(place).cumcount().to_numpy()
         ids, own_row, keep = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), copies <= k
         x = _matrix(firsts, dim)
-        codes = np.frombuffer(b"".join(vectors["codes"].to_numpy()[copies == 0]), np.uint8).reshape(len(x), -1)
-        members = pd.Series(np.flatnonzero(keep)).groupby(place[keep]).apply(np.array)
+        packed = np.frombuffer(b"".join(vectors["codes"].to_numpy()[copies == 0]), np.uint8).reshape(len(x), -1)
+        members = pd.Series(np.flatnonzero(keep)).groupby(place[keep]).apply(np.array).to_list()
+        centre = centres[vectors["cell"].iloc[0]]
+        y = x - centre
+        norm, v = directions(y)
+        coded = quantiser.decode(unpacked_codes(packed, len(quantiser.words)))
+        size, error = norm * np.linalg.norm(coded, axis=1), norm * np.linalg.norm(v - coded, axis=1)
+
+        def nearest(i: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The k nearest rows to a query of the block, of these vectors' rows."""
+            far = np.sqrt(((x[which] - q[i]) ** 2).sum(1))
+            own = [members[j] for j in which]
+            score, vec = np.repeat(far, [len(m) for m in own]), np.concatenate(own)
+            others = own_row[vec] != asker[i]
+            score, vec = score[others], vec[others]
+            top = np.lexsort((own_row[vec], ids[vec], score))[:k]
+            return score[top], vec[top]
+
         found = []
         for at in range(0, len(queries), 256):
             qid, asker = (queries[c].to_numpy()[at : at + 256] for c in ("query_id", "asker"))
             q = _matrix(queries["q"].iloc[at : at + 256], dim)
-            asked = np.zeros((len(q), middle.shape[1]))
-            asked[:, :dim], asked[:, dim] = q, scale
-            tables = np.einsum("qmd,mwd->mqw", asked.reshape(len(q), -1, 2), quantiser.words).astype(np.float32)
-            about = np.zeros((len(q), len(x)), np.float32)
+            p = q - centre
+            length = np.linalg.norm(p, axis=1)
+            parts = np.pad(p, ((0, 0), (0, dim % 2))).reshape(len(q), -1, 2)
+            tables = np.einsum("qmd,mwd->mqw", parts, quantiser.words)
+            about = np.zeros((len(q), len(x)))
             for m, table in enumerate(byte_tables(tables)):
-                about += table[:, codes[:, m]]
-            best = np.argpartition(-about, rerank, 1)[:, :rerank] if len(x) > rerank else np.tile(np.arange(len(x)), (len(q), 1))
-            for i in range(len(q)):
-                far = np.sqrt(((x[best[i]] - q[i]) ** 2).sum(1))
-                own = [members[j] for j in best[i]]
-                score, vec = np.repeat(far, [len(y) for y in own]), np.concatenate(own)
-                others = own_row[vec] != asker[i]
-                score, vec = score[others], vec[others]
-                top = np.lexsort((own_row[vec], ids[vec], score))[:k]
-                vec = vec[top]
-                found.append((np.full(len(top), qid[i]), np.full(len(top), asker[i]), ids[vec], own_row[vec], score[top]))
+                about += table[:, packed[:, m]]
+            about *= -2 * norm
+            about += size**2
+            about += length[:, None] ** 2
+            best = np.argpartition(about, rerank, 1)[:, :rerank] if len(x) > rerank else np.tile(np.arange(len(x)), (len(q), 1))
+            got = [nearest(i, best[i]) for i in range(len(q))]
+            if len(x) > rerank:
+                reach = np.array([s[-1] if len(s) == k else np.inf for s, _ in got])
+                round_off = 1e-9 * (length[:, None] ** 2 + norm**2)
+                # a vector lies within its code's error of where its code is
+                may = np.sqrt(np.maximum(about - round_off, 0)) - error <= reach[:, None]
+                some = np.flatnonzero(may.any(0))
+                far = length[:, None] ** 2 + norm[some] ** 2 - 2 * p @ y[some].T
+                may = may[:, some] & (far - round_off[:, some] <= reach[:, None] ** 2)
+                got = [nearest(i, np.union1d(best[i], some[may[i]])) for i in range(len(q))]
+            for i, (score, vec) in enumerate(got):
+                found.append((np.full(len(vec), qid[i]), np.full(len(vec), asker[i]), ids[vec], own_row[vec], score))
         cols = [np.concatenate(y) for y in zip(*found)]
         return pd.DataFrame(dict(zip(("query_id", "asker", "vec_id", "row", "score"), cols)))
 
@@ -243,12 +269,12 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = 20_000, rera
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _probes(x: np.ndarray, centres: np.ndarray, own: np.ndarray, k: int, share: float) -> int:
+def _probes(queries: np.ndarray, x: np.ndarray, centres: np.ndarray, own: np.ndarray, k: int, share: float) -> int:
     """Cells that hold this share of the k nearest sampled vectors of sampled queries."""
     if len(centres) == 1:
         return 1
-    need: list[int] = []
-    for q in x[:: max(1, len(x) // 500)]:
+    need: list[int] = [0]
+    for q in queries:
         far = ((x - q) ** 2).sum(1)
         near = np.argpartition(far, min(k + 1, len(x) - 1))[: k + 1]
         place = np.argsort(np.argsort(nearest_cells(q[None], centres)[0]))

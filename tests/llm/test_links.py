@@ -161,6 +161,19 @@ def test_search(spark):
     assert [i for _, i in got[1600]] == list(range(1500, 1510))
 
 
+def test_search_of_uneven_vectors(spark):
+    """Lengths over many magnitudes, and tight clusters far from each other."""
+    r = np.random.default_rng(2)
+    uneven = r.normal(size=(2000, 16)) * np.exp(3 * r.normal(size=(2000, 1)))
+    tight = (10 * r.normal(size=(4, 16)))[np.arange(2000) % 4] + 1e-3 * r.normal(size=(2000, 16))
+    for rows in (uneven, tight):
+        vectors = dict(enumerate(rows.tolist()))
+        df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+        got = {(x["query_id"], x["vec_id"]) for x in ann.search(df, lambda i: i % 100 == 0).collect()}
+        want = {(q, i) for q in range(0, 2000, 100) for _, i in nearest(vectors, q)}
+        assert len(got) == len(want) and len(got & want) / len(want) >= 0.95
+
+
 def test_search_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(df, lambda i: i % 100 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
