@@ -1,15 +1,21 @@
 """Automations as streams: runs that ask, wait and act, and states at each midnight.
 
-Both hold a key's rows in a list state until the watermark is beyond them, so that they are
+Both hold rows in a list state until the watermark is beyond them, so that they are
 taken in the order of their times however they arrive; event-time timers wake them. What has
 been decided is never changed: rows behind the watermark are dropped by Spark. State is kept
-in RocksDB (`STORE`), and a restart from the checkpoint goes on where the last one ended."""
+in RocksDB (`STORE`), and a restart from the checkpoint goes on where the last one ended.
+
+Keys are dealt into a fixed number of buckets, and a bucket is what Spark groups by: it has
+one timer, its waiting rows are Arrow batches and its keys' states one JSON object, so that
+calls to the state store are as many as buckets and batches, not as keys and timers."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,46 +27,81 @@ from quillmill.workers import importable
 #: The setting that state with lists and timers needs.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 DAY = 86_400_000_000
-ROW = "at long, tie string, kind string, value string"
+ROW = pa.schema([("key", pa.string()), ("at", pa.int64()), ("tie", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+#: Buckets of keys, fixed for a stream's life; and most rows of an Arrow batch in the state.
+BUCKETS, CHUNK = 2048, 10_000
+
+
+def _packed(batch: pa.RecordBatch) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ROW) as to:
+        to.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
 
 
 class _Ordered(StatefulProcessor):
-    """Gives rows to take() in order once the watermark is beyond them, then calls due()."""
+    """Gives a key's rows to take() in order once the watermark is beyond them, then calls
+    due(). States are lists that JSON holds."""
 
     out: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.rows = handle, handle.getListState("rows", ROW)
-        self.now = handle.getValueState("now", self.schema)
+        self.handle, self.rows = handle, handle.getListState("rows", "rows binary")
+        self.now = handle.getValueState("now", "states string")
+        self.done: dict = {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), str(t), str(k), None if pd.isna(v) else str(v)) for part in rows for a, t, k, v in zip(part["at"], part["tie"], part["kind"], part["value"]) if not pd.isna(a)]
-        if new:
-            self.rows.appendList(new)
-            self._wake(min(a for a, *_ in new))
-        yield pd.DataFrame([], columns=self.out)
+        first = []
+        for part in rows:
+            part = part[part["at"].notna()]
+            for batch in pa.Table.from_pandas(part[ROW.names], ROW, preserve_index=False).to_batches(CHUNK):
+                self.rows.appendValue(_packed(batch))
+                first.append(int(part["at"].min()))
+        if first:
+            self._wake(min(first))
+        return iter(())
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.rows.get(), key=lambda r: (r[0], r[2], len(r[1]), r[1]))
-        ready = [r for r in rows if r[0] <= upto]
-        state, out = (self.now.get() if self.now.exists() else None), []
-        for at, tie, kind, value in ready:
-            state = self.take(state, at, tie, kind, value, out)
-        state = self.due(state, upto, out)
-        if ready:
-            self.rows.put(rows[len(ready) :]) if len(rows) > len(ready) else self.rows.clear()
-        if state is None:
+        if self.done.get(key) == upto:  # another timer of this bucket has been here
+            return iter(())
+        self.done[key] = upto
+        held = pa.concat_tables([ROW.empty_table(), *[pa.ipc.open_stream(x[0]).read_all() for x in self.rows.get()]])
+        is_ready = held["at"].to_numpy() <= upto
+        ready, rest = held.filter(pa.array(is_ready)), held.filter(pa.array(~is_ready))
+        keys, ats, ties, kinds, values = (c.to_pylist() for c in ready.columns)
+        ties = [str(t) for t in ties]
+        order = sorted(range(len(keys)), key=lambda i: (ats[i], kinds[i], len(ties[i]), ties[i]))
+        states, found = (json.loads(self.now.get()[0]) if self.now.exists() else {}), []
+        of: dict[str, list[int]] = {k: [] for k in states}
+        for i in order:
+            of.setdefault(keys[i], []).append(i)
+        for k, mine in of.items():
+            state, out = states.pop(k, None), []
+            for i in mine:
+                state = self.take(state, ats[i], ties[i], kinds[i], values[i], out)
+            state = self.due(state, upto, out)
+            if state is not None:
+                states[k] = state
+            found += [(k, *r) for r in out]
+        if len(ready):
+            self.rows.put([_packed(b) for b in rest.combine_chunks().to_batches(CHUNK)]) if len(rest) else self.rows.clear()
+        if states:
+            self.now.update((json.dumps(states),))
+        elif of:
             self.now.clear()
-        else:
-            self.now.update(state)
-        wake = [r[0] for r in rows[len(ready) : len(ready) + 1]] + self.next(state)
+        wake = [x for state in states.values() for x in self.next(state)]
+        if len(rest):
+            wake.append(int(rest["at"].to_numpy().min()))
         if wake:
             self._wake(max(min(wake), upto))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.out)
+        return iter([self.frame(found)] if found else ())
+
+    def frame(self, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=self.out)
 
     def close(self) -> None:
         pass
@@ -71,7 +112,6 @@ class Waits(_Ordered):
     an answer must be later). A question that is open is (its time, its tie)."""
 
     out = ["key", "id", "status", "answer"]
-    schema = "open array<struct<at: long, tie: string>>"
 
     def __init__(self, micros: int, single: bool):
         self.micros, self.single = micros, single
@@ -102,30 +142,32 @@ class Midnights(_Ordered):
     and the rows that change it. now: the state and the next midnight."""
 
     out = ["key", "kind", "at", "id", "before", "state"]
-    schema = "state string, midnight long"
 
     def take(self, state, at, tie, kind, value, out):
         state = self.due(state, at, out)
         if state is not None and state[0] is not None and value is not None and state[0] != value:
-            out.append(("transition", pd.Timestamp(at, unit="us"), tie, state[0], value))
+            out.append(("transition", at, tie, state[0], value))
         return (value, at // DAY * DAY + DAY)
 
     def due(self, state, upto, out):
         while state is not None and state[1] <= upto:
-            out.append(("midnight", pd.Timestamp(state[1], unit="us"), None, None, state[0]))
+            out.append(("midnight", state[1], None, None, state[0]))
             state = (state[0], state[1] + DAY)
         return state
 
     def next(self, state):
         return [state[1]] if state else []
 
+    def frame(self, found):
+        return super().frame(found).assign(at=lambda x: pd.to_datetime(x["at"], unit="us"))
+
 
 def _rows(events: DataFrame, key: str, time: str, tie: str, kind: Column, value: Column, late: str) -> DataFrame:
     importable(events.sparkSession)
     rows = events.withWatermark(time, late)
     # a condition that doesn't name the time would be put ahead of the watermark, which must see all rows
     kept = (F.col(key).isNotNull() & kind.isNotNull()) | F.col(time).isNull()
-    return rows.where(kept).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col(tie).cast("string").alias("tie"), kind.alias("kind"), value.cast("string").alias("value"))
+    return rows.where(kept).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col(tie).cast("string").alias("tie"), kind.alias("kind"), value.cast("string").alias("value")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
 
 
 def waits(events: DataFrame, key: str, time: str, tie: str, asks: Column, answers: Column, value: Column, seconds: int, single: bool = False, late: str = "1 hour") -> DataFrame:
@@ -134,7 +176,7 @@ def waits(events: DataFrame, key: str, time: str, tie: str, asks: Column, answer
     open starts nothing. Ties of one time go by the length of their text, then the text."""
     kind = F.when(answers, "a").when(asks, "b")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in Waits.out])
-    return _rows(events, key, time, tie, kind, value, late).groupBy("key").transformWithStateInPandas(Waits(seconds * 1_000_000, single), schema, "Append", "EventTime")
+    return _rows(events, key, time, tie, kind, value, late).groupBy("bucket").transformWithStateInPandas(Waits(seconds * 1_000_000, single), schema, "Append", "EventTime")
 
 
 def midnights(events: DataFrame, key: str, time: str, tie: str, state: Column, late: str = "1 hour") -> DataFrame:
@@ -143,7 +185,7 @@ def midnights(events: DataFrame, key: str, time: str, tie: str, state: Column, l
     them."""
     kinds = dict.fromkeys(Midnights.out, T.StringType()) | {"at": T.TimestampType()}
     schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
-    return _rows(events, key, time, tie, F.lit("b"), state, late).groupBy("key").transformWithStateInPandas(Midnights(), schema, "Append", "EventTime")
+    return _rows(events, key, time, tie, F.lit("b"), state, late).groupBy("bucket").transformWithStateInPandas(Midnights(), schema, "Append", "EventTime")
 
 
 def over(spark: SparkSession, rows: DataFrame, time: str, query, parts: int = 3, days: int = 2) -> DataFrame:
@@ -157,7 +199,7 @@ def over(spark: SparkSession, rows: DataFrame, time: str, query, parts: int = 3,
     step = ((high or 0) - (low or 0)) // parts + 1
     part = F.floor((F.unix_micros(time) - F.lit(low or 0)) / step)
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(part == k).repartition(1).write.mode("append").parquet(folder)
     end = F.timestamp_micros(F.lit((high or 0) + days * DAY))
     last = [end.alias(c) if c == time else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     spark.range(1).select(*last).write.mode("append").parquet(folder)

@@ -138,6 +138,25 @@ def test_midnights_over_batches(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_keys_of_a_bucket_share_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "BUCKETS", 2, raising=False)
+    for k, v in runs.STORE.items():
+        spark.conf.set(k, v)
+    schema = "k string, ts timestamp, id int, kind string"
+    files = [[(f"u{k}", at(k), k, "b") for k in range(60)], [("end", at(900), 99, "none")], [("end", at(901), 99, "none")]]
+    try:
+        events_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(rows(spark, tmp_path, files, schema, "in"))
+        stream = runs.waits(events_, "k", "ts", "id", F.col("kind") == "b", F.lit(False), F.lit(None), 300)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+        timers = [o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"]]
+    finally:
+        for k in runs.STORE:
+            spark.conf.unset(k)
+    assert 0 < max(timers) <= 2
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted((f"u{k}", str(k), "timeout", None) for k in range(60))
+
+
 def test_log_once(spark, tmp_path):
     """A stream that dies between a batch's files and its entry, one that is replayed after
     the entry, and a reader in between."""
