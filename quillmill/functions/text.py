@@ -19,9 +19,13 @@ REDACTIONS = [
 STOP = ["and", "or", "not", "the", "for", "with", "inhibitor", "inhibitors"]
 
 
+#: White space, as Unicode has it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, as Unicode has it."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def deidentify(text: Column) -> Column:

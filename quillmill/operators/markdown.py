@@ -62,11 +62,17 @@ def escape_citations(text: Column) -> Column:
     return interleave(between, shielded)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), in which the value is made once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _runs(text: Column, kind) -> Column:
     """Texts of neighbouring lines of one kind. Lines are joined with a mark after the line
     end, which no line holds, that says whether the kind changes."""
-    mark = lambda p: F.when(kind(p["x"]) == kind(p["before"]), "S").otherwise("C")
-    marked = F.array_join(F.transform(_with_before(F.split(text, "\n", -1)), lambda p: F.concat(mark(p), p["x"])), "\n")
+    kinds = lambda lines: F.transform(lines, lambda x: F.struct(x.alias("x"), kind(x).alias("kind")))
+    mark = lambda y, k, of: F.when(y["kind"] == F.coalesce(F.get(of, k - 1)["kind"], F.lit(False)), "S").otherwise("C")
+    marked = _once(kinds(F.split(text, "\n", -1)), lambda of: F.array_join(F.transform(of, lambda y, k: F.concat(mark(y, k, of), y["x"])), "\n"))
     return F.transform(F.split(F.substring(marked, 2, 1 << 30), "\nC", -1), lambda x: F.replace(x, F.lit("\nS"), F.lit("\n")))
 
 
@@ -77,14 +83,19 @@ def tables(text: Column) -> Column:
     def row(line: Column) -> Column:
         return F.concat(F.lit("\t<tr>\n"), F.array_join(F.transform(cells(line), lambda c: F.concat(F.lit("\t\t<td>"), F.replace(c, F.lit("\\|"), F.lit("|")), F.lit("</td>"))), "\n"), F.lit("\n\t</tr>"))
 
-    def table(run: Column) -> Column:
-        lines = F.split(run, "\n", -1)
-        ahead = F.slice(lines, F.lit(2), F.size(lines))
-        first = F.array_position(F.transform(ahead, lambda x: x.rlike(SEPARATOR)), True).cast("int")
+    def parts(lines: Column, first: Column, run: Column) -> Column:
         # fixed values: the tags of a table
         head = F.concat(F.lit('<table fit-page-width="true" header-row="true">\n'), row(F.get(lines, first - 1)))
-        parts = F.concat(F.slice(lines, F.lit(1), first - 1), F.array(head), F.transform(F.slice(lines, first + 2, F.size(lines)), row), F.array(F.lit("</table>")))
-        return F.when(strip(run).startswith("|") & (first > 0), F.array_join(parts, "\n")).otherwise(run)
+        every = F.concat(F.slice(lines, F.lit(1), first - 1), F.array(head), F.transform(F.slice(lines, first + 2, F.size(lines)), row), F.array(F.lit("</table>")))
+        return F.when(first > 0, F.array_join(every, "\n")).otherwise(run)
+
+    def table(run: Column) -> Column:
+        def of(lines: Column) -> Column:
+            ahead = F.slice(lines, F.lit(2), F.size(lines))
+            first = F.array_position(F.transform(ahead, lambda x: x.rlike(SEPARATOR)), True).cast("int")
+            return _once(first, lambda k: parts(lines, k, run))
+
+        return F.when(strip(run).startswith("|"), _once(F.split(run, "\n", -1), of)).otherwise(run)
 
     return F.array_join(F.transform(_runs(text, lambda x: strip(x).startswith("|")), table), "\n")
 
