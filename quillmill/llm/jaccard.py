@@ -26,8 +26,12 @@ keys. A linked pair shares only one key with a chance below 2e-11 if it is large
 shares others that gather fewer nodes, it meets there. Joins by key are salted, so that a
 popular key isn't one task, and are of a kind whose skewed partitions Spark splits further.
 
-Sets are not stored for all documents: those of nodes that meet others are made again
-from the texts. A bitmap of fixed size tells which texts to read, an exact join follows.
+Sets are not stored for all documents, but each has a signature of two to four bits a
+token. Where a group is one chunk, its nodes first meet by signatures and sizes alone, which
+bound the overlap from above: a node that can't be linked with any other of a group leaves
+it. The sets of the nodes that stay are made again from the texts; a bitmap of fixed size
+tells which texts to read, an exact join follows. So sets are shuffled only where a link is
+possible.
 
 Defined results: null and empty texts, and those without words, have 0 shingles and are
 linked with nothing; with one to four words the sequence is the only shingle. Rows that
@@ -108,6 +112,36 @@ def node_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a token, a power of 2 long, in words of 64."""
+    bits = np.zeros(max(64, 1 << (2 * len(tokens) - 1).bit_length()), bool)
+    bits[((tokens >> np.uint64(20)) % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(sizes: list[int], signatures: list[bytes]) -> np.ndarray:
+    """Of sets in order of size, which may be linked with another one: nothing else is said
+    of a set than that sizes and signatures rule out all others. The longer of two
+    signatures is folded to the length of the other."""
+    size, words = np.array(sizes), np.array([len(x) // 8 for x in signatures])
+    found = np.zeros(len(size), bool)
+    for w in np.unique(words).tolist():
+        start, stop, end = np.searchsorted(words, [w, w + 1, 2 * w + 1]).tolist()
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, w), axis=0) for x in signatures[start:end]])
+        shared = size[start:end] - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        last = np.searchsorted(size, size[start:stop] * 100 // 80, side="right")
+        for x in range(start, stop):
+            y = np.arange(x + 1, last[x - start])
+            if found[x]:
+                y = y[~found[y]]
+            if len(y):
+                most = np.bitwise_count(bits[y - start] & bits[x - start]).sum(1, dtype=np.int64) + np.minimum(shared[y - start], shared[x - start])
+                y = y[180 * most >= 80 * (size[x] + size[y])]
+                found[y] = True
+                found[x] |= len(y) > 0
+    return found
+
+
 class Tree:
     """A signature tree over sets; join() unites all linked ones."""
 
@@ -216,6 +250,34 @@ def _verify(batches):
     yield out()
 
 
+def _possible(batches):
+    """Rows (key, node, size, signature and others) in order of key to those, less the
+    signature, whose node may be linked with another of its key."""
+    rows: list[tuple] = []
+
+    def closed():
+        rows.sort(key=lambda r: r[2])
+        stay = may_link([r[2] for r in rows], [r[3] for r in rows]).tolist() if len(rows) > 1 else []
+        out = [(*r[:3], *r[4:]) for r, x in zip(rows, stay) if x]
+        rows.clear()
+        return out
+
+    def batch_of(out, schema):
+        fields = [f for k, f in enumerate(schema) if k != 3]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(fields)], names=[f.name for f in fields])
+
+    schema = None
+    for batch in batches:
+        out, schema = [], batch.schema
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                out += closed()
+            rows.append(row)
+        yield batch_of(out, schema)
+    if rows:
+        yield batch_of(closed(), schema)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, row (a hash of id and text) and root (the node
     that names the component, null without shingles) for each row."""
@@ -231,10 +293,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([
                     *batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                ], names=["doc_id", "row", "n_shingles", "node", "keys"])
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                ], names=["doc_id", "row", "n_shingles", "node", "keys", "signature"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    described = ws.write(texts.mapInArrow(describe, f"doc_id {kind}, row long, n_shingles long, node binary, keys array<long>"), "described")
+    described = ws.write(texts.mapInArrow(describe, f"doc_id {kind}, row long, n_shingles long, node binary, keys array<long>, signature binary"), "described")
     nodes = described.where("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").cast("int").alias("size"))
     met = ws.write(nodes.select("node", "size", F.explode("keys").alias("key")), "keys")
     # groups of the same nodes are one: their keys agree in number and sum of hashes
@@ -243,9 +306,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = groups.groupBy("n", "g").agg(F.min_by(F.struct("key", "tokens"), band).alias("x")).select("x.key", "n", "x.tokens")
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt")
-    members = ws.write(met.select("*", salt).join(groups.select("*", salts), ["key", "salt"]), "members")
+    met_there = ws.write(met.select("*", salt).join(groups.select("*", salts), ["key", "salt"]), "met")
     ws.drop("keys")
 
+    # what one chunk holds meets by signatures first
+    whole = (F.col("n") <= CHUNK) & (F.col("tokens") <= TOKENS)
+    signed = described.where("n_shingles > 0").groupBy("node").agg(F.first("signature").alias("signature"))
+    signed = met_there.where(whole).join(signed, "node").select("key", "node", "size", "signature", "salt", "n", "tokens").repartition("key").sortWithinPartitions("key")
+    stay = signed.mapInArrow(_possible, "key long, node binary, size int, salt int, n long, tokens long")
+    members = ws.write(stay.unionByName(met_there.where(~whole).select(*stay.columns)), "members")
+    ws.drop("met")
+
     # texts to read again, by a bitmap of fixed size
     bit = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") % BITS + 1  # Spark numbers bits from 1
     found = members.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()

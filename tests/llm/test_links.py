@@ -242,3 +242,41 @@ def test_popular_keys_of_differing_texts(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
     assert [got[i] for i, _ in rows] == [i - i % 2 for i, _ in rows] == [c for _, c in brute_components(rows)]
     assert len(parts) >= 2 and sum(parts) < 64 * len(rows) * 3, parts
+
+
+@settings(max_examples=60, deadline=None)
+@given(seed=st.integers(0, 10**6), least=st.integers(1, 400))
+def test_signatures_lose_no_link(seed, least):
+    """Sets of many sizes around a common one: of a linked pair both stay, unlike ones go."""
+    r = np.random.default_rng(seed)
+    pool = r.integers(1, 2**63, 500, dtype=np.uint64)
+    sets = [np.unique(np.r_[pool[: r.integers(least, 500)], r.integers(1, 2**63, r.integers(1, 120), dtype=np.uint64)]) for _ in range(12)]
+    sets += [np.unique(r.integers(1, 2**63, 300, dtype=np.uint64))]
+    sets.sort(key=len)
+    got = jaccard.may_link([len(s) for s in sets], [jaccard.signature(s) for s in sets])
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(sets[a], sets[b])]
+    assert all(got[[a, b]].all() for a, b in pairs)
+    assert not jaccard.may_link([300] * 9, [jaccard.signature(r.integers(1, 2**63, 300, dtype=np.uint64)) for _ in range(9)]).any()
+    assert not jaccard.may_link([1], [jaccard.signature(pool[:1])]).any() and jaccard.may_link([5, 5], [jaccard.signature(pool[:5])] * 2).all()
+
+
+def test_sets_go_only_where_a_link_is_possible(spark, monkeypatch):
+    """Texts that share a passage, and so keys, without being alike: of their sets only those
+    of the two near copies are shuffled."""
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(common + [f"o{k}_{j}" for j in range(70)])) for k in range(60)]
+    rows.append((60, rows[7][1].replace("o7_30", "other")))
+    sent = []
+    kind = type(spark.range(0))
+    real = kind.mapInArrow
+
+    def counted(self, f, *args, **kwargs):
+        if f is jaccard._verify:
+            sent.extend(r["node"] for r in self.select("node").collect())
+        return real(self, f, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert [got[i] for i, _ in rows] == [7 if i == 60 else i for i, _ in rows] == [c for _, c in brute_components(rows)]
+    assert {bytes(x) for x in sent} == {jaccard.node_of(jaccard.shingles(rows[k][1])) for k in (7, 60)}
