@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.sources.outputs import remove_at_exit
+from quillmill.workers import slices  # noqa: F401  its users are beside this module
 
 #: White space of every word rule: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,18 +106,3 @@ def offsets(df: DataFrame, part: str, size: str) -> DataFrame:
     sums = df.groupBy(part).agg(F.sum(size).alias("__size"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(part, F.coalesce(F.sum("__size").over(before), F.lit(0)).cast("long").alias("offset"))
-
-
-def slices(batch, column: int, rows: int = 1000, most: int = 1 << 23):
-    """An Arrow batch in parts of at most so many rows, and texts of so many bytes (or one
-    text, if it is longer), so that what is made of a part stays small."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        used = int(sizes[at - 1]) if at else 0
-        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, used + most, side="right"))))
-        yield batch.slice(at, end - at)
-        at = end

@@ -7,7 +7,8 @@ on those texts alone that hold it. Many stretches of a batch go through the tabl
 side, each begun a longest literal early, so a step is a few numpy operations on all of them.
 
 The automaton is broadcast. Its table is bounded by TABLE bytes; a larger vocabulary becomes
-several automata, which texts pass one after another in the same stage."""
+several automata, which texts pass one after another in the same stage. A worker holds a
+slice of texts and what is found in it, however large a batch is."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.workers import importable
+from quillmill.workers import importable, slices, small_batches
 
 #: Bytes of an automaton's table, bytes of a literal that enter it, of a stretch, and of the texts scanned at once.
 TABLE, LITERAL, STRETCH, SLICE = 1 << 26, 64, 512, 1 << 22
@@ -150,6 +151,13 @@ class Vocabulary:
         self.always = [k for k, w in enumerate(cut) if not w]
         sure = lambda k: parts[k][1] and len(cut[k]) == len(parts[k][0].encode())
         self.sure, self.plain = [sure(k) for k in range(len(pairs))], plain
+        # labels of a word that is all of its pattern are counted in numpy, the rest is tried one by one
+        self.names = sorted(set(self.labels))
+        place = {x: k for k, x in enumerate(self.names)}
+        settled = [[place[self.labels[k]] for k in ks if self.sure[k]] for ks in self.by_word]
+        self.settled, self.settled_ends = np.array([x for xs in settled for x in xs], np.int64), np.cumsum([0, *map(len, settled)])
+        self.tried = [[k for k in ks if not self.sure[k]] for ks in self.by_word]
+        self.is_tried = np.array([len(ks) > 0 for ks in self.tried], bool)
         self.automaton = Automaton(words) if words else None
 
     def _try(self, k: int, text: str) -> bool:
@@ -158,25 +166,35 @@ class Vocabulary:
     def count(self, texts: list[str | None]) -> list[dict[str, int]]:
         """For each text its labels, and how many of a label's patterns it holds."""
         out: list[dict[str, int]] = [{} for _ in texts]
-        coded = [(x or "").encode() for x in texts]
 
         def held(i: int, k: int) -> None:
             if texts[i] is not None and (self.sure[k] or self._try(k, texts[i])):
                 out[i][self.labels[k]] = out[i].get(self.labels[k], 0) + 1
 
-        at = 0
-        while at < len(coded):
-            end, size = at + 1, len(coded[at])
-            while end < len(coded) and size + len(coded[end]) < SLICE:
-                size += len(coded[end])
-                end += 1
-            if self.automaton:
-                data = np.frombuffer(b"\xff".join([*coded[at:end], b""]), np.uint8)
-                ends = np.cumsum([len(x) + 1 for x in coded[at:end]]) - 1
-                for i, w in zip(*[x.tolist() for x in self.automaton.find(data, ends)]):
-                    for k in self.by_word[w]:
-                        held(at + i, k)
-            at = end
+        def scan(at: int, coded: list[bytes]) -> None:
+            data = np.frombuffer(b"\xff".join([*coded, b""]), np.uint8)
+            text, word = self.automaton.find(data, np.cumsum([len(x) + 1 for x in coded]) - 1)
+            sizes = self.settled_ends[word + 1] - self.settled_ends[word]
+            where = np.repeat(self.settled_ends[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            pairs, counts = np.unique(np.repeat(text, sizes) * len(self.names) + self.settled[where], return_counts=True)
+            for i, x, n in zip((pairs // len(self.names)).tolist(), (pairs % len(self.names)).tolist(), counts.tolist()):
+                out[at + i][self.names[x]] = n
+            open_ = self.is_tried[word]
+            for i, w in zip(text[open_].tolist(), word[open_].tolist()):
+                for k in self.tried[w]:
+                    held(at + i, k)
+
+        if self.automaton:
+            at, size, coded = 0, 0, []
+            for x in texts:
+                raw = (x or "").encode()
+                if coded and size + len(raw) >= SLICE:
+                    scan(at, coded)
+                    at, size, coded = at + len(coded), 0, []
+                coded.append(raw)
+                size += len(raw)
+            if coded:
+                scan(at, coded)
         for k in self.always:
             for i in range(len(texts)):
                 held(i, k)
@@ -202,6 +220,7 @@ def labelled(rows: DataFrame, text: Column, vocabulary: DataFrame, label: str, p
     patterns, by label. Texts are taken as they are given; patterns are Python's, those with
     a null field are left out, and a null text holds none."""
     importable(rows.sparkSession)
+    small_batches(rows.sparkSession)
     names = [c for c in rows.columns if c != out]
     schema = T.StructType([*[rows.schema[c] for c in names], T.StructField(out, FOUND)])
     rows = rows.select(*names, F.lit(None).cast(FOUND).alias(out), text.alias("__text"))
@@ -209,7 +228,7 @@ def labelled(rows: DataFrame, text: Column, vocabulary: DataFrame, label: str, p
         shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(part, plain))
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (x for whole in batches for x in slices(whole, whole.num_columns - 1, most=SLICE)):
                 *kept, before, texts = batch.columns
                 got = shared.value.count(texts.to_pylist())
                 for have, more in zip(before.to_pylist(), got):

@@ -83,3 +83,36 @@ def test_vocabulary_in_parts(spark, monkeypatch):
     assert [(r["id"], [tuple(x) for x in r["found"]]) for r in got.orderBy("id").collect()] == [(1, [("x", 2), ("y", 1)]), (2, []), (3, [])]
     assert [r["found"] for r in vocabulary.labelled(rows, F.col("t"), words.limit(0), "l", "w").collect()] == [[], [], []]
     assert np.all([r["t"] in ("ab bc cd", None, "") for r in got.collect()])
+
+
+def test_memory_does_not_grow_with_a_batch(spark, monkeypatch):
+    """A worker holds a slice of texts and what is found in them, however many rows a batch
+    has, and Spark makes batches of few rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    runs = []
+    kind = type(spark.range(0))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *args, **kwargs: (runs.append(f), real(self, f, *args, **kwargs))[1])
+    words = spark.createDataFrame([(f"l{k % 5}", f"w{k}") for k in range(90)], "l string, w string")
+    rows = spark.createDataFrame([(1, "w1 w2 w6")], "id int, t string")
+    kept = vocabulary.labelled(rows, F.col("t"), words, "l", "w", plain=True)
+    assert [tuple(x) for x in kept.first()["found"]] == [("l1", 2), ("l2", 1)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    kind_of = pa.list_(pa.struct([("label", pa.string()), ("n", pa.int32())]))
+    peaks = []
+    for n in (1500, 12000):
+        texts = [" ".join(f"w{(k + j) % 90}" for j in range(40)) for k in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(texts), pa.nulls(n, kind_of), pa.array(texts)], names=["id", "t", "found", "__text"])
+        seen = 0
+        tracemalloc.start()
+        for out in runs[0](iter([batch])):
+            seen += out.num_rows
+            last = out.column(2)[-1].as_py()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert seen == n and last == [{"label": f"l{x}", "n": m} for x, m in sorted({x: sum(f"w{k}" in texts[-1] for k in range(x, 90, 5)) for x in range(5)}.items())]
+    assert peaks[1] < 1.5 * peaks[0], peaks
