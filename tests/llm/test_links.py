@@ -193,6 +193,49 @@ def test_each_row_is_a_candidate(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_what_a_search_broadcasts(spark):
+    """Copies of queries, a few each cell, take next to no room in files: Spark took them for a
+    small table and broadcast them all, which no longer fitted at 600,000 vectors."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame(list(enumerate(r.normal(size=(3000, 16)).tolist())), "vec_id long, embedding array<float>")
+    found = ann.search(df, lambda i: i % 10 == 0)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert sent and not [x for x in sent if re.search(r"\b(v|q|codes|row|asker)#", x)]
+
+
+def test_every_row_asks(spark, monkeypatch):
+    """Several blocks of queries, cells cut into several units or sharing one, ids that agree, equal
+    vectors beyond k, and all in float and in double; lengths that single precision can't square."""
+    monkeypatch.setattr(ann, "UNIT", 60 * 12 * 8)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(300, 12)), np.repeat(r.normal(size=(3, 12)), 40, 0), 5 + 1e-3 * r.normal(size=(200, 12)), r.integers(0, 2, (80, 12)) + 0.5])
+    for kind, scale in (("float", 1), ("double", 1), ("double", 1e25), ("double", 1e-25)):
+        v = (x * scale).astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+        ids = [i // 2 for i in range(len(v))]
+        df = spark.createDataFrame(list(zip(ids, v.tolist())), f"vec_id long, embedding array<{kind}>")
+        got = defaultdict(list)
+        for row in ann.search(df, lambda i: i >= 0, k=7, block=1, probe_share=1.0).orderBy("query_id", "rank").collect():
+            got[row["query_id"]].append((row["score"], row["vec_id"]))
+        want = defaultdict(list)
+        for a, q in enumerate(v):
+            far = np.sqrt(((v - q) ** 2).sum(1))
+            want[ids[a]] += sorted((float(d), ids[b]) for b, d in enumerate(far) if b != a)[:7]
+        hits = sum((Counter(got[i]) & Counter(want[i])).total() for i in want)
+        assert sum(map(len, got.values())) == 7 * len(v) and hits >= 0.99 * 7 * len(v)
+
+
+def test_cells_in_units():
+    sizes = np.array([5, 0, 4, 3, 25, 10, 1, 9])
+    pairs = ann.units_of(sizes, 10)
+    assert pairs.tolist() == [[0, 0], [2, 0], [3, 1], [4, 2], [4, 3], [4, 4], [5, 5], [6, 6], [7, 6]]
+
+
+def test_no_query_asks(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann.search(df, lambda i: i % 100 == 0).collect() == []
+
+
 def prose(seed, n):
     r = np.random.default_rng(seed)
     return [f"v{x}" for x in r.integers(0, 60, n)]
