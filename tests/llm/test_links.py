@@ -199,6 +199,7 @@ def test_what_a_search_broadcasts(spark):
     r = np.random.default_rng(4)
     df = spark.createDataFrame(list(enumerate(r.normal(size=(3000, 16)).tolist())), "vec_id long, embedding array<float>")
     found = ann.search(df, lambda i: i % 10 == 0)
+    assert found.count() == 3000 and found.collect()  # the plan is final once it has run
     plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
     assert sent and not [x for x in sent if re.search(r"\b(v|q|codes|row|asker)#", x)]
